@@ -1,0 +1,86 @@
+"""Readers. SRC-1..6."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .. import schemas
+
+
+def read_problems(
+    spark: SparkSession,
+    path: str,
+    prompt: str = "prompt",
+    solution: str = "solution",
+    key: str = "problem_id",
+    file_format: str = "parquet",
+) -> DataFrame:
+    """SRC-1, PRJ-5. A problem corpus as ``problem_id, prompt, solution``.
+
+    The arguments name the source columns; no other column is read.
+    """
+    source = spark.read.format(file_format).load(path)
+    return source.select(
+        F.col(key).cast("bigint").alias("problem_id"),
+        F.col(prompt).alias("prompt"),
+        F.col(solution).cast("string").alias("solution"),
+    )
+
+
+def read_rollouts(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-2. Rollouts, one row per completion, partitioned by ``run_id`` on disk."""
+    return spark.read.parquet(path)
+
+
+def write_rollouts(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Write rollouts partitioned by run, so a filter on ``run_id`` prunes files."""
+    df.write.mode(mode).partitionBy("run_id").parquet(path)
+
+
+def _read_json(
+    spark: SparkSession, path: str, schema: T.StructType, whole_files: bool
+) -> DataFrame:
+    """JSON objects, one per file or one per line; anything else fails the job."""
+    text = spark.read.text(path, wholetext=whole_files).select(
+        F.col("value"), F.col("_metadata.file_path").alias("source_file")
+    )
+    checked = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    parsed = text.where(F.trim("value") != "").withColumn(
+        "_json",
+        F.from_json("value", checked, {"columnNameOfCorruptRecord": "_corrupt"}),
+    )
+    is_object = F.regexp_like("value", F.lit(r"^\s*\{")) & F.col("_json._corrupt").isNull()
+    failure = F.raise_error(
+        F.concat(F.col("source_file"), F.lit(" does not contain a JSON object"))
+    )
+    valid = parsed.where(F.when(is_object, True).otherwise(failure.cast("boolean")))
+    return valid.select(*[F.col(f"_json.`{f.name}`") for f in schema.fields], "source_file")
+
+
+def read_profiles(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """SRC-3. Run profiles, one JSON object per file (or per line)."""
+    return _read_json(spark, path, schemas.PROFILE, whole_files)
+
+
+def read_evals(
+    spark: SparkSession, path: str, summary_field: str = "summary", whole_files: bool = True
+) -> DataFrame:
+    """SRC-4. Evaluation payloads; ``summary_field`` names the stored accuracies."""
+    payload = _read_json(spark, path, schemas.evaluation(summary_field), whole_files)
+    return payload.withColumnRenamed(summary_field, "accuracies")
+
+
+def read_benchmarks(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """SRC-5. Update-stage benchmark points, in their order within the payload."""
+    payload = _read_json(spark, path, schemas.BENCHMARK, whole_files)
+    values = [c for c in payload.columns if c != "results"]
+    points = payload.select(*values, F.posexplode("results").alias("position", "point"))
+    return points.select(*values, "position", "point.*")
+
+
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-6. Training logs, one row per file, as ``source_file, value``."""
+    logs = spark.read.text(path, wholetext=True)
+    return logs.select(F.col("_metadata.file_path").alias("source_file"), "value")
