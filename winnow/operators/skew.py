@@ -41,13 +41,15 @@ def _same(keys: Sequence[str], left: str, right: str) -> Column:
 
 
 def _pieces(df: DataFrame, keys: Sequence[str], hot_rows: int) -> Column:
-    """Spread number: 0 for ordinary rows, 1..pieces for rows of a hot key."""
-    identity = [
-        F.col(f"`{field.name}`")
-        for field in df.schema.fields
-        if field.name not in (*keys, _HOT)
-        and isinstance(field.dataType, T.AtomicType)
-    ]
+    """Spread number: 0 for ordinary rows, 1..pieces for rows of a hot key.
+
+    Rows are told apart by their numbers, times and flags, so that texts and arrays need
+    not be read for it; by their texts only where there is nothing else.
+    """
+    others = [f for f in df.schema.fields if f.name not in (*keys, _HOT)]
+    atomic = [f for f in others if isinstance(f.dataType, T.AtomicType)]
+    short = [f for f in atomic if not isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    identity = [F.col(f"`{f.name}`") for f in short or atomic]
     pieces = F.ceil(F.col(f"{_HOT}._rows") / hot_rows)
     spread = 1 + F.pmod(F.xxhash64(*identity), pieces) if identity else pieces
     return F.when(F.col(_HOT).isNotNull(), spread).otherwise(0).cast("int")

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import queries_rollouts  # noqa: F401
+from . import queries_rollouts, queries_runs, queries_streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -277,8 +277,8 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 17 != 0, price / 16).otherwise(0.0).alias("wall_clock_seconds"),
         (key % 97 / 2).alias("peak_memory_allocated_gib"),
         F.struct(
-            (price / 64).alias("rollout_seconds"),
-            (price / 128 * (1 + key % 3)).alias("update_seconds"),
+            (price / 50).alias("rollout_seconds"),
+            (price / 100 * (1 + key % 3)).alias("update_seconds"),
             generated.alias("completions_generated"),
             (generated / 4).cast("bigint").alias("completions_updated"),
             F.when(key % 5 != 0, 0.25).alias("completion_retention"),
@@ -301,8 +301,8 @@ SUMMARY_SQL = """summary as (select o_orderkey as run_id, o_custkey as experimen
     cast(case when o_orderkey % 7 <> 0 then 1 + o_orderkey % 4 else 1 end as int) as allocation_multiplier,
     o_orderkey % 500 as optimizer_steps,
     case when o_orderkey % 17 <> 0 then o_totalprice / 16 else 0.0::double end as wall_clock_seconds,
-    o_totalprice / 64 as rollout_seconds,
-    o_totalprice / 128 * (1 + o_orderkey % 3) as update_seconds,
+    o_totalprice / 50 as rollout_seconds,
+    o_totalprice / 100 * (1 + o_orderkey % 3) as update_seconds,
     (o_orderkey % 97) / 2.0::double as peak_memory_gib, 8 as num_generations,
     8 * (100 + o_orderkey % 900) as completions_generated,
     2 * (100 + o_orderkey % 900) as completions_updated,

@@ -80,7 +80,7 @@ def read_benchmarks(spark: SparkSession, path: str, whole_files: bool = True) ->
     return points.select(*values, "position", "point.*")
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-6. Training logs, one row per file, as ``source_file, value``."""
-    logs = spark.read.text(path, wholetext=True)
+def read_logs(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """SRC-6. Training logs, one row per file (or per line), as ``source_file, value``."""
+    logs = spark.read.text(path, wholetext=whole_files)
     return logs.select(F.col("_metadata.file_path").alias("source_file"), "value")
