@@ -140,18 +140,29 @@ def _last_balanced_box(text: Column) -> Column:
     )
 
 
+# Box content with up to three further levels of braces. The possessive loops match in
+# linear time and without recursion.
+_LEVEL = r"[^{}]++"
+for _ in range(3):
+    _LEVEL = rf"[^{{}}]++|\{{(?:{_LEVEL})*+\}}"
+_NESTED = rf"^((?:{_LEVEL})*+)\}}"
+
+
 def extract_boxed(text) -> Column:
     """STR-1. Content of the last balanced ``\\boxed{...}``, NULL without one.
 
-    Text without a box, and text whose last box holds no inner brace, is answered by
-    plain string functions inside generated code; only nested or unclosed boxes reach
-    the brace-matching fold.
+    Nearly every text is answered by string functions on what follows the last opener:
+    no box, a box without or with few levels of braces, or a single box that never
+    closes. Only what remains reaches the brace-matching fold over the whole text.
     """
     text = as_col(text)
     tail = F.substring_index(text, BOX, -1)
+    only_one = F.locate(BOX, text) + len(BOX) + F.char_length(tail) - 1 == F.char_length(text)
     return (
         F.when(~F.contains(text, F.lit(BOX)), F.lit(None).cast("string"))
         .when(tail.rlike(r"^[^{}]*\}"), F.substring_index(tail, "}", 1))
+        .when(~F.contains(tail, F.lit("}")) & only_one, F.lit(None).cast("string"))
+        .when(tail.rlike(_NESTED), F.regexp_extract(tail, _NESTED, 1))
         .otherwise(_last_balanced_box(text))
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import as_col
+from .rounds import shuffle_key
 from .scoring import GROUP
 from .skew import HOT_ROWS, SPREAD, group_window, lookup, with_group_stats
 
@@ -23,8 +24,7 @@ def _ordering(order: str, keys: Sequence[str], seed: int) -> list[Column]:
     if order == "smallest":
         return [magnitude.asc(), position]
     if order == "random":
-        identity = [F.col(f"`{key}`") for key in keys]
-        return [F.xxhash64(F.lit(seed), *identity, F.col("sample_idx")).asc(), position]
+        return [shuffle_key(seed, *keys, "sample_idx").asc(), position]
     raise ValueError(f"unknown selector {order!r}")
 
 
@@ -123,7 +123,9 @@ def mark_kept(
         if batch is None:
             marked = marked.withColumn("kept", strict)
         else:
-            survivors = marked.groupBy(*batch).agg(F.max(strict).alias("_any"))
+            # The largest advantage of a group is always in its top k, so a batch has a
+            # survivor exactly when it has any signal; no ranking is needed to tell.
+            survivors = sized.groupBy(*batch).agg(F.max(has_signal | ~whole).alias("_any"))
             marked = lookup(marked, survivors, list(batch), hot_rows)
             marked = marked.withColumn("kept", F.when(F.col("_any"), strict).otherwise(F.col("kept")))
             marked = marked.drop("_any")

@@ -96,14 +96,14 @@ def group_advantage(
     """
     if scale not in ("group", "batch", "none"):
         raise ValueError(f"unknown scale {scale!r}")
+    stats = {"group_rows": F.count(F.lit(1)), "_mean": F.avg("reward")}
+    if scale == "group":
+        stats["_deviation"] = F.stddev_samp("reward")
     rows = df
     if scale == "batch":
         deviations = df.groupBy(*batch).agg(F.stddev_samp("reward").alias("_deviation"))
         rows = lookup(df, deviations, list(batch), hot_rows)
-    stats = {"group_rows": F.count(F.lit(1)), "_mean": F.avg("reward")}
-    if scale == "group":
-        stats["_deviation"] = F.stddev_samp("reward")
-    rows = with_group_stats(rows, list(keys), stats, hot_rows)
+    rows = with_group_stats(rows, list(keys), stats, hot_rows, counted=df)
     centred = F.col("reward") - F.col("_mean")
     if scale != "none":
         centred = centred / (F.coalesce(F.col("_deviation"), F.lit(0.0)) + F.lit(eps))

@@ -68,13 +68,15 @@ def with_group_stats(
     keys: Sequence[str],
     stats: dict[str, Column],
     hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add aggregates of each row's group as columns.
 
     Also adds ``_spread``; windows over :func:`group_window` reuse the same exchange.
+    ``counted`` is a cheaper frame with the same keys, from which hot keys are found.
     """
     base = df.drop(SPREAD)
-    hot = hot_keys(base, keys, hot_rows)
+    hot = hot_keys(base if counted is None else counted, keys, hot_rows)
     only_hot = base.alias("l").join(
         F.broadcast(hot.select(*keys)).alias("r"), _same(keys, "l", "r"), "left_semi"
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.geometry import retained
 from ..functions.rewards import (
     accuracy_reward,
     answers_equal,
@@ -23,8 +24,7 @@ from ..operators.prompts import (
     python_tokenizer,
     to_conversation,
 )
-from ..operators.rounds import assign_microbatches, assign_rounds, cap, shuffle_rows
-from ..operators.runs import with_geometry
+from ..operators.rounds import assign_microbatches, assign_rounds, cap, shuffle_key, shuffle_rows
 from ..operators.scoring import (
     attach_solutions,
     flag_degenerate,
@@ -33,6 +33,7 @@ from ..operators.scoring import (
     score,
     with_run,
 )
+from ..operators.skew import group_window
 from ..sources.readers import read_problems, read_rollouts, write_rollouts
 from ..sources.writers import scratch_dir
 from . import views as v
@@ -147,8 +148,6 @@ _ORDER_SQL = "md5('42:' || cast(problem_id as varchar)), problem_id"
 @query("srt_1_shuffle", f"""with {v.PROBLEMS_SQL} select problem_id, md5('42:' || cast(problem_id as varchar))
     as shuffle_key from problems order by {_ORDER_SQL}""")
 def srt_1(spark, d):
-    from ..operators.rounds import shuffle_key
-
     shuffled = shuffle_rows(v.problems(spark, d), 42, "problem_id")
     return shuffled.select("problem_id", shuffle_key(42, "problem_id").alias("shuffle_key"))
 
@@ -332,8 +331,6 @@ def jn_1(spark, d):
 @query("jn_4_with_run", f"""with {v.ROLLOUTS_SQL}, {v.RUNS_SQL}, sized as (select *, {v.K_SQL} as k from runs)
     select r.group_id, r.sample_idx, s.group_size, s.k from rollouts r left join sized s using (run_id)""")
 def jn_4(spark, d):
-    from ..functions.geometry import retained
-
     settings = v.runs(spark, d).select(
         "run_id", "group_size", retained("group_size", "pruning_rate").alias("k")
     )
@@ -383,7 +380,9 @@ query("win_7_signed", f"""{v.ADVANTAGE_SQL} select run_id, group_id, sample_idx,
 query("win_7_smallest", f"""{v.ADVANTAGE_SQL} select run_id, group_id, sample_idx, {q6('advantage', 'advantage')}
     from adv qualify row_number() over (partition by run_id, group_id
     order by cast(abs(advantage) as float), sample_idx) <= {K}""")(_selector("smallest"))
-query("win_7_random")(_selector("random"))
+query("win_7_random", f"""{v.ADVANTAGE_SQL} select run_id, group_id, sample_idx, {q6('advantage', 'advantage')}
+    from adv qualify row_number() over (partition by run_id, group_id
+    order by md5('0:' || run_id || ':' || group_id || ':' || sample_idx), sample_idx) <= {K}""")(_selector("random"))
 query("srt_4_group_topk", f"""{v.RANKED_SQL} select run_id, group_id, sample_idx,
     {q6('advantage', 'advantage')} from ranked where rnk <= 1""")(
     lambda spark, d: rounded(
@@ -688,8 +687,6 @@ _GRID = (0.0, 0.5, 0.75, 0.875)
     sum(surrogate / loss_tokens) as o from surrogates join ks on rnk <= k group by all)
     select run_id, p as pruning_rate, k, {q6('avg(o / k)', 'objective')} from per_group group by run_id, p, k""")
 def obj_7(spark, d):
-    from ..operators.skew import group_window
-
     order = [F.abs("advantage").cast("float").desc(), F.col("sample_idx")]
     rank = F.row_number().over(group_window(["run_id", "group_id"]).orderBy(*order))
     ranked = v.logprobs(spark, d).withColumn("rank", rank)

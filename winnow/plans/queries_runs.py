@@ -594,12 +594,12 @@ def rpt_7_metric(spark, d):
     return rounded(rp.length_gate(ratios), "clipped_ratio")
 
 
-@query("rpt_8_accuracy_delta", f"""with {v.ACCURACY_SQL}, reference as (select task, avg(accuracy) as base
+@query("rpt_8_accuracy_delta", f"""with {v.ACCURACY_SQL}, reference as (select task, max(accuracy) as base
     from accuracies group by task) select run_id, task, {q6('accuracy', 'accuracy')},
     {q6('base', 'reference_accuracy')}, {q6('accuracy - base', 'delta')}
     from accuracies left join reference using (task)""")
 def rpt_8(spark, d):
     accuracies = _summarized(spark, d)
-    reference = accuracies.groupBy("task").agg(F.avg("accuracy").alias("accuracy"))
+    reference = accuracies.groupBy("task").agg(F.max("accuracy").alias("accuracy"))
     delta = ev.accuracy_delta(accuracies, reference)
     return rounded(delta, "accuracy", "reference_accuracy", "delta")
