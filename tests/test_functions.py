@@ -53,9 +53,9 @@ def test_extract_boxed_cases(spark):
     assert column(spark, list(BOXED), lambda c: text._last_balanced_box(c)) == list(BOXED.values())
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.lists(st.sampled_from(["\\boxed{", "{", "}", "a", "\\", "é", "\n"]), max_size=14),
-                min_size=40, max_size=40))
+                min_size=100, max_size=100))
 def test_extract_boxed_matches_brute_force(spark, parts):
     values = ["".join(p) for p in parts]
     assert column(spark, values, text.extract_boxed) == [brute_boxed(v) for v in values]

@@ -13,9 +13,12 @@ def tables(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, tables, name):
-    rows, problems = oracle.compare(QUERIES[name](spark, sf_dir), tables, ORACLES[name])
+    frame = QUERIES[name](spark, sf_dir)
+    rows, problems = oracle.compare(frame, tables, ORACLES[name])
     assert rows > 0
     assert not problems
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
 def test_entry(spark):
