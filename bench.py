@@ -17,6 +17,7 @@ import time
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -62,7 +63,7 @@ def drain(frame) -> None:
     frame.write.format("noop").mode("overwrite").save()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def python_boxed(texts: pd.Series) -> pd.Series:
     """The plain loop that the native expression is measured against."""
 

@@ -40,18 +40,20 @@ def _preference(task: Column, metric: Column) -> Column:
     return rank.when(fallback, 1000)
 
 
+def _numeric(text: Column) -> Column:
+    value = F.when(text.rlike(_JSON_NUMBER), text.try_cast("double"))
+    return value.when(text == "true", 1.0).when(text == "false", 0.0)
+
+
 def headline_metric(metrics: DataFrame, keys: Sequence[str] = ("run_id", "task")) -> DataFrame:
     """AGG-8. One accuracy in percent per run and task.
 
     The first preferred metric that is numeric wins, then the alphabetically first
     fallback metric; a task with neither has no row.
     """
-    text = F.col("value")
-    value = F.when(text.rlike(_JSON_NUMBER), text.try_cast("double"))
-    value = value.when(text == "true", 1.0).when(text == "false", 0.0)
     ranked = metrics.select(
         *keys,
-        value.alias("_value"),
+        _numeric(F.col("value")).alias("_value"),
         F.struct(_preference(F.col("task"), F.col("metric")).alias("rank"), "metric").alias("_by"),
     ).where(F.col("_value").isNotNull() & F.col("_by.rank").isNotNull())
     return ranked.groupBy(*keys).agg((100.0 * F.min_by("_value", "_by")).alias("accuracy"))
@@ -81,8 +83,38 @@ def collapse_groups(accuracies: DataFrame, by: Sequence[str] = ("run_id",)) -> D
 
 
 def summarize_evals(evals: DataFrame) -> DataFrame:
-    """AGG-8 and AGG-9 over raw payloads."""
-    return collapse_groups(headline_metric(explode_evals(evals)))
+    """AGG-8 and AGG-9 over raw payloads, one row per run and reported task.
+
+    A payload already holds all tasks and metrics of its run, so both steps work on its
+    maps and nothing is shuffled. :func:`headline_metric` and :func:`collapse_groups` do
+    the same for metrics that arrive in long form.
+    """
+
+    def best(task: Column, metrics: Column) -> Column:
+        ranked = F.transform(
+            F.map_entries(metrics),
+            lambda m: F.struct(
+                _preference(task, m["key"]).alias("rank"),
+                m["key"].alias("metric"),
+                _numeric(m["value"]).alias("value"),
+            ),
+        )
+        usable = F.filter(ranked, lambda m: m["rank"].isNotNull() & m["value"].isNotNull())
+        return 100.0 * F.array_min(usable)["value"]
+
+    headline = F.map_filter(
+        F.transform_values("results", best), lambda _, accuracy: accuracy.isNotNull()
+    )
+    tasks = F.map_keys("_headline")
+    reported = F.map_filter(
+        "_headline",
+        lambda task, _: ~F.exists(
+            tasks, lambda parent: F.startswith(task, F.concat(parent, F.lit("_")))
+        ),
+    )
+    return evals.withColumn("_headline", headline).select(
+        "run_id", F.explode(reported).alias("task", "accuracy")
+    )
 
 
 def all_tasks(runs: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -21,7 +21,29 @@ def score_stream(stream: DataFrame, style: str = "boxed") -> DataFrame:
 
 
 _KEPT = "run_id long, group_id long, sample_idx int, reward double, advantage double, whole boolean"
-_STATE = "positions array<int>, rewards array<double>"
+_PENDING = ("run_id", "group_id", "sample_idx", "reward", "millis")
+_STATE = (
+    "run_id array<long>, group_id array<long>, sample_idx array<int>, reward array<double>, "
+    "millis array<long>"
+)
+
+
+def _pruned(rows: pd.DataFrame, group_size: int, k: int, eps: float) -> pd.DataFrame:
+    """The kept rows of whole groups, all groups at once."""
+    rows = rows.sort_values(["run_id", "group_id", "sample_idx"], ignore_index=True)
+    reward = rows["reward"].to_numpy("float64").reshape(-1, group_size)
+    spread = reward.std(axis=1, ddof=1, keepdims=True) if group_size > 1 else 0.0
+    advantage = (reward - reward.mean(axis=1, keepdims=True)) / (spread + eps)
+    best = np.argsort(-np.abs(advantage).astype("float32"), axis=1, kind="stable")[:, :k]
+    chosen = (best + group_size * np.arange(len(reward))[:, None]).ravel()
+    return rows.iloc[chosen].assign(advantage=advantage.ravel()[chosen], whole=True)
+
+
+def _unpruned(rows: pd.DataFrame, eps: float) -> pd.DataFrame:
+    """All rows of incomplete groups."""
+    groups = rows.groupby(["run_id", "group_id"])["reward"]
+    centred = rows["reward"] - groups.transform("mean")
+    return rows.assign(advantage=centred / (groups.transform("std").fillna(0.0) + eps), whole=False)
 
 
 def prune_stream(
@@ -32,61 +54,54 @@ def prune_stream(
     eps: float = 1e-4,
     event_time: str = "ts",
     on_ragged: str = "keep",
+    buckets: int = 1024,
 ) -> DataFrame:
     """STM-2. Emit the kept rows of a group as soon as it has all its completions.
 
-    Positions outside the group and repeats within the watermark are dropped first, so a
-    group never holds more than ``group_size`` rows and the state stays bounded. A group
-    still incomplete when the watermark passes it is emitted unpruned (``"keep"``) or
-    discarded (``"drop"``).
+    Rows without a group, positions outside the group and repeats within the watermark
+    are dropped first, so a group never holds more than ``group_size`` rows. A group
+    still incomplete when the watermark passes its last row is emitted unpruned
+    (``"keep"``) or discarded (``"drop"``), which bounds the state.
+
+    State is kept per hash bucket of groups and holds the rows of incomplete groups only;
+    one call handles all groups of a bucket together. Raise ``buckets`` with the rate.
     """
     if on_ragged not in ("keep", "drop"):
         raise ValueError(f"on_ragged must be keep or drop, got {on_ragged!r}")
     arrivals = (
         stream.withWatermark(event_time, delay)
+        .where(F.col("run_id").isNotNull() & F.col("group_id").isNotNull())
         .where((F.col("sample_idx") >= 0) & (F.col("sample_idx") < group_size))
         .dropDuplicatesWithinWatermark(["run_id", "group_id", "sample_idx"])
-        .select("run_id", "group_id", "sample_idx", "reward", event_time)
-    )
-
-    def emit(key, positions, rewards, whole: bool) -> pd.DataFrame:
-        order = np.argsort(np.asarray(positions), kind="stable")
-        index = np.asarray(positions, dtype="int32")[order]
-        value = np.asarray(rewards, dtype="float64")[order]
-        spread = value.std(ddof=1) if len(value) > 1 else 0.0
-        advantage = (value - value.mean()) / (spread + eps)
-        chosen = np.arange(len(value))
-        if whole:
-            chosen = np.argsort(-np.abs(advantage).astype("float32"), kind="stable")[:k]
-        return pd.DataFrame(
-            {
-                "run_id": key[0], "group_id": key[1], "sample_idx": index[chosen],
-                "reward": value[chosen], "advantage": advantage[chosen], "whole": whole,
-            }
+        .select(
+            F.pmod(F.xxhash64("run_id", "group_id"), F.lit(buckets)).alias("bucket"),
+            "run_id", "group_id", "sample_idx", "reward", event_time,
+            F.unix_millis(event_time).alias("millis"),
         )
+    )
 
     def collect(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        positions, rewards = (list(part) for part in state.get) if state.exists else ([], [])
-        if state.hasTimedOut:
+        parts = [pd.DataFrame(dict(zip(_PENDING, state.get)))] if state.exists else []
+        if not state.hasTimedOut:
+            parts += [batch[list(_PENDING)] for batch in batches]
+        rows = pd.concat(parts, ignore_index=True)
+        groups = rows.groupby(["run_id", "group_id"])
+        whole = groups["millis"].transform("size") == group_size
+        last = groups["millis"].transform("max")
+        expired = ~whole & (last <= state.getCurrentWatermarkMs())
+        columns = ["run_id", "group_id", "sample_idx", "reward", "advantage", "whole"]
+        if whole.any():
+            yield _pruned(rows[whole], group_size, k, eps)[columns]
+        if expired.any() and on_ragged == "keep":
+            yield _unpruned(rows[expired], eps)[columns]
+        waiting = ~whole & ~expired
+        if waiting.any():
+            state.update(tuple(rows.loc[waiting, name].tolist() for name in _PENDING))
+            state.setTimeoutTimestamp(int(last[waiting].min()) + 1)
+        elif state.exists:
             state.remove()
-            if on_ragged == "keep":
-                yield emit(key, positions, rewards, False)
-            return
-        latest = 0
-        for batch in batches:
-            positions += batch["sample_idx"].tolist()
-            rewards += batch["reward"].tolist()
-            stamps = batch[event_time].dt.tz_localize(None).astype("datetime64[ms]")
-            latest = max(latest, int(stamps.astype("int64").max()))
-        if len(positions) == group_size:
-            if state.exists:
-                state.remove()
-            yield emit(key, positions, rewards, True)
-            return
-        state.update((positions, rewards))
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 1)
-
-    return arrivals.groupBy("run_id", "group_id").applyInPandasWithState(
+
+    return arrivals.groupBy("bucket").applyInPandasWithState(
         collect, _KEPT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
