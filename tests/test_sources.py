@@ -94,3 +94,14 @@ def test_shuffle_depends_on_the_seed_only(spark):
     order = lambda df, seed: [r[0] for r in pm.shuffle_rows(df, seed, "problem_id").collect()]
     assert order(frame, 42) == order(frame.repartition(7), 42) != order(frame, 43)
     assert order(frame, None) == list(range(200))
+
+
+def test_long_samples_hold_the_same_rows(spark, monkeypatch):
+    from winnow.operators import rounds
+
+    frame = spark.range(500).withColumnRenamed("id", "problem_id")
+    top = {r[0] for r in rounds.shuffled_sample(frame, 123, 42, "problem_id").collect()}
+    monkeypatch.setattr(rounds, "TOP_N", 0)
+    numbered = rounds.shuffled_sample(frame, 123, 42, "problem_id", bucket_digits=1)
+    assert {r[0] for r in numbered.collect()} == top and len(top) == 123
+    assert numbered.columns == ["problem_id"]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import conversation, render_chat, token_count
-from .rounds import cap, shuffle_rows
+from .rounds import cap, shuffle_rows, shuffled_sample
 
 
 def to_conversation(problems: DataFrame, style="boxed", key: str = "problem_id") -> DataFrame:
@@ -58,5 +58,8 @@ def training_prompts(
     key: str = "problem_id",
 ) -> DataFrame:
     """Shuffle, cap, format and length-filter, in that order."""
-    chosen = cap(shuffle_rows(problems, shuffle_seed, key), max_samples)
+    if shuffle_seed is not None and max_samples is not None:
+        chosen = shuffled_sample(problems, max_samples, shuffle_seed, key)
+    else:
+        chosen = cap(shuffle_rows(problems, shuffle_seed, key), max_samples)
     return filter_prompt_length(to_conversation(chosen, style, key), max_prompt_tokens, tokenizer)

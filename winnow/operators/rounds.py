@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import as_col
 
 BUCKET_DIGITS = 3
+TOP_N = 100_000
 
 
 def shuffle_key(seed: int, *keys: str) -> Column:
@@ -58,6 +59,23 @@ def number_rows(
     )
 
 
+def shuffled_sample(
+    df: DataFrame, n: int, seed: int, key: str, bucket_digits: int = BUCKET_DIGITS
+) -> DataFrame:
+    """SRT-1, SRT-2. The first ``n`` rows of the seeded order, for any ``n``.
+
+    A short sample is a top-n. A long one would pass through a single task that way, so
+    it is numbered bucket by bucket instead; the rows are the same, in no order.
+    """
+    if n <= TOP_N:
+        return cap(shuffle_rows(df, seed, key), n)
+    order = df.withColumn("_order", shuffle_key(seed, key))
+    numbered = number_rows(
+        order, [], [F.col("_order"), F.col(key)], F.substring("_order", 1, bucket_digits)
+    )
+    return numbered.where(F.col("row") < n).drop("_order", "row", "total_rows")
+
+
 def assign_rounds(
     df: DataFrame,
     questions_per_round: int | str | Column,
