@@ -136,24 +136,30 @@ def derive_timings(sums: DataFrame) -> DataFrame:
 def reward_metrics(
     df: DataFrame, by: Sequence[str] = ("run_id", "step"), group: Sequence[str] = GROUP
 ) -> DataFrame:
-    """AGG-13. Mean and deviation of every reward, and of the groups, per step."""
+    """AGG-13. Mean and deviation of every reward, and of the groups, per step.
+
+    Groups and steps are two grouping sets of one aggregation, so rows are scored and
+    read once; the second aggregation sees one row per group.
+    """
     names = [c for c in df.columns if c.startswith("rewards/")]
-    columns = []
-    for name in names:
-        columns += [
-            F.avg(f"`{name}`").alias(f"{name}/mean"),
-            F.coalesce(F.stddev_samp(f"`{name}`"), F.lit(0.0)).alias(f"{name}/std"),
-        ]
-    rows = df.groupBy(*by).agg(*columns, F.avg("reward").alias("reward"))
     keys = list(dict.fromkeys([*by, *group]))
-    deviations = df.groupBy(*keys).agg(
+    inner = next(key for key in keys if key not in by)
+    values = {"reward": F.avg("reward")}
+    for name in names:
+        values[f"{name}/mean"] = F.avg(f"`{name}`")
+        values[f"{name}/std"] = F.coalesce(F.stddev_samp(f"`{name}`"), F.lit(0.0))
+    sets = df.groupingSets([[F.col(k) for k in keys], [F.col(k) for k in by]], *keys).agg(
+        F.grouping(inner).alias("_step"),
         F.coalesce(F.stddev_samp("reward"), F.lit(0.0)).alias("_deviation"),
+        *[value.alias(name) for name, value in values.items()],
     )
-    groups = deviations.groupBy(*by).agg(
-        F.avg("_deviation").alias("reward_std"),
-        F.avg(F.when(F.col("_deviation") == 0, 1.0).otherwise(0.0)).alias("frac_reward_zero_std"),
+    is_step = F.col("_step") == 1
+    deviation = F.when(~is_step, F.col("_deviation"))
+    return sets.groupBy(*by).agg(
+        *[F.max(F.when(is_step, F.col(f"`{name}`"))).alias(name) for name in values],
+        F.avg(deviation).alias("reward_std"),
+        F.avg((deviation == 0).cast("double")).alias("frac_reward_zero_std"),
     )
-    return rows.join(groups, list(by))
 
 
 def length_metrics(
