@@ -397,7 +397,7 @@ WARMUP = 2
 def benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark payloads: one per supplier, with points for k = 8, 4, 2, 1."""
     key, balance = F.col("s_suppkey"), F.col("s_acctbal")
-    seconds = lambda k: 0.1 + k * (1 + key % 9) / 64 + (balance * k % 10) / 1024
+    seconds = lambda k: 0.1 + k * (1 + key % 9) / 60 + (balance * k % 10) / 1000
     points = F.array(
         *[
             F.struct(
@@ -428,7 +428,7 @@ def benchmark_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SECONDS_SQL = (
-    "0.1::double + {k} * (1 + s_suppkey % 9) / 64.0::double + (s_acctbal * {k} % 10) / 1024.0::double"
+    "0.1::double + {k} * (1 + s_suppkey % 9) / 60.0::double + (s_acctbal * {k} % 10) / 1000.0::double"
 )
 POINTS_SQL = "points as (" + " union all ".join(
     f"select s_suppkey as bench_id, 8 as num_generations, {i} as position, "
