@@ -7,6 +7,10 @@ import oracle
 from winnow.plans.catalog import ORACLES, QUERIES
 
 
+# There, no user has exactly eight events in a block, and rounds hold fewer rows than steps.
+EMPTY_AT_THE_SMALLEST_SCALE = {"win_5_ragged_drop", "win_9_assign_microbatches"}
+
+
 @pytest.fixture(scope="module")
 def tables(sf_dir):
     return oracle.connect(sf_dir)
@@ -16,8 +20,7 @@ def tables(sf_dir):
 def test_query(spark, sf_dir, tables, name):
     frame = QUERIES[name](spark, sf_dir)
     rows, problems = oracle.compare(frame, tables, ORACLES[name])
-    # The smallest tables have no user with exactly eight events in a block.
-    assert rows > 0 or name == "win_5_ragged_drop"
+    assert rows > 0 or name in EMPTY_AT_THE_SMALLEST_SCALE
     assert not problems
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
