@@ -145,3 +145,22 @@ def word_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, apart: np
         first, last = np.sort(np.concatenate([first, inner])), np.sort(np.concatenate([last, inner]))
     counts = np.searchsorted(first, ends, "left") - np.searchsorted(first, starts, "left")
     return first, last, counts
+
+
+def remainder(doc_id: str, modulus: int) -> Column:
+    """crc32 of an id written as text, modulo; a null id counts as empty text."""
+    text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    return F.crc32(text.cast("binary")) % modulus
+
+
+def bounded_sample(rows: DataFrame, most: int, seed: int) -> list:
+    """At most ``most`` rows, the first by a hash of all columns; the same on every run.
+
+    A share of about twice as many is filtered first, so that no task sends many rows.
+    """
+    total = rows.count()
+    hashed = rows.withColumn("_hash", F.xxhash64(F.lit(seed), *rows.columns))
+    if total > 2 * most:
+        cut = int(-(1 << 63) + (1 << 64) * (2 * most / total))
+        hashed = hashed.where(F.col("_hash") < cut)
+    return hashed.orderBy("_hash", *rows.columns).limit(most).drop("_hash").collect()
