@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import chat, langid, secrets
+from winnow.llm import chat, langid, quality, secrets
 from winnow.llm.common import remainder
 
 LLM_QUERIES: dict = {}
@@ -26,6 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register("op1_quality_rules")
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, against those that are labelled good."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
+    return quality.with_quality(docs, trusted).drop("score")
+
+
 @register("op4_chat_formatting")
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one that is full of markers, formatted and read back."""
