@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import chat, langid, quality, secrets
+from winnow.llm import chat, langid, quality, secrets, warc
 from winnow.llm.common import remainder
 
 LLM_QUERIES: dict = {}
@@ -34,6 +34,27 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_quality(docs, trusted).drop("score")
 
 
+@register("op2_warc", oracle="""
+with p as (
+  select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as n from pages),
+f as (select html, min(page_id) as first from p where n >= 100 group by html)
+select p.page_id, cast(p.n as bigint) as payload_bytes, sha256(p.html) as payload_digest,
+       case when p.page_id > f.first then 'revisit' else 'response' end as record_type,
+       case when p.page_id > f.first then f.first end as refers_to
+from p left join f on p.html = f.html and p.n >= 100""")
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as an archive record, read back: payloads for responses, heads for revisits."""
+    path = warc.write_warc(warc.as_records(table(spark, sf_dir, "pages")))
+    full = warc.read_warc(spark, path, types=["response"]).select(
+        warc.page_id("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    heads = warc.read_warc(spark, path, types=["revisit"], payload=False).select(
+        warc.page_id("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"),
+        F.substring("payload_digest", 8, 64).alias("payload_digest"), "record_type",
+        warc.page_id("refers_to").alias("refers_to"))
+    return full.unionByName(heads)
+
+
 @register("op4_chat_formatting")
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one that is full of markers, formatted and read back."""
