@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import chat, langid, quality, secrets, warc
+from winnow.llm import chat, langid, packing, quality, secrets, warc
 from winnow.llm.common import remainder
 
 LLM_QUERIES: dict = {}
@@ -93,3 +93,15 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter(spans, lambda s: s["kind"] != "crf")
     return found.select("doc_id", *map(count, secrets.PATTERNS),
                         F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
