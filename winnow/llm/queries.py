@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import chat, langid, packing, quality, secrets, warc
+from winnow.llm import chat, langid, lm, packing, quality, secrets, warc
 from winnow.llm.common import remainder
 
 LLM_QUERIES: dict = {}
@@ -65,6 +65,12 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows.unionByName(added)))
 
 
+@register("op5_lm_scoring")
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log-probability of every document, learned from nine tenths of them."""
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 @register("op6_language_id")
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three quarters of them."""
