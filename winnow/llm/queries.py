@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import chat, langid, lm, packing, quality, secrets, warc
+from winnow.llm import chat, langid, lm, packing, quality, secrets, suffix, warc
 from winnow.llm.common import remainder
 
 LLM_QUERIES: dict = {}
@@ -111,3 +111,9 @@ def tokenizer_path() -> str:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@register("op10_suffix_array")
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the strings of 400 bytes that occur elsewhere."""
+    return suffix.without_repeats(table(spark, sf_dir, "documents"))
