@@ -164,3 +164,24 @@ def bounded_sample(rows: DataFrame, most: int, seed: int) -> list:
         cut = int(-(1 << 63) + (1 << 64) * (2 * most / total))
         hashed = hashed.where(F.col("_hash") < cut)
     return hashed.orderBy("_hash", *rows.columns).limit(most).drop("_hash").collect()
+
+
+def text_id() -> Column:
+    """The text's identity: half of its SHA-256; null counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), 1, 16)
+
+
+def once_per_task(rows: DataFrame) -> DataFrame:
+    """``id`` and ``text`` of every text a task meets, without those it has given out before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            keep = []
+            for k, key in enumerate(batch.column("id").to_pylist()):
+                if key not in seen:
+                    seen.add(key)
+                    keep.append(k)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return rows.select("id", "text").mapInArrow(run, "id binary, text string")

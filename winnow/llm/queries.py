@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import chat, langid, lm, packing, quality, secrets, suffix, warc
+from winnow.llm import chat, langid, lm, minhash, packing, quality, secrets, suffix, warc
 from winnow.llm.common import remainder
 
 LLM_QUERIES: dict = {}
@@ -107,6 +107,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@register("op8_near_duplicates")
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @register("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 4096 tokens."""

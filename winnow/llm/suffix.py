@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm import exchange
-from winnow.llm.common import Rolling, chunks, mixed, text_buffers
+from winnow.llm.common import Rolling, chunks, mixed, text_buffers, text_id
 
 WIDTH = 400
 TRIGGER, GAP, SPARSE = 16, 192, 5
@@ -229,11 +229,6 @@ def _distinct(docs: DataFrame, blocks: int) -> DataFrame:
     return rows.withColumn("block", block).repartition(blocks, "block")
 
 
-def text_id():
-    """The text's identity: half of its SHA-256; null counts as empty."""
-    return F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), 1, 16)
-
-
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of every row.
 
