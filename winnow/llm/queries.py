@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import chat, langid, lm, minhash, packing, quality, secrets, suffix, warc
+from winnow.llm import chat, decontam, langid, lm, minhash, packing, quality, secrets, suffix, warc
 from winnow.llm.common import remainder
 
 LLM_QUERIES: dict = {}
@@ -55,6 +55,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.unionByName(heads)
 
 
+@register("op3_decontamination")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents hold."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register("op4_chat_formatting")
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one that is full of markers, formatted and read back."""
