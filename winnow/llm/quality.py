@@ -86,17 +86,19 @@ def features(found: Column, buckets: int = BUCKETS) -> Column:
 
 
 def _counts(docs: DataFrame, buckets: int) -> DataFrame:
-    rows = docs.select(F.explode(features(F.col("words"), buckets)).alias("bucket"))
+    rows = docs.select(words(F.col("text")).alias("words"))
+    rows = rows.select(F.explode(features(F.col("words"), buckets)).alias("bucket"))
     return rows.groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row with ``ratios``, the log-likelihood ratio of each bucket, with add-one smoothing.
 
-    ``docs`` has ``doc_id`` and ``words``; ``trusted`` has the ids of the trusted documents.
+    ``docs`` has ``doc_id`` and ``text``; ``trusted`` has the distinct ids of the trusted
+    documents, which a task of the join holds its part of; the texts aren't sorted.
     """
     raw = _counts(docs, buckets).withColumnRenamed("n", "raw")
-    target = _counts(docs.join(trusted, "doc_id", "left_semi"), buckets).withColumnRenamed("n", "target")
+    target = _counts(docs.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi"), buckets).withColumnRenamed("n", "target")
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     both = every.join(raw, "bucket", "left").join(target, "bucket", "left").select(
         "bucket", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("raw", "target")])
@@ -119,7 +121,7 @@ def with_quality(docs: DataFrame, trusted: DataFrame, *, deviations: float = 6.0
     """
     parts = docs.select("doc_id", "text", words(F.col("text")).alias("words"))
     trusted = trusted.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
-    table = ratios(parts.select("doc_id", "words"), trusted, buckets)
+    table = ratios(docs.select("doc_id", "text"), trusted, buckets)
     counted = parts.select(
         "doc_id", F.size("words").cast("long").alias("n_words"), word_chars(F.col("words")).alias("word_chars"),
         symbols(F.col("text")).alias("n_symbols"), duplicate_lines(F.col("text")).alias("n_dup_lines"),
