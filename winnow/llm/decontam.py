@@ -13,11 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from winnow.llm.common import Rolling, chunks, mixed, text_buffers, word_spans
 
@@ -66,6 +68,10 @@ def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, i
     return best, end
 
 
+def _scrambled(signatures: np.ndarray) -> np.ndarray:
+    return mixed(signatures.astype(np.uint64)) >> np.uint64(48)
+
+
 @dataclass
 class Index:
     """Signatures of a block of items. Word 0 stands for every word that no item has."""
@@ -116,23 +122,31 @@ class Index:
         size = len(codes)
         # Past the end stand words that no item has, so that no walk leaves the array.
         codes = np.concatenate([codes, np.zeros(MOST_STEPS, codes.dtype)])
-        walked, bits, reached = -1, [], []
+        walked, walk, reached = -1, codes, []
+
+        def moved(at: np.ndarray, step: int) -> np.ndarray:
+            return at + ((walk[at] >> np.uint64(step)) & np.uint64(1)).astype(np.int32)
+
         for repeat, picked, signatures, numbers, offsets, walks in self.passes:
             if walked != repeat:
                 walked, walk = repeat, self.bits[repeat][codes]
-                bits = [((walk >> np.uint64(step)) & np.uint64(1)).astype(np.int8) for step in range(MOST_STEPS)]
                 reached = [np.arange(size, dtype=np.int32)]  # of all windows, by step
             while len(reached) <= picked[0]:
-                reached.append(reached[-1] + bits[len(reached) - 1][reached[-1]])
+                reached.append(moved(reached[-1], len(reached) - 1))
             first = np.zeros(base, bool)
             first[signatures // base ** (len(picked) - 1)] = True
-            start = np.flatnonzero(first[codes[reached[picked[0]]]])
+            start = np.flatnonzero(first[codes[reached[picked[0]]]]).astype(np.int32)
             at = reached[picked[0]][start]
             signature = codes[at].astype(np.int64)
             for before, goal in zip(picked, picked[1:]):
                 for step in range(before, goal):
-                    at = at + bits[step][at]
+                    at = moved(at, step)
                 signature = signature * base + codes[at]
+            # A bitmap of scrambled signatures spares most of the searches.
+            maybe = np.zeros(1 << 16, bool)
+            maybe[_scrambled(signatures)] = True
+            keep = maybe[_scrambled(signature)]
+            start, signature = start[keep], signature[keep]
             low = np.searchsorted(signatures, signature, "left")
             n = np.searchsorted(signatures, signature, "right") - low
             hit = n > 0
@@ -143,7 +157,7 @@ class Index:
                 agree, at = np.zeros(len(start)), start
                 for step, words in enumerate(walks):
                     agree += codes[at] == words[entry]
-                    at = at + bits[step][at]
+                    at = moved(at, step)
                 near = agree >= AGREE * len(walks)
                 found.append(np.stack([numbers[entry[near]], start[near] - offsets[entry[near]]], axis=1))
         return np.unique(np.concatenate(found), axis=0)
@@ -201,19 +215,22 @@ class Index:
         return [(text, number, start, size, distance) for (text, number), (distance, start, size) in sorted(best.items())]
 
 
+def _matches(index: Index, texts, share: float) -> Iterator[tuple[int, int, int, int, int]]:
+    """Verified matches of a column of lower-cased texts, some texts at a time."""
+    keys, edges = word_keys(texts)
+    at = np.minimum(np.searchsorted(index.vocabulary, keys), len(index.vocabulary) - 1)
+    codes = np.where(index.vocabulary[at] == keys, at + 1, 0)
+    for first, stop in chunks(edges[:-1], edges[1:], 1 << 17):
+        for text, *match in index.matches(codes[edges[first]:edges[stop]], edges[first:stop + 1] - edges[first], share):
+            yield first + text, *match
+
+
 def _search(docs: DataFrame, index: Index, share: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            keys, edges = word_keys(batch.column("text"))
-            at = np.minimum(np.searchsorted(index.vocabulary, keys), len(index.vocabulary) - 1)
-            codes = np.where(index.vocabulary[at] == keys, at + 1, 0)
-            rows = []
-            for first, stop in chunks(edges[:-1], edges[1:], 1 << 17):
-                part = codes[edges[first]:edges[stop]]
-                rows += [(ids[first + text], index.ids[number], start, size, distance)
-                         for text, number, start, size, distance in
-                         index.matches(part, edges[first:stop + 1] - edges[first], share)]
+            rows = [(ids[text], index.ids[number], start, size, distance)
+                    for text, number, start, size, distance in _matches(index, batch.column("text"), share)]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in zip(*rows)], schema=_MATCH_ARROW)
@@ -221,6 +238,28 @@ def _search(docs: DataFrame, index: Index, share: float) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(run, _MATCH)
 
 
+def _clean(index: Index, share: float):
+    @F.arrow_udf(BooleanType())
+    def clean(texts: pa.Array) -> pa.Array:
+        held = np.zeros(len(texts), bool)
+        held[[text for text, *_ in _matches(index, texts, share)]] = True
+        return pa.array(~held)
+
+    return clean
+
+
+def _indexes(benchmark: DataFrame, block_items: int) -> Iterator[Index]:
+    """An index per block of items; what the driver holds is one block."""
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    blocks = max(1, -(-items.count() // block_items))
+    for block in range(blocks):
+        of_block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        rows = of_block.orderBy("item_id", "text").collect()  # about block_items rows
+        index = Index.build([r.item_id for r in rows], [r.text for r in rows])
+        if len(index.vocabulary):
+            yield index
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, *, share: float = SHARE, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """Benchmark items that documents hold: one row per document and item, the best match.
 
@@ -230,23 +269,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, share: float = SHARE, block_
     match nothing. Repeated rows and items, and null ids, are matched like others; other
     columns are left out; an empty table on either side gives no rows.
     """
-    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = max(1, -(-items.count() // block_items))
-    found = docs.sparkSession.createDataFrame([], _MATCH)
-    for block in range(blocks):
-        of_block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = of_block.orderBy("item_id", "text").collect()  # about block_items rows
-        index = Index.build([r.item_id for r in rows], [r.text for r in rows])
-        if len(index.vocabulary):
-            part = _search(docs, index, share)
-            found = part if blocks == 1 else found.unionByName(part)
-    return found
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, *, share: float = SHARE) -> DataFrame:
-    """The rows, with all columns, whose text holds no benchmark item. Null ids are judged like others."""
-    own = F.xxhash64("doc_id", "text").alias("_row")
-    numbered = docs.select(own.alias("doc_id"), "text")
-    held = leaks(numbered, benchmark, share=share).select(F.col("doc_id").alias("_row")).distinct()
-    rest = docs.withColumn("_row", own).join(held, "_row", "left_anti")
-    return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
+    parts = [_search(docs, index, share) for index in _indexes(benchmark, block_items)]
+    if not parts:
+        return docs.sparkSession.createDataFrame([], _MATCH)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, share: float = SHARE,
+                  block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows, with all columns, whose text holds no benchmark item; matches as in :func:`leaks`."""
+    for index in _indexes(benchmark, block_items):
+        docs = docs.where(_clean(index, share)(F.lower(F.coalesce("text", F.lit("")))))
+    return docs

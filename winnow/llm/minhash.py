@@ -161,7 +161,8 @@ def _links(texts: DataFrame) -> DataFrame:
     open_ = _crowded(every)
     open_ = stored(open_, "sketches")
     wanted = open_.select("id").distinct()
-    bodies = stored(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "candidates")
+    # Hashing the ids spares a sort of the texts.
+    bodies = stored(texts.join(wanted.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), "candidates")
     found = []
     while True:
         leaders = open_.groupBy("number", "key").agg(
@@ -245,8 +246,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", own).join(
         text_groups(docs).withColumnRenamed("id", "_id"), "_id", "left").select(
         "doc_id", "_id", F.coalesce("root", "_id").alias("root"))
-    kept = rows.groupBy("root").agg(F.min(F.struct("doc_id", "_id")).alias("kept")).select(
-        F.col("kept.doc_id").alias("_doc"), F.col("kept._id").alias("_text"))
-    found = docs.withColumn("_id", text_id()).join(
-        kept, (F.col("_id") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    return found.dropDuplicates(["_id", "_doc"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    counted = rows.groupBy("root", "doc_id", "_id").agg(F.count("*").alias("n"))
+    kept = counted.groupBy("root").agg(F.min(F.struct("doc_id", "_id", "n")).alias("kept")).select(
+        F.col("kept.doc_id").alias("_doc"), F.col("kept._id").alias("_text"), F.col("kept.n").alias("_n"))
+
+    def rows_of(wanted: DataFrame) -> DataFrame:
+        return docs.withColumn("_id", text_id()).join(
+            wanted.hint("shuffle_hash"), (F.col("_id") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+
+    alone, repeated = rows_of(kept.where("_n = 1")), rows_of(kept.where("_n > 1")).dropDuplicates(["_id", "_doc"])
+    return alone.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

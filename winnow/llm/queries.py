@@ -129,3 +129,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the strings of 400 bytes that occur elsewhere."""
     return suffix.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@register("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
