@@ -28,12 +28,50 @@ SENTENCE_CUT, HARD_CUT = 16, 64
 SEGMENT = 1 << 20
 
 _SENTENCE = re.compile(r"[.!?]+(</w>)?")
-_CACHE_WORDS = 800_000
+#: Letters whose lower case is one letter and already composed, then signs without quotes.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+_CACHE_WORDS = 500_000
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary (a fixed rule)."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+
+
+class _Words(dict):
+    """Token ids of white-space separated runs as bytes, found when first asked for."""
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.tokenizer, self.letters, self.tails = tokenizer, {}, {b"": b""}
+        self.byte_letters = _byte_letters()
+
+    def _whole(self, run: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(run.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, run: bytes) -> bytes:
+        found = _PLAIN.fullmatch(run.decode())
+        if found is None:
+            ids = self._whole(run)
+        else:
+            # Letters, then signs: the split pattern parts them, and lower case has no exceptions.
+            word, tail = found[1].lower(), found[2].encode()
+            ids = self.letters.get(word)
+            if ids is None:
+                spelled = word if word.isascii() else "".join(map(self.byte_letters.__getitem__, word.encode()))
+                ids = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+                self.letters[word] = ids
+            if tail not in self.tails:
+                self.tails[tail] = self._whole(tail)
+            ids = ids + self.tails[tail]
+        self[run] = ids
+        return ids
+
+
 class WordTokenizer:
     """Token ids of whole texts, by a memory of the words seen; the same as the tokenizer gives.
 
@@ -46,7 +84,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
+        self.words = _Words(self.tokenizer)
         ends = [i for t, i in self.tokenizer.get_vocab().items() if _SENTENCE.fullmatch(t)]
         self.sentence_end = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.sentence_end[ends] = True
@@ -59,18 +97,11 @@ class WordTokenizer:
             kept[path] = cls(path)
         return kept[path]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, text: str) -> np.ndarray:
         if len(self.words) > _CACHE_WORDS:
             self.words.clear()
-        split = [text.encode().split() for text in texts]
-        new = list(set().union(*split).difference(self.words))
-        for k in range(0, len(new), 10_000):
-            part = new[k:k + 10_000]
-            encoded = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            for word, found in zip(part, encoded):
-                self.words[word] = np.array(found.ids, "<u4").tobytes()
-        look = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(look, words)), "<u4") for words in split]
+            self.words.letters.clear()
+        return np.frombuffer(b"".join(map(self.words.__getitem__, text.encode().split())), "<u4")
 
 
 def padding(length: int, size: int = SIZE) -> int:
@@ -83,8 +114,17 @@ def best_cuts(places: list[int], penalties: list[int], size: int = SIZE) -> list
     ``places`` rise from 0, no two further apart than ``size``; ``penalties`` has what a cut
     at each costs. Of equal costs the earlier cut is taken.
     """
-    index = {place: k for k, place in enumerate(places)}
-    powers = [1 << b for b in range(size.bit_length()) if 1 << b <= size]
+    at = np.array(places)
+    ends, begins = [], []
+    for power in (1 << b for b in range(size.bit_length()) if 1 << b <= size):
+        k = np.searchsorted(at, at - power)
+        hit = np.flatnonzero(at[k] == at - power)
+        ends.append(hit)
+        begins.append(k[hit])
+    ends, begins = np.concatenate(ends), np.concatenate(begins)
+    order = np.lexsort((begins, ends))
+    edges = np.searchsorted(ends[order], np.arange(len(places) + 1)).tolist()
+    begins = begins[order].tolist()
     cost, back = [0] * len(places), [0] * len(places)
     queue = deque([0])  # of rising places with rising cost + place
     for k in range(1, len(places)):
@@ -93,9 +133,8 @@ def best_cuts(places: list[int], penalties: list[int], size: int = SIZE) -> list
             queue.popleft()
         best = queue[0]
         least = cost[best] + size - (place - places[best])
-        for power in powers:
-            j = index.get(place - power)
-            if j is not None and (cost[j] < least or (cost[j] == least and j < best)):
+        for j in begins[edges[k]:edges[k + 1]]:
+            if cost[j] < least or (cost[j] == least and j < best):
                 best, least = j, cost[j]
         cost[k], back[k] = least + penalties[k], best
         value = cost[k] + place
@@ -207,11 +246,8 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = SIZE, segment: int = SE
             return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PIECES.split(", ")])
 
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for k in range(0, len(ids), 256):
-                texts = [t or "" for t in batch.column("text").slice(k, 256).to_pylist()]
-                for doc_id, found in zip(ids[k:k + 256], words.encode(texts)):
-                    packer.add(doc_id, found)
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                packer.add(doc_id, words.encode(text.as_py() or ""))
                 if packer.waiting >= segment and (rows := packer.pack(last=False)):
                     yield table(rows)
         if rows := packer.pack(last=True):
