@@ -250,9 +250,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = counted.groupBy("root").agg(F.min(F.struct("doc_id", "_id", "n")).alias("kept")).select(
         F.col("kept.doc_id").alias("_doc"), F.col("kept._id").alias("_text"), F.col("kept.n").alias("_n"))
 
+    # All columns as one, so that none of theirs meets one of ours.
+    whole = docs.select(F.struct("*").alias("_row"), text_id().alias("_id"), F.col("doc_id").alias("_own"))
+
     def rows_of(wanted: DataFrame) -> DataFrame:
-        return docs.withColumn("_id", text_id()).join(
-            wanted.hint("shuffle_hash"), (F.col("_id") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+        return whole.join(
+            wanted.hint("shuffle_hash"), (F.col("_id") == F.col("_text")) & F.col("_own").eqNullSafe(F.col("_doc")))
 
     alone, repeated = rows_of(kept.where("_n = 1")), rows_of(kept.where("_n > 1")).dropDuplicates(["_id", "_doc"])
-    return alone.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return alone.unionByName(repeated).select("_row.*")
