@@ -2,11 +2,14 @@
 
 import re
 
+import pytest
+
 from winnow.operators import diagnostics as dg
 from winnow.operators import objective as ob
 from winnow.operators import pruning as pr
 from winnow.operators.scoring import group_advantage
 from winnow.plans import views as v
+from winnow.plans.catalog import QUERIES
 
 
 def executed(df):
@@ -46,6 +49,18 @@ def test_only_needed_columns_are_read(spark, sf_dir):
 
 
 def test_hot_group_search_reads_keys_only(spark, sf_dir):
-    frame = group_advantage(v.scored(spark, sf_dir))
-    plan = frame._jdf.queryExecution().executedPlan().toString()
+    from winnow.operators.skew import hot_keys
+
+    plan = hot_keys(v.scored(spark, sf_dir), ["run_id", "group_id"])._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint>" in plan
+
+
+@pytest.mark.parametrize("name", [
+    "win_1_batch_scale", "win_4_batch_fallback", "win_4_fallback_smallest", "win_6_degenerate", "jn_1_attach_solutions",
+    "jn_4_with_run"])
+def test_few_scans(spark, sf_dir, name):
+    found = [q for q in QUERIES if q == name or q.startswith(name.rsplit("_", 1)[0])]
+    for query in found or [name]:
+        plan = QUERIES[query](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") <= 3, query
+        assert plan.count("Exchange hashpartitioning") <= 5, query

@@ -181,3 +181,58 @@ def test_microbatches_are_equal_and_drop_the_remainder(spark):
                                    F.col("id").alias("group_id"), F.lit(0).alias("sample_idx"))
     sizes = assign_microbatches(rows, 8).groupBy("microbatch").count().collect()
     assert sorted((r.microbatch, r["count"]) for r in sizes) == [(i, 12) for i in range(8)]
+
+
+@pytest.mark.parametrize("hot_rows", [1, 7, 10, 99, 100, 101, 10**6])
+@pytest.mark.parametrize("size", [100, "column"])
+def test_topk_does_not_depend_on_hot_rows(spark, hot_rows, size):
+    rows = spark.range(250).select(
+        F.lit(0).cast("long").alias("run_id"), F.expr("id div 100").alias("group_id"), F.expr("cast(id % 100 as int)").alias("sample_idx"),
+        (F.xxhash64("id") % 50).cast("double").alias("reward"), F.lit(True).alias("flag"), F.lit(100).alias("g"))
+    got = group_advantage(rows, hot_rows=hot_rows)
+    plain = group_advantage(rows)
+    options = {"on_ragged": "keep", "hot_rows": hot_rows}
+    marked = pr.mark_kept(got, "g" if size == "column" else size, 2, **options)
+    want = kept(pr.mark_kept(plain, 100, 2, on_ragged="keep").where("kept"))
+    assert kept(marked.where("kept")) == want and len(want) == 2 + 2 + 50
+    whole = pr.select_topk(got.where("group_id < 2"), 2, 100, hot_rows=hot_rows)
+    assert kept(whole) == want[:4]
+
+
+@pytest.mark.parametrize("order", ["abs", "signed", "smallest", "random"])
+def test_every_selector_falls_back(spark, order):
+    values = [0, 0, 0, 5, 0, 0, 0, 0]
+    marked = pr.mark_kept(frame(spark, values, 4), 4, 2, order=order, drop_zero=True, batch=["run_id", "step"])
+    rows = {(r.group_id, r.sample_idx) for r in marked.where("kept").collect()}
+    plain = {(r.group_id, r.sample_idx) for r in pr.mark_kept(frame(spark, values, 4), 4, 2, order=order).where("kept").collect()}
+    assert rows == ({(0, 3)} if (0, 3) in plain else plain) and rows
+
+
+def test_a_ragged_group_keeps_its_batch(spark):
+    rows = frame(spark, [3, 2, 1, 0, 3, 2], 4).unionByName(frame(spark, [3, 2, 1, 0], 4).withColumn("step", F.lit(1).cast("long")).withColumn(
+        "group_id", F.lit(9).cast("long")))
+    marked = pr.mark_kept(rows, 4, 2, on_ragged="keep_batch", batch=["run_id", "step"])
+    assert kept(marked.where("kept")) == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 1), (9, 0), (9, 1)]
+    with pytest.raises(ValueError):
+        pr.mark_kept(rows, 4, 2, on_ragged="keep_batch")
+
+
+def test_texts_alone_divide_a_hot_key(spark):
+    rows = spark.range(1000).select(F.lit(1).alias("key"), F.lit(True).alias("flag"), F.concat(F.lit("text "), "id").alias("text"))
+    divided = with_group_stats(rows, ["key"], {"n": F.count(F.lit(1))}, 10)
+    assert divided.groupBy("_spread").count().agg(F.max("count")).first()[0] < 40
+
+
+def test_scores_follow_the_verifier_and_the_registry(spark):
+    from winnow.functions import rewards
+    from winnow.operators.scoring import score
+
+    rows = spark.createDataFrame([("\\\\boxed{two}".replace("\\\\", "\\"), "2"), ("\\boxed{3}", "2")], "completion string, solution string")
+    check = rewards.python_verifier(lambda left, right: (left, right) == ("two", "2"))
+    assert [r["rewards/accuracy_reward"] for r in score(rows, verifier=check).collect()] == [2.0, 0.0]
+    built_in = rewards.reward_builder("accuracy_reward")
+    rewards.register_reward("accuracy_reward", lambda completion, solution: F.lit(7.0))
+    try:
+        assert [r["rewards/accuracy_reward"] for r in score(rows).collect()] == [7.0, 7.0]
+    finally:
+        rewards.register_reward("accuracy_reward", built_in)

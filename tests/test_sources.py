@@ -96,12 +96,19 @@ def test_shuffle_depends_on_the_seed_only(spark):
     assert order(frame, None) == list(range(200))
 
 
-def test_long_samples_hold_the_same_rows(spark, monkeypatch):
+@pytest.mark.parametrize("digits", [1, 2, 3])
+def test_samples_of_any_size_hold_the_seeded_order(spark, digits):
     from winnow.operators import rounds
 
     frame = spark.range(500).withColumnRenamed("id", "problem_id")
-    top = {r[0] for r in rounds.shuffled_sample(frame, 123, 42, "problem_id").collect()}
-    monkeypatch.setattr(rounds, "TOP_N", 0)
-    numbered = rounds.shuffled_sample(frame, 123, 42, "problem_id", bucket_digits=1)
-    assert {r[0] for r in numbered.collect()} == top and len(top) == 123
-    assert numbered.columns == ["problem_id"]
+    order = [r[0] for r in pm.shuffle_rows(frame, 42, "problem_id").collect()]
+    for n in (0, 1, 123, 500, 900):
+        rows = rounds.shuffled_sample(frame.repartition(3), n, 42, "problem_id", digits).orderBy("row").collect()
+        assert [(r.problem_id, r.row) for r in rows] == [(k, i) for i, k in enumerate(order[:n])]
+
+
+def test_a_cap_needs_a_seed(spark):
+    problems = spark.createDataFrame([(1, "a", "3")], "problem_id long, prompt string, solution string")
+    with pytest.raises(ValueError, match="seed"):
+        pm.training_prompts(problems, max_samples=1, shuffle_seed=None)
+    assert pm.training_prompts(problems, shuffle_seed=None).count() == 1

@@ -158,6 +158,7 @@ _REWARDS: dict[str, RewardBuilder] = {
     "format_reward_boxed": format_reward_boxed,
     "format_reward_think_answer": format_reward_think_answer,
 }
+_BUILT_IN = dict(_REWARDS)
 _STYLES = {
     "boxed": ("accuracy_reward", "format_reward_boxed"),
     "think_answer": ("accuracy_reward", "format_reward_think_answer"),
@@ -169,6 +170,11 @@ def register_reward(name: str, builder: RewardBuilder) -> None:
     _REWARDS[name] = builder
 
 
+def is_built_in(name: str) -> bool:
+    """Whether a name still stands for the reward that this module gives it."""
+    return _REWARDS.get(name) is _BUILT_IN.get(name)
+
+
 def reward_names(style: str) -> list[str]:
     """Names of a style's rewards, accuracy first; an unknown style is an error."""
     if style not in _STYLES:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import conversation, render_chat, token_count
-from .rounds import cap, shuffle_rows, shuffled_sample
+from .rounds import shuffle_rows, shuffled_sample
 
 
 def to_conversation(problems: DataFrame, style="boxed", key: str = "problem_id") -> DataFrame:
@@ -57,9 +57,15 @@ def training_prompts(
     tokenizer: Callable[[Column], Column] | None = None,
     key: str = "problem_id",
 ) -> DataFrame:
-    """Shuffle, cap, format and length-filter, in that order."""
-    if shuffle_seed is not None and max_samples is not None:
-        chosen = shuffled_sample(problems, max_samples, shuffle_seed, key)
+    """Shuffle, cap, format and length-filter, in that order.
+
+    A cap needs a seed, else partitioning would choose the rows; capped rows carry their
+    place in the seeded order as ``row`` and come in no order.
+    """
+    if max_samples is None:
+        chosen = shuffle_rows(problems, shuffle_seed, key)
+    elif shuffle_seed is None:
+        raise ValueError("a cap needs a shuffle seed")
     else:
-        chosen = cap(shuffle_rows(problems, shuffle_seed, key), max_samples)
+        chosen = shuffled_sample(problems, max_samples, shuffle_seed, key)
     return filter_prompt_length(to_conversation(chosen, style, key), max_prompt_tokens, tokenizer)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import as_col
 from .rounds import shuffle_key
 from .scoring import GROUP
-from .skew import HOT_ROWS, SPREAD, group_window, lookup, with_group_stats
+from .skew import HOT_ROWS, SPREAD, group_window, with_group_stats
 
 
 def _ordering(order: str, keys: Sequence[str], seed: int) -> list[Column]:
@@ -35,8 +35,30 @@ def _with_rows(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
 
 
 def _check_ragged(on_ragged: str) -> None:
-    if on_ragged not in ("error", "keep", "drop"):
-        raise ValueError(f"on_ragged must be error, keep or drop, got {on_ragged!r}")
+    if on_ragged not in ("error", "keep", "keep_batch", "drop"):
+        raise ValueError(f"on_ragged must be error, keep, keep_batch or drop, got {on_ragged!r}")
+
+
+def _rank_window(keys: Sequence[str], group_size, whole: Column, hot_rows: int) -> WindowSpec:
+    """Whole groups are ranked in one piece, whatever their size.
+
+    Groups of more than ``hot_rows`` rows are spread. With a literal size of at most that
+    they are never whole, and the exchange of the group's statistics serves the rank too.
+    """
+    if isinstance(group_size, int) and group_size <= hot_rows:
+        return group_window(keys)
+    piece = F.when(whole, 0).otherwise(F.col(SPREAD))
+    return Window.partitionBy(*[F.col(f"`{key}`") for key in keys], piece)
+
+
+def _per_batch(marked: DataFrame, batch: Sequence[str], name: str, value: Column) -> DataFrame:
+    """Add an aggregate of each batch: one row per batch, which Catalyst sizes and joins."""
+    named = {key: f"_batch{n}" for n, key in enumerate(batch)}
+    rows = marked.groupBy(*[F.col(f"`{k}`").alias(n) for k, n in named.items()]).agg(value.alias(name))
+    same = F.lit(True)
+    for key, other in named.items():
+        same &= F.col(f"`{key}`").eqNullSafe(F.col(other))
+    return marked.join(rows, same, "left").drop(*named.values())
 
 
 def _ragged_error(keys: Sequence[str], group_size: Column) -> Column:
@@ -68,6 +90,8 @@ def select_topk(
     _check_ragged(on_ragged)
     if not 1 <= k <= group_size:
         raise ValueError(f"k must lie in [1, {group_size}], got {k}")
+    if on_ragged == "keep_batch":
+        raise ValueError("keep_batch needs the batch keys of mark_kept")
     if on_ragged == "keep":
         marked = mark_kept(df, group_size, k, keys, order, on_ragged=on_ragged, seed=seed,
                            hot_rows=hot_rows)
@@ -78,7 +102,8 @@ def select_topk(
         whole = F.when(whole, True).otherwise(
             _ragged_error(keys, F.lit(group_size)).cast("boolean")
         )
-    window = group_window(keys).orderBy(*_ordering(order, keys, seed))
+    window = _rank_window(keys, group_size, F.col("group_rows") == group_size, hot_rows).orderBy(
+        *_ordering(order, keys, seed))
     ranked = sized.where(whole).withColumn("_rank", F.row_number().over(window))
     return ranked.where(F.col("_rank") <= k).drop("_rank", SPREAD)
 
@@ -101,34 +126,39 @@ def mark_kept(
 
     ``drop_zero`` also drops advantages within ``zero_tolerance`` of 0. With ``batch``
     keys, a batch in which nothing would survive that falls back to the plain top-k.
-    Ragged groups fail the job, are kept whole, or are dropped. Rows where ``training``
-    is false are never pruned.
+    Ragged groups fail the job, are kept whole (with ``"keep_batch"`` the whole batch of a
+    ragged group is), or are dropped. Rows where ``training`` is false are never pruned.
     """
     _check_ragged(on_ragged)
+    if on_ragged == "keep_batch" and batch is None:
+        raise ValueError("keep_batch needs batch keys")
     size, kept_per_group = as_col(group_size), as_col(k)
     sized = _with_rows(df, keys, hot_rows)
     whole = F.col("group_rows") == size
     if on_ragged == "drop":
         sized = sized.where(whole)
-    window = group_window(keys).orderBy(*_ordering(order, keys, seed))
-    ragged = F.lit(True) if on_ragged == "keep" else _ragged_error(keys, size).cast("boolean")
-    # A hot group is never whole, so its rank over a spread piece is not used.
+    window = _rank_window(keys, group_size, whole, hot_rows).orderBy(*_ordering(order, keys, seed))
+    kept_whole = on_ragged in ("keep", "keep_batch")
+    ragged = F.lit(True) if kept_whole else _ragged_error(keys, size).cast("boolean")
     marked = sized.withColumn("_rank", F.row_number().over(window)).withColumn(
         "kept", F.when(whole, F.col("_rank") <= kept_per_group).otherwise(ragged)
     )
     marked = marked.drop("_rank", SPREAD)
+    strict = F.col("kept") & ((F.abs("advantage") > zero_tolerance) | ~whole) if drop_zero else None
+    values = []
+    if batch is not None and drop_zero:
+        # What survives depends on the selector, so it is read from the marked rows.
+        values.append(F.max(strict).alias("any"))
+    if on_ragged == "keep_batch":
+        values.append(F.max(~whole).alias("ragged"))
+    if values:
+        marked = _per_batch(marked, batch, "_of_batch", F.struct(*values))
     if drop_zero:
-        has_signal = F.abs("advantage") > zero_tolerance
-        strict = F.col("kept") & (has_signal | ~whole)
-        if batch is None:
-            marked = marked.withColumn("kept", strict)
-        else:
-            # The largest advantage of a group is always in its top k, so a batch has a
-            # survivor exactly when it has any signal; no ranking is needed to tell.
-            survivors = sized.groupBy(*batch).agg(F.max(has_signal | ~whole).alias("_any"))
-            marked = lookup(marked, survivors, list(batch), hot_rows)
-            marked = marked.withColumn("kept", F.when(F.col("_any"), strict).otherwise(F.col("kept")))
-            marked = marked.drop("_any")
+        chosen = strict if batch is None else F.when(F.col("_of_batch.any"), strict).otherwise(F.col("kept"))
+        marked = marked.withColumn("kept", chosen)
+    if on_ragged == "keep_batch":
+        marked = marked.withColumn("kept", F.col("kept") | F.col("_of_batch.ragged"))
+    marked = marked.drop("_of_batch")
     if training is not None:
         marked = marked.withColumn("kept", ~training | F.col("kept"))
     return marked

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import as_col
 
 BUCKET_DIGITS = 3
-TOP_N = 100_000
 
 
 def shuffle_key(seed: int, *keys: str) -> Column:
@@ -26,7 +25,10 @@ def shuffle_rows(df: DataFrame, seed: int | None, key: str) -> DataFrame:
 
 
 def cap(df: DataFrame, n: int | None) -> DataFrame:
-    """SRT-2. At most ``n`` rows; on a shuffled frame this is a top-n, not a full sort."""
+    """SRT-2. The first ``n`` rows of a sorted frame: a top-n, not a full sort.
+
+    Only for frames in an order; without one, partitioning would choose the rows.
+    """
     return df if n is None else df.limit(n)
 
 
@@ -62,18 +64,16 @@ def number_rows(
 def shuffled_sample(
     df: DataFrame, n: int, seed: int, key: str, bucket_digits: int = BUCKET_DIGITS
 ) -> DataFrame:
-    """SRT-1, SRT-2. The first ``n`` rows of the seeded order, for any ``n``.
+    """SRT-1, SRT-2. The first ``n`` rows of the seeded order, with their place as ``row``.
 
-    A short sample is a top-n. A long one would pass through a single task that way, so
-    it is numbered bucket by bucket instead; the rows are the same, in no order.
+    Rows are numbered bucket by bucket, so no task sorts or holds the whole sample, and
+    come in no order, whatever ``n`` is; sort by ``row`` to see the seeded one.
     """
-    if n <= TOP_N:
-        return cap(shuffle_rows(df, seed, key), n)
     order = df.withColumn("_order", shuffle_key(seed, key))
     numbered = number_rows(
         order, [], [F.col("_order"), F.col(key)], F.substring("_order", 1, bucket_digits)
     )
-    return numbered.where(F.col("row") < n).drop("_order", "row", "total_rows")
+    return numbered.where(F.col("row") < n).drop("_order", "total_rows")
 
 
 def assign_rounds(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from ..functions import as_col
 from ..functions.rewards import (
     ACCURACY_WEIGHT,
     FORMAT_WEIGHT,
+    is_built_in,
     rationally_equal,
     reward_builder,
     reward_names,
@@ -39,13 +40,23 @@ def score(
     rewards: Sequence[str] | None = None,
     completion: str = "completion",
     solution: str = "solution",
+    verifier: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
-    """STR-11. Add ``rewards/<name>`` columns and their sum ``reward``."""
+    """STR-11, UDF-1, UDF-2. Add ``rewards/<name>`` columns and their sum ``reward``.
+
+    ``verifier`` may accept answers that the native comparison refuses, see
+    :func:`winnow.functions.rewards.python_verifier`. A name that was registered anew
+    stands for the new reward.
+    """
     names = list(rewards) if rewards is not None else reward_names(style)
     text, gold = F.col(completion), F.col(solution)
-    staged = _answer_columns(df, text, gold, names)
+    shared = [name for name in names if is_built_in(name)]
+    staged = _answer_columns(df, text, gold, shared)
+    correct = rationally_equal("_left", "_right")
+    if verifier is not None:
+        correct = F.coalesce(verifier(F.col("_candidate"), gold), F.lit(False)) | correct
     built_in = {
-        "accuracy_reward": F.when(rationally_equal("_left", "_right"), ACCURACY_WEIGHT),
+        "accuracy_reward": F.when(correct, ACCURACY_WEIGHT),
         "format_reward_boxed": F.when(
             F.col("_boxed").isNotNull() & (count_boxed(text) == 1), FORMAT_WEIGHT
         ),
@@ -53,7 +64,7 @@ def score(
     scored = staged.withColumns(
         {
             f"rewards/{name}": built_in[name].otherwise(0.0)
-            if name in built_in
+            if name in built_in and name in shared
             else reward_builder(name)(text, gold)
             for name in names
         }
@@ -115,10 +126,14 @@ def flag_degenerate(
     keys: Sequence[str] = GROUP,
     tolerance: float = 1e-8,
     hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """WIN-6. Add ``degenerate``: no completion of the group has an advantage."""
+    """WIN-6. Add ``degenerate``: no completion of the group has an advantage.
+
+    ``counted`` is a cheaper frame with the same keys, from which hot keys are found.
+    """
     stats = {"_largest": F.max(F.abs("advantage").cast("float"))}
-    flagged = with_group_stats(df, list(keys), stats, hot_rows)
+    flagged = with_group_stats(df, list(keys), stats, hot_rows, counted)
     return flagged.withColumn("degenerate", F.col("_largest") <= tolerance).drop("_largest")
 
 

@@ -5,24 +5,25 @@ Ordinary groups are small, so that is the cheapest plan: one exchange. A key wit
 than ``hot_rows`` rows is handled apart, and exactly:
 
 * its aggregate is computed with partial aggregation before the shuffle;
-* the aggregates of all hot keys are broadcast. There are fewer than
-  ``rows / hot_rows`` of them, which bounds the broadcast;
 * its rows get a spread number, so the exchange divides them into pieces of about
   ``hot_rows`` rows instead of sending them to one task.
 
-Finding the hot keys reads the key columns only. When there are none, adaptive
-execution sees the empty broadcast and drops the hot branch.
+The hot keys are looked for when an operator is built, by one job that reads the key
+columns only. Without any, the plan is one window or one join. Up to ``MOST_BROADCAST``
+of them are broadcast with their aggregates; more are left to Catalyst's own sizes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HOT_ROWS = 1_000_000
+#: Hot keys up to this number, counted when the plan is built, are broadcast.
+MOST_BROADCAST = 1_000
 SPREAD = "_spread"
 _HOT = "_hot"
 
@@ -40,26 +41,36 @@ def _same(keys: Sequence[str], left: str, right: str) -> Column:
     return condition
 
 
-def _pieces(df: DataFrame, keys: Sequence[str], hot_rows: int) -> Column:
-    """Spread number: 0 for ordinary rows, 1..pieces for rows of a hot key.
+def _found(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, Callable] | None:
+    """The hot keys and how to treat a side with a row for each, or None without any."""
+    hot = hot_keys(df, keys, hot_rows)
+    rows = hot.limit(MOST_BROADCAST + 1).collect()
+    if not rows:
+        return None
+    if len(rows) > MOST_BROADCAST:
+        return hot, lambda side: side
+    return df.sparkSession.createDataFrame(rows, hot.schema), F.broadcast
 
-    Rows are told apart by their numbers, times and flags, so that texts and arrays need
-    not be read for it; by their texts only where there is nothing else.
-    """
-    others = [f for f in df.schema.fields if f.name not in (*keys, _HOT)]
-    atomic = [f for f in others if isinstance(f.dataType, T.AtomicType)]
-    short = [f for f in atomic if not isinstance(f.dataType, (T.StringType, T.BinaryType))]
-    identity = [F.col(f"`{f.name}`") for f in short or atomic]
+
+def _mappable(kind: T.DataType) -> bool:
+    """Whether a value can be hashed: maps, and what holds them, cannot."""
+    return "map<" not in kind.simpleString() and not isinstance(kind, T.VariantType)
+
+
+def _pieces(df: DataFrame, keys: Sequence[str], hot_rows: int) -> Column:
+    """Spread number: 0 for ordinary rows, 1..pieces for rows of a hot key, by all columns."""
+    identity = [F.col(f"`{f.name}`") for f in df.schema.fields
+                if f.name not in (*keys, _HOT) and _mappable(f.dataType)]
     pieces = F.ceil(F.col(f"{_HOT}._rows") / hot_rows)
     spread = 1 + F.pmod(F.xxhash64(*identity), pieces) if identity else pieces
     return F.when(F.col(_HOT).isNotNull(), spread).otherwise(0).cast("int")
 
 
-def _attach_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _attach_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], sized: Callable) -> DataFrame:
     """Add the hot row of each key as a struct column, NULL for ordinary keys."""
     values = [F.col(f"`{c}`") for c in hot.columns if c not in keys]
     packed = hot.select(*keys, F.struct(*values).alias(_HOT))
-    joined = df.alias("l").join(F.broadcast(packed).alias("r"), _same(keys, "l", "r"), "left")
+    joined = df.alias("l").join(sized(packed).alias("r"), _same(keys, "l", "r"), "left")
     return joined.select("l.*", F.col(f"r.{_HOT}"))
 
 
@@ -76,14 +87,17 @@ def with_group_stats(
     ``counted`` is a cheaper frame with the same keys, from which hot keys are found.
     """
     base = df.drop(SPREAD)
-    hot = hot_keys(base if counted is None else counted, keys, hot_rows)
-    only_hot = base.alias("l").join(
-        F.broadcast(hot.select(*keys)).alias("r"), _same(keys, "l", "r"), "left_semi"
-    )
+    found = _found(base if counted is None else counted, keys, hot_rows)
+    if found is None:
+        window = Window.partitionBy(*[F.col(f"`{key}`") for key in keys])
+        valued = base.withColumns({name: value.over(window) for name, value in stats.items()})
+        return valued.withColumn(SPREAD, F.lit(0))
+    hot, sized = found
+    only_hot = base.alias("l").join(sized(hot.select(*keys)).alias("r"), _same(keys, "l", "r"), "left_semi")
     hot_stats = only_hot.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_rows"), *[value.alias(name) for name, value in stats.items()]
     )
-    marked = _attach_hot(base, hot_stats, keys)
+    marked = _attach_hot(base, hot_stats, keys, sized)
     marked = marked.withColumn(SPREAD, _pieces(marked, keys, hot_rows))
     window = group_window(keys)
     return marked.withColumns(
@@ -106,21 +120,23 @@ def lookup(
 ) -> DataFrame:
     """Left join a table that has one row per key.
 
-    Catalyst broadcasts the table when its size allows. Otherwise rows of hot keys take
-    their values from a broadcast of just those table rows, and the exchange spreads
-    them, so no task receives a whole hot key.
+    Catalyst sizes the table. Rows of hot keys take their values from just those table
+    rows, and the exchange spreads them, so no task receives a whole hot key.
     """
     names = [c for c in table.columns if c not in keys]
-    hot = hot_keys(rows, keys, hot_rows)
-    found = table.alias("l").join(
-        F.broadcast(hot.select(*keys)).alias("r"), _same(keys, "l", "r"), "left_semi"
-    )
+    kept = [F.col(f"l.`{c}`") for c in rows.columns if c not in names and c != SPREAD]
+    found_keys = _found(rows, keys, hot_rows)
+    if found_keys is None:
+        joined = rows.alias("l").join(table.alias("r"), _same(keys, "l", "r"), "left")
+        return joined.select(*kept, *[F.col(f"r.`{name}`").alias(name) for name in names])
+    hot, sized = found_keys
+    found = table.alias("l").join(sized(hot.select(*keys)).alias("r"), _same(keys, "l", "r"), "left_semi")
     hot_table = (
         hot.alias("l")
-        .join(F.broadcast(found).alias("r"), _same(keys, "l", "r"), "left")
+        .join(sized(found).alias("r"), _same(keys, "l", "r"), "left")
         .select("l.*", *[F.col(f"r.`{name}`") for name in names])
     )
-    marked = _attach_hot(rows.drop(SPREAD), hot_table, keys)
+    marked = _attach_hot(rows.drop(SPREAD), hot_table, keys, sized)
     marked = marked.withColumn(SPREAD, _pieces(marked, keys, hot_rows))
     plain = table.withColumn(SPREAD, F.lit(0))
     joined = marked.alias("l").join(
@@ -128,7 +144,6 @@ def lookup(
         _same(keys, "l", "r") & (F.col(f"l.{SPREAD}") == F.col(f"r.{SPREAD}")),
         "left",
     )
-    kept = [F.col(f"l.`{c}`") for c in rows.columns if c not in names and c != SPREAD]
     values = [
         F.when(F.col(f"l.{_HOT}").isNotNull(), F.col(f"l.{_HOT}.`{name}`"))
         .otherwise(F.col(f"r.`{name}`"))

@@ -409,6 +409,27 @@ def win_4(spark, d):
     return marked.select("group_id", "sample_idx", "kept")
 
 
+@query("win_4_fallback_smallest", f"""{v.ADVANTAGE_SQL}, placed as (select *, row_number() over (partition by
+    run_id, group_id order by abs(cast(advantage as float)), sample_idx) as place from adv), strict as (select *,
+    place <= {K} and abs(advantage) > 0.00000001 as s from placed), batch as (select *, bool_or(s) over
+    (partition by run_id, step) as any_s from strict)
+    select group_id, sample_idx, case when any_s then s else place <= {K} end as kept from batch""")
+def win_4_smallest(spark, d):
+    """Batches of many groups; the smallest advantages are mostly 0, so some batches fall back."""
+    marked = pr.mark_kept(v.advantaged(spark, d), G, K, order="smallest", drop_zero=True, batch=["run_id", "step"])
+    return marked.select("group_id", "sample_idx", "kept")
+
+
+@query("win_4_ragged_batch", f"""with {v.RAGGED_SQL}, {v.scored_sql('ragged')}, {v.advantaged_sql()}, {v.ranked_sql()},
+    batch as (select *, bool_or(group_rows <> {G}) over (partition by run_id) as any_ragged from ranked)
+    select group_id, sample_idx, any_ragged or rnk <= {K} as kept from batch""")
+def win_4_ragged(spark, d):
+    """A batch with a ragged group is not pruned at all."""
+    rows = group_advantage(score(v.ragged(spark, d)))
+    marked = pr.mark_kept(rows, G, K, on_ragged="keep_batch", batch=["run_id"])
+    return marked.select("group_id", "sample_idx", "kept")
+
+
 _RAGGED_SQL = f"""with {v.RAGGED_SQL}, {v.scored_sql('ragged')}, {v.advantaged_sql()}, {v.ranked_sql()}"""
 
 
@@ -431,7 +452,7 @@ def win_5_drop(spark, d):
 @query("win_6_degenerate", f"""{v.ADVANTAGE_SQL} select group_id, sample_idx,
     max(abs(cast(advantage as float))) over (partition by run_id, group_id) <= 0.00000001 as degenerate from adv""")
 def win_6(spark, d):
-    flagged = flag_degenerate(v.advantaged(spark, d))
+    flagged = flag_degenerate(v.advantaged(spark, d), counted=v.rollouts(spark, d))
     return flagged.select("group_id", "sample_idx", "degenerate")
 
 
@@ -622,6 +643,22 @@ def win_9(spark, d):
     return assign_microbatches(kept, 8)
 
 
+@query("win_9_chained_rounds", f"""{v.RANKED_SQL}, questions as (select distinct run_id, group_id from ranked),
+    shuffled as (select *, row_number() over (partition by run_id order by md5('42:' || group_id), group_id) - 1 as rn,
+    count(*) over (partition by run_id) as n from questions), rounds as (select run_id, group_id, rn // 16 as round
+    from shuffled where rn // 16 < n // 16), kept as (select r.run_id, r.round, k.group_id, k.sample_idx from ranked k
+    join rounds r using (run_id, group_id) where k.rnk <= {K}), sized as (select *, row_number() over (partition by
+    run_id, round order by group_id, sample_idx) - 1 as rn, count(*) over (partition by run_id, round) // 8 as size
+    from kept) select run_id, round, group_id, sample_idx, cast(rn // size as int) as microbatch from sized
+    where rn < size * 8""")
+def win_9_chained(spark, d):
+    """Rounds of 16 questions, so a window holds at most 16 * k rows at any size."""
+    kept = pr.select_topk(v.advantaged(spark, d), K, G).select("run_id", "group_id", "sample_idx")
+    questions = v.rollouts(spark, d).select("run_id", "group_id").distinct()
+    rounds = assign_rounds(questions, 16).select("run_id", "group_id", "round")
+    return assign_microbatches(kept.join(rounds, ["run_id", "group_id"]), 8)
+
+
 # --- objectives -------------------------------------------------------------------------
 
 _SURROGATE_COLUMNS = ("surrogate", "plain_surrogate", "clipped_low", "clipped_high", "kl")
