@@ -4,7 +4,7 @@ The items of a text are its five-word shingles, each labelled with how often it
 A sketch takes the items with the smallest hashes and keeps them in the order of the text, so
 two texts share it if they share the items and their order. Texts that share one of several
 sketches are candidates: each is compared with one leader of its bucket, by a banded alignment
-of their items. Those that fail are bucketed among themselves again, until none is left. The
+of their items. Those that fail are bucketed by more sketches, until no bucket has two. The
 groups are the connected components of the confirmed links. Equal texts are one text.
 """
 
@@ -155,22 +155,35 @@ def _alike(left: pa.Array, right: pa.Array) -> pa.Array:
         a_edges, a_edges[1:], b_edges, b_edges[1:])], pa.bool_())
 
 
+def _crowded(rows: DataFrame) -> DataFrame:
+    """Buckets that two texts or more are in, with their number ``n``."""
+    sizes = rows.groupBy("number", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(sizes, ["number", "key"])
+
+
 def _links(texts: DataFrame) -> DataFrame:
-    """Confirmed pairs ``a``, ``b`` of text ids."""
-    every = _sketched(texts).distinct()
-    open_ = _crowded(every)
-    open_ = stored(open_, "sketches")
-    wanted = open_.select("id").distinct()
+    """Confirmed pairs ``a``, ``b`` of text ids.
+
+    A bucket's leader is the text whose sketches most texts share, as the original of edited
+    copies is. Members that the leader doesn't match are bucketed again by one sketch more,
+    every later one they have, so buckets get closer from round to round: at most as many
+    rounds as there are sketches, whatever the sizes of the buckets.
+    """
+    crowded = _crowded(_sketched(texts).distinct())
+    crowded = stored(crowded, "sketches")
+    shared = crowded.groupBy("id").agg(F.sum("n").alias("shared"))
+    open_ = stored(crowded.drop("n").join(shared, "id").select("number", "key", "id", "shared"), "buckets")
+    more = crowded.select(F.col("number").alias("next"), F.col("key").alias("also"), "id")
     # Hashing the ids spares a sort of the texts.
-    bodies = stored(texts.join(wanted.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), "candidates")
+    wanted = open_.select("id").distinct().hint("shuffle_hash")
+    bodies = stored(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "candidates")
     found = []
     while True:
         leaders = open_.groupBy("number", "key").agg(
-            F.min(F.struct(F.xxhash64("id", "number").alias("h"), "id")).alias("first")).select(
+            F.min(F.struct((-F.col("shared")).alias("s"), "id")).alias("first")).select(
             "number", "key", F.col("first.id").alias("leader"))
-        members = open_.join(leaders, ["number", "key"]).where("id <> leader")
-        members = members.select("number", "key", "id", F.least("id", "leader").alias("a"),
-                                 F.greatest("id", "leader").alias("b"))
+        members = open_.join(leaders, ["number", "key"]).where("id <> leader").select(
+            "number", "key", "id", "shared", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
         members = stored(members, "members")
         pairs = members.select("a", "b").distinct()
         checked = pairs.join(bodies.select(F.col("id").alias("a"), F.col("text").alias("left")), "a").join(
@@ -178,18 +191,14 @@ def _links(texts: DataFrame) -> DataFrame:
             "a", "b", _alike("left", "right").alias("alike"))
         checked = stored(checked, "checked")
         found.append(checked.where("alike").select("a", "b"))
-        rest = members.join(checked.where("not alike"), ["a", "b"], "left_semi").select("number", "key", "id")
-        open_ = stored(_crowded(rest), "sketches")
+        rest = members.join(checked.where("not alike"), ["a", "b"], "left_semi")
+        closer = rest.join(more, "id").where("next > number").select(
+            F.col("next").alias("number"), F.xxhash64("key", "next", "also").alias("key"), "id", "shared")
+        open_ = stored(_crowded(closer).drop("n"), "buckets")
         if open_.isEmpty():
             return stored(reduce(DataFrame.unionByName, found).distinct(), "links")
 
 
-def _crowded(rows: DataFrame) -> DataFrame:
-    """Sketches that two texts or more have."""
-    crowded = rows.groupBy("number", "key").count().where("count > 1").drop("count")
-    return rows.join(crowded, ["number", "key"])
-
-
 def components(links: DataFrame) -> DataFrame:
     """``id`` and the least id ``root`` of its connected component, for every linked id.
 
