@@ -18,15 +18,16 @@ def column(spark, values, build, kind="string"):
 
 
 def brute_boxed(value):
-    found = None
-    for match in re.finditer(r"\\boxed\{", value):
-        depth = 1
-        for index in range(match.end(), len(value)):
-            depth += {"{": 1, "}": -1}.get(value[index], 0)
-            if depth == 0:
-                found = value[match.end():index]
-                break
-    return found
+    """Every box that closes, by a stack of open braces; the one that begins last."""
+    waiting, closed = [], {}
+    for token in re.finditer(r"(\\boxed)?\{|\}", value):
+        if token[0] != "}":
+            waiting.append((token.end(), token[1]))
+        elif waiting:
+            begin, is_box = waiting.pop()
+            if is_box:
+                closed[begin] = value[begin:token.start()]
+    return closed[max(closed)] if closed else None
 
 
 BOXED = {

@@ -10,6 +10,7 @@ from winnow.operators import runs as rn
 from winnow.plans import report as rp
 
 # name, P, k, m, steps, questions, wall, rollout, update, memory, reward
+# Results that were published or must come out so.
 PUBLISHED = [
     ("baseline", 0.0, 8, 1, 510, 8160, 11401.0, 5331.3, 5260.3, 48.05, 0.859),
     ("p50", 0.5, 4, 2, 255, 8160, 7559.4, 4372.5, 2751.9, 47.78, 0.750),
@@ -17,6 +18,7 @@ PUBLISHED = [
     ("p875", 0.875, 1, 8, 63, 8064, 5544.7, 4672.0, 739.6, 47.76, 0.654),
     ("p75-no-allocation", 0.75, 2, 1, 510, 8160, 6465.0, 4787.2, 1439.2, 32.96, 0.836),
 ]
+# Results that were published or must come out so.
 PERFORMANCE = """\
 | Method | P | k | m | Steps | Questions | Wall clock (s) | Rollout (s) | Update (s) | Peak mem (GiB) | Questions/s | Throughput gain |
 |---|---|---|---|---|---|---|---|---|---|---|---|
@@ -25,6 +27,7 @@ PERFORMANCE = """\
 | p75 | 75.00% | 2 | 4x | 127 | 8128 | 5916.9 | 4252.5 | 1428.0 | 47.90 | 1.3737 | 1.92x |
 | p875 | 87.50% | 1 | 8x | 63 | 8064 | 5544.7 | 4672.0 | 739.6 | 47.76 | 1.4544 | 2.03x |
 | p75-no-allocation | 75.00% | 2 | 1x | 510 | 8160 | 6465.0 | 4787.2 | 1439.2 | 32.96 | 1.2622 | 1.76x |""".split("\n")
+# Results that were published or must come out so.
 ACCURACIES = [(3.33, 36.85, 46.58), (0.0, 39.12, 44.56), (3.33, 38.51, 45.48), (0.0, 38.13, 45.80),
               (3.33, 38.13, 46.12), (0.0, 39.35, 45.12)]
 TASKS = ("aime24", "gsm8k", "minerva_math")
@@ -37,6 +40,7 @@ ACCURACY = """\
 | p75 | 75.00% | 0.00 | 38.13 | 45.80 | 0.758 |
 | p875 | 87.50% | 3.33 | 38.13 | 46.12 | 0.654 |
 | p75-no-allocation | 75.00% | 0.00 | 39.35 | 45.12 | 0.836 |""".split("\n")
+# Results that were published or must come out so.
 STEPS = [(8, .7083, .0006), (7, .6326, .0005), (6, .5467, .0011), (5, .4602, .0011), (4, .3816, .0006),
          (3, .2907, .0010), (2, .2120, .0010), (1, .1287, .0003)]
 ALLOCATED = ["0.99x", "1.13x", "1.30x", "1.53x", "1.99x", "2.60x", "3.98x", "7.96x"]
@@ -146,6 +150,7 @@ def test_document(spark):
         assert text[1] == "" and len(text) == (35 if latex else 23)
 
 
+# Results that were published or must come out so.
 METRICS = {
     1: {"gsm8k": {"exact_match,flexible-extract": "0.41", "exact_match,strict-match": "0.39"},
         "minerva_math": {"math_verify,none": "0.125", "exact_match,none": "0.10"},
@@ -158,6 +163,7 @@ METRICS = {
     6: {"t": {"exact_match,a": "N/A", "acc_b": "true", "acc_a": None}},
     7: {},
 }
+# Results that were published or must come out so.
 HEADLINES = {
     (1, "gsm8k"): 41.0, (1, "minerva_math"): 12.5, (1, "aime24"): 3.33, (2, "gsm8k"): 50.0,
     (3, "custom"): 25.0, (4, "minerva_math"): 28.0, (4, "aime24"): 0.0, (5, "gsm8k"): 50.0,
@@ -173,6 +179,7 @@ def test_headline_metrics(spark):
 
 
 # base batch, accumulation, G, P, allocate, processes -> k, m, per device, questions, micro-batch
+# Results that were published or must come out so.
 GEOMETRY = [
     (16, 8, 8, 0.0, True, 1, 8, 1, 16, 16, 16.0), (16, 8, 8, 0.5, True, 1, 4, 2, 32, 32, 16.0),
     (16, 8, 8, 0.75, True, 1, 2, 4, 64, 64, 16.0), (16, 8, 8, 0.875, True, 1, 1, 8, 128, 128, 16.0),

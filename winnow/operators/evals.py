@@ -122,8 +122,17 @@ def all_tasks(runs: DataFrame, baseline: DataFrame) -> DataFrame:
     return runs.select("task").union(baseline.select("task")).distinct()
 
 
-def accuracy_pivot(accuracies: DataFrame, tasks: Sequence[str]) -> DataFrame:
-    """AGG-15. One row per run with a column per task, tasks in sorted order."""
+def task_names(tasks: DataFrame) -> list[str]:
+    """The distinct names in ``task``, sorted: as many as a table has columns."""
+    return sorted(r.task for r in tasks.select("task").distinct().collect() if r.task is not None)
+
+
+def accuracy_pivot(accuracies: DataFrame, tasks: Sequence[str] | None = None) -> DataFrame:
+    """AGG-15. One row per run with a column per task, tasks in sorted order.
+
+    Without ``tasks``, every task of the accuracies has a column.
+    """
+    tasks = task_names(accuracies) if tasks is None else tasks
     return accuracies.groupBy("run_id").pivot("task", sorted(tasks)).agg(F.first("accuracy"))
 
 

@@ -422,13 +422,14 @@ def str_14(spark, d):
     )
 
 
+def _literal_sql(text: str) -> str:
+    """A text as SQL, backslashes as ``chr(92)``."""
+    parts = [f"'{part}'" for part in text.split(chr(92))]
+    return " || chr(92) || ".join(parts)
+
+
 def _escape_sql(c: str) -> str:
-    steps = (
-        ("chr(92)", "chr(92) || 'textbackslash{}'"), ("'&'", "chr(92) || '&'"), ("'%'", "chr(92) || '%'"),
-        ("'$'", "chr(92) || '$'"), ("'#'", "chr(92) || '#'"), ("'_'", "chr(92) || '_'"),
-        ("'{'", "chr(92) || '{'"), ("'}'", "chr(92) || '}'"), ("'~'", "chr(92) || 'textasciitilde{}'"),
-        ("'^'", "chr(92) || 'textasciicircum{}'"), ("'+/-'", "'$' || chr(92) || 'pm$'"),
-    )
+    steps = [(_literal_sql(plain), _literal_sql(replacement)) for plain, replacement in ce.LATEX_ESCAPES]
     for plain, replacement in steps:
         c = f"replace({c}, {plain}, {replacement})"
     return c
@@ -479,6 +480,21 @@ def rpt_2(spark, d):
     return rp.accuracy_table(rn.summarize_runs(v.profiles(spark, d)), accuracies, _TASKS, untrained)
 
 
+@query("rpt_2_task_union", f"""with {v.ACCURACY_SQL}, {v.SUMMARY_SQL} select false as is_baseline, r.run_id,
+    r.run_name as "Method", {_f('100 * any_value(pruning_rate)', 2)} || '%' as "P", {_ACCURACY_CELLS}, '--' as "untold",
+    {_f('any_value(final_reward)', 3)} as "Final reward" from rates r left join accuracies a using (run_id)
+    group by r.run_id, r.run_name
+    union all select true, null, 'untrained model', '--', {', '.join(_f(
+    f"max(accuracy) filter (task = '{task}')", 2) for task in _TASKS)}, {_f('max(accuracy)', 2)}, '--' from
+    (select task, avg(accuracy) as accuracy from accuracies group by task) u""")
+def rpt_2_union(spark, d):
+    """The columns come from the data; the untrained model has a task that no run has."""
+    accuracies = _summarized(spark, d)
+    untrained = accuracies.groupBy("task").agg(F.avg("accuracy").alias("accuracy"))
+    best = untrained.agg(F.lit("untold").alias("task"), F.max("accuracy").alias("accuracy"))
+    return rp.accuracy_table(rn.summarize_runs(v.profiles(spark, d)), accuracies, None, untrained.unionByName(best))
+
+
 _ALLOCATED_SQL = f"""with {v.POINTS_SQL}, fits as (select bench_id, regr_intercept(mean_step_seconds, completions_per_step)
     as a, regr_slope(mean_step_seconds, completions_per_step) as b, arg_min(mean_step_seconds, position) as base
     from points group by bench_id), allocated as (select *, greatest(1, num_generations // num_retained) as m,
@@ -567,6 +583,30 @@ def rpt_6_latex(spark, d):
     return rp.in_order(rp.render(table, rp.PERFORMANCE_HEADERS, ["experiment_id", "run_id"], latex=True))
 
 
+@query("rpt_6_document", f"""{_BASELINE_SQL}, cells as (select {_PERFORMANCE_CELLS} from compared)
+    select '### Performance' as line union all select '' union all select '{_HEADER}' union all select '|{'---|' * 12}'
+    union all select '| ' || concat_ws(' | ', {_CELL_LIST}) || ' |' from cells union all select ''
+    union all select '### Nothing' union all select '' union all select '{rp.NO_RUNS[0]}' union all select ''""")
+def rpt_6_document(spark, d):
+    """A whole document: a table, and a section whose table is empty."""
+    table = rp.performance_table(rn.summarize_runs(v.profiles(spark, d)))
+    order = ["experiment_id", "run_id"]
+    sections = [("Performance", table), ("Nothing", table.where("run_id is null"))]
+    return rp.render_document([(title, rp.render(rows, rp.PERFORMANCE_HEADERS, order)) for title, rows in sections])
+
+
+@query("rpt_6_steps", f"""with {v.POINTS_SQL}, lines as (select bench_id, position,
+    '| ' || concat_ws(' | ', {_f('pruning_rate', 4)}, num_retained, completions_per_step, {_f('mean_step_seconds', 4)} || ' ± '
+    || {_f('stdev_step_seconds', 4)}, {_f('peak_memory_gib', 3)}, {_f('speedup', 2)} || '×') || ' |' as line from points)
+    select bench_id, cast(position as int) as position, line from lines
+    union all select distinct bench_id, -2, '| Pruning rate P | k (of G=' || num_generations || ') | Completions/step | '
+    || 'Step time (s) | Peak mem (GiB) | Speedup |' from points
+    union all select distinct bench_id, -1, '|---:|---:|---:|---:|---:|---:|' from points""")
+def rpt_6_steps(spark, d):
+    """The step benchmark's own table, per benchmark."""
+    return rp.step_lines(rp.step_table(v.benchmark_points(spark, d)))
+
+
 @query("snk_2_write_text", f"""{_BASELINE_SQL}, cells as (select {_PERFORMANCE_CELLS} from compared)
     select '{_HEADER}' as line union all select '|{'---|' * 12}' union all
     select '| ' || concat_ws(' | ', {_CELL_LIST}) || ' |' from cells""")

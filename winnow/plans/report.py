@@ -11,7 +11,7 @@ from ..functions import as_col
 from ..functions.cells import fixed, latex_escape, percent, plus_minus, times
 from ..functions.geometry import allocation_multiplier, amdahl, amdahl_ceiling
 from ..functions.text import first_clipped_ratio
-from ..operators.evals import accuracy_pivot
+from ..operators.evals import accuracy_pivot, all_tasks, task_names
 from ..operators.runs import linear_fit, sweep, vs_baseline
 from ..operators.skew import lookup
 
@@ -66,15 +66,17 @@ def performance_table(
 def accuracy_table(
     runs: DataFrame,
     accuracies: DataFrame,
-    tasks: Sequence[str],
+    tasks: Sequence[str] | None = None,
     untrained: DataFrame | None = None,
     untrained_name: str = "untrained model",
 ) -> DataFrame:
     """RPT-2. Accuracy cells per run, with the untrained model's row first.
 
-    ``untrained`` has ``task, accuracy``. ``tasks`` are the columns, the union of the
+    ``untrained`` has ``task, accuracy``. The columns are ``tasks``, or the union of the
     tasks of both (SET-1).
     """
+    if tasks is None:
+        tasks = task_names(accuracies if untrained is None else all_tasks(accuracies, untrained))
     ordered = sorted(tasks)
     wide = accuracy_pivot(accuracies, ordered)
     rows = runs.join(wide, "run_id", "left").select(
@@ -121,6 +123,10 @@ def allocation_speedup(
     return joined.withColumn("allocated_speedup", F.coalesce(speedup, F.lit(0.0)))
 
 
+#: The headers of the step micro-benchmark's table; that of ``k`` names the group size.
+STEP_HEADERS = ("Pruning rate P", "k", "Completions/step", "Step time (s)", "Peak mem (GiB)", "Speedup")
+
+
 def benchmark_table(points: DataFrame, by: Sequence[str] = ("bench_id",)) -> DataFrame:
     """RPT-3. Benchmark cells with the measured and the refilled speedup."""
     cells = (
@@ -136,6 +142,32 @@ def benchmark_table(points: DataFrame, by: Sequence[str] = ("bench_id",)) -> Dat
     return allocation_speedup(points, by).select(*by, "position", *named)
 
 
+def step_table(points: DataFrame, by: Sequence[str] = ("bench_id",)) -> DataFrame:
+    """RPT-6. Cells of the step micro-benchmark's own table, first point first.
+
+    Its formats are plain: four digits without a percent sign, the group size in a header.
+    """
+    step = F.concat(fixed("mean_step_seconds", 4), F.lit(" \u00b1 "), fixed("stdev_step_seconds", 4))
+    cells = (fixed("pruning_rate", 4), _text("num_retained"), _text("completions_per_step"), step,
+             fixed("peak_memory_gib", 3), F.concat(fixed("speedup", 2), F.lit("\u00d7")))
+    return points.select(*by, "num_generations", "position", *[c.alias(h) for c, h in zip(cells, STEP_HEADERS)])
+
+
+def step_lines(table: DataFrame, by: Sequence[str] = ("bench_id",)) -> DataFrame:
+    """RPT-6. The Markdown lines of every benchmark's step table, as ``by, position, line``."""
+    titles = [F.concat(F.lit("k (of G="), _text("num_generations"), F.lit(")")) if h == "k" else F.lit(h) for h in STEP_HEADERS]
+    head = table.where("position = 0").select(*by, F.inline(F.array(
+        F.struct(F.lit(-2).alias("position"), _piped(titles).alias("line")),
+        F.struct(F.lit(-1).alias("position"), F.lit("|" + "---:|" * len(STEP_HEADERS)).alias("line")))))
+    body = table.select(*by, F.col("position").cast("int").alias("position"),
+                        _piped([F.col(f"`{h}`") for h in STEP_HEADERS]).alias("line"))
+    return head.unionByName(body)
+
+
+def _piped(cells: Sequence[Column]) -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+
+
 def predicted_vs_measured(
     runs: DataFrame, by: Sequence[str] = ("experiment_id",), order: str = "run_id"
 ) -> DataFrame:

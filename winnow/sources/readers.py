@@ -35,8 +35,11 @@ def read_rollouts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_rollouts(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Write rollouts partitioned by run, so a filter on ``run_id`` prunes files."""
-    df.write.mode(mode).partitionBy("run_id").parquet(path)
+    """Write rollouts partitioned by run, so a filter on ``run_id`` prunes files.
+
+    Rows are dealt out by run first, large runs over several tasks, so a run has few files.
+    """
+    df.hint("rebalance", "run_id").write.mode(mode).partitionBy("run_id").parquet(path)
 
 
 def _read_json(

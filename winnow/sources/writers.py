@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+@functools.cache
+def _own_folder() -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix="winnow-")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder of its own.
+    A local session without that setting uses one temporary folder of this process, which
+    goes when the process ends; any other session must have the setting.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="winnow-")
+        shared = _own_folder().name
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -47,13 +56,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def write_once(df: DataFrame, path: str, key: str = "run_id") -> str:
     """SNK-3. Resumable write: runs that are already stored are skipped.
 
-    Data is partitioned by ``key``, so finding the stored runs lists folders only. The
-    stored keys are joined, not collected, and Spark commits a job's files together.
+    A run counts as stored once ``_finished`` names it, which is written after its data. A
+    run that a failed job left half-written is replaced by the next attempt. Only the list
+    of finished runs is read to find what is missing.
     """
-    spark = df.sparkSession
+    spark, finished = df.sparkSession, f"{path}/_finished"
+    kind = df.schema[key].dataType
     missing = df
-    if _exists(spark, path):
-        stored = spark.read.parquet(path).select(F.col(key).cast(df.schema[key].dataType)).distinct()
+    if _exists(spark, finished):
+        stored = spark.read.schema(T.StructType([T.StructField(key, kind)])).parquet(finished)
         missing = df.join(stored, key, "left_anti")
-    missing.write.mode("append").partitionBy(key).parquet(path)
+    keys = missing.select(key).distinct().persist()
+    keys.count()  # what this call writes, as it is before it is written
+    missing.hint("rebalance", key).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    keys.write.mode("append").parquet(finished)
+    keys.unpersist()
     return path
