@@ -88,6 +88,17 @@ def chunks(starts: np.ndarray, ends: np.ndarray, most: int = CHUNK) -> Iterator[
         row = stop
 
 
+def slices(*columns, most: int = CHUNK) -> Iterator[tuple]:
+    """String columns of a batch a few rows at a time, about ``most`` bytes of each."""
+    bounds = [text_buffers(column)[1:] for column in columns]
+    row, size = 0, len(columns[0])
+    while row < size:
+        stops = [int(np.searchsorted(ends, starts[row] + most, "right")) for starts, ends in bounds]
+        stop = max(row + 1, min(stops))
+        yield (row, *(column.slice(row, stop - row) for column in columns))
+        row = stop
+
+
 def mixed(keys: np.ndarray) -> np.ndarray:
     """Keys with every bit depending on every other."""
     with np.errstate(over="ignore"):

@@ -26,6 +26,7 @@ from winnow.llm.common import (
     chunks,
     mixed,
     once_per_task,
+    slices,
     stored,
     text_buffers,
     text_id,
@@ -136,23 +137,25 @@ def _sketched(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, edges = items(batch.column("text"))
-            keys = sketches(found, edges)
-            ids = batch.column("id").take(pa.array(np.flatnonzero(np.diff(edges) > 0)))
-            for r in range(SKETCHES):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), r), pa.int32()), pa.array(keys[:, r].view(np.int64)), ids],
-                    ["number", "key", "id"])
+            for row, texts_ in slices(batch.column("text")):
+                found, edges = items(texts_)
+                keys = sketches(found, edges)
+                ids = batch.column("id").take(pa.array(row + np.flatnonzero(np.diff(edges) > 0)))
+                for r in range(SKETCHES):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(keys), r), pa.int32()), pa.array(keys[:, r].view(np.int64)), ids],
+                        ["number", "key", "id"])
 
     return texts.mapInArrow(run, "number int, key long, id binary")
 
 
 @F.arrow_udf(BooleanType())
 def _alike(left: pa.Array, right: pa.Array) -> pa.Array:
-    a, a_edges = items(left)
-    b, b_edges = items(right)
-    return pa.array([similarity(a[i:j], b[k:m]) > 0 for i, j, k, m in zip(
-        a_edges, a_edges[1:], b_edges, b_edges[1:])], pa.bool_())
+    found = []
+    for _, *pair in slices(left, right):
+        (a, a_edges), (b, b_edges) = map(items, pair)
+        found += [similarity(a[i:j], b[k:m]) > 0 for i, j, k, m in zip(a_edges, a_edges[1:], b_edges, b_edges[1:])]
+    return pa.array(found, pa.bool_())
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
