@@ -132,13 +132,17 @@ def similarity(left: np.ndarray, right: np.ndarray, least: float = LEAST) -> flo
     return share if share >= least - 1e-12 else 0.0
 
 
-def _sketched(texts: DataFrame) -> DataFrame:
-    """``number``, ``key`` and ``id`` of every sketch."""
+def _sketched(rows: DataFrame) -> DataFrame:
+    """``number``, ``key`` and ``id`` of every sketch; a text that a task meets again is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            for row, texts_ in slices(batch.column("text")):
-                found, edges = items(texts_)
+            ids_ = batch.column("id").to_pylist()
+            new = [k for k, key in enumerate(ids_) if not (key in seen or seen.add(key))]
+            batch = batch.take(pa.array(new, pa.int64())) if len(new) < len(ids_) else batch
+            for row, texts in slices(batch.column("text")):
+                found, edges = items(texts)
                 keys = sketches(found, edges)
                 ids = batch.column("id").take(pa.array(row + np.flatnonzero(np.diff(edges) > 0)))
                 for r in range(SKETCHES):
@@ -146,7 +150,7 @@ def _sketched(texts: DataFrame) -> DataFrame:
                         [pa.array(np.full(len(keys), r), pa.int32()), pa.array(keys[:, r].view(np.int64)), ids],
                         ["number", "key", "id"])
 
-    return texts.mapInArrow(run, "number int, key long, id binary")
+    return rows.mapInArrow(run, "number int, key long, id binary")
 
 
 @F.arrow_udf(BooleanType())
@@ -164,7 +168,7 @@ def _crowded(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, ["number", "key"])
 
 
-def _links(texts: DataFrame) -> DataFrame:
+def _links(rows: DataFrame) -> DataFrame:
     """Confirmed pairs ``a``, ``b`` of text ids.
 
     A bucket's leader is the text whose sketches most texts share, as the original of edited
@@ -172,14 +176,14 @@ def _links(texts: DataFrame) -> DataFrame:
     every later one they have, so buckets get closer from round to round: at most as many
     rounds as there are sketches, whatever the sizes of the buckets.
     """
-    crowded = _crowded(_sketched(texts).distinct())
+    crowded = _crowded(_sketched(rows).distinct())
     crowded = stored(crowded, "sketches")
     shared = crowded.groupBy("id").agg(F.sum("n").alias("shared"))
     open_ = stored(crowded.drop("n").join(shared, "id").select("number", "key", "id", "shared"), "buckets")
     more = crowded.select(F.col("number").alias("next"), F.col("key").alias("also"), "id")
     # Hashing the ids spares a sort of the texts.
     wanted = open_.select("id").distinct().hint("shuffle_hash")
-    bodies = stored(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "candidates")
+    bodies = stored(once_per_task(rows).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "candidates")
     found = []
     while True:
         leaders = open_.groupBy("number", "key").agg(
@@ -232,7 +236,7 @@ def components(links: DataFrame) -> DataFrame:
 def text_groups(docs: DataFrame) -> DataFrame:
     """``id`` (of a text) and ``root`` for the texts that are near-duplicates of another."""
     rows = docs.select(text_id().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return components(_links(once_per_task(rows)))
+    return components(_links(rows))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
