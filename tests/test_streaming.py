@@ -28,35 +28,79 @@ def drain(stream_df, tmp_path, name="out"):
     return st.run_available(stream_df, str(tmp_path / name), str(tmp_path / f"{name}-state"))
 
 
-def test_groups_are_emitted_once_complete(spark, tmp_path):
+def pruned(spark, tmp_path, batches, size=4, k=2, delay="10 minutes", name="out", **options):
+    """What the stream gives out, and with it what was open when the data ended."""
+    source = stream(spark, tmp_path / name, batches)
+    of = lambda rows: st.prune_stream(rows, size, k, delay=delay, **options)
+    streamed = drain(of(source), tmp_path, name)
+    batch = spark.read.schema(SCHEMA).parquet(str(tmp_path / name / "source"))
+    return streamed, st.closed(streamed, of(batch), ["run_id", "group_id", "sample_idx"])
+
+
+def placed(df):
+    return sorted((r.group_id, r.sample_idx, r.whole) for r in df.collect())
+
+
+def test_whole_groups_keep_their_best_and_repeats_count_once(spark, tmp_path):
     batches = [
         [row(1, 0, 3, 0), row(1, 1, 0, 0), row(2, 0, 1, 0)],
-        [row(1, 2, 1, 1), row(1, 1, 0, 1), row(2, 1, 2, 1), row(2, 9, 5, 1)],
+        [row(1, 2, 1, 1), row(1, 1, 0, 1), row(2, 1, 2, 1)],
         [row(1, 3, 0, 2), row(2, 2, 0, 2), row(2, 3, 0, 2), row(3, 0, 1, 2)],
-        [row(1, 3, 0, 3), row(1, 0, 3, 3)],
+        [row(1, 3, 0, 3), row(1, 0, 3, 3), row(9, 0, 1, 300)],
+        [row(9, 1, 1, 301)],
     ]
-    got = drain(st.prune_stream(stream(spark, tmp_path, batches), 4, 2, delay="1 hour"), tmp_path)
-    rows = sorted((r.group_id, r.sample_idx, r.whole) for r in got.collect())
-    assert rows == [(1, 0, True), (1, 1, True), (2, 1, True), (2, 2, True)]
+    streamed, got = pruned(spark, tmp_path, batches)
+    assert {(1, 0, True), (1, 1, True), (2, 1, True), (2, 2, True)} <= set(placed(streamed))
+    assert placed(got) == [(1, 0, True), (1, 1, True), (2, 1, True), (2, 2, True), (3, 0, False), (9, 0, False), (9, 1, False)]
     whole = spark.createDataFrame(
         [(0, 1, 0, 3.0), (0, 1, 1, 0.0), (0, 1, 2, 1.0), (0, 1, 3, 0.0),
          (0, 2, 0, 1.0), (0, 2, 1, 2.0), (0, 2, 2, 0.0), (0, 2, 3, 0.0)],
         "run_id long, group_id long, sample_idx int, reward double")
     batch = select_topk(group_advantage(whole), 2, 4)
     want = {(r.group_id, r.sample_idx): round(r.advantage, 9) for r in batch.collect()}
-    assert {(r.group_id, r.sample_idx): round(r.advantage, 9) for r in got.collect()} == want
+    assert {(r.group_id, r.sample_idx): round(r.advantage, 9) for r in got.where("whole").collect()} == want
+    assert set(got.columns) == {*SCHEMA.replace(",", "").split()[::2], "advantage", "whole"} - {"kept"}
 
 
-def test_incomplete_groups_are_flushed_by_the_watermark(spark, tmp_path):
-    batches = [[row(1, 0, 3, 0), row(1, 1, 0, 0)], [row(2, 0, 1, 300)], [row(2, 1, 1, 600)]]
-    source = stream(spark, tmp_path, batches)
-    kept = drain(st.prune_stream(source, 4, 2, delay="10 minutes"), tmp_path, "keep")
-    flushed = sorted((r.group_id, r.sample_idx, r.whole) for r in kept.collect())
-    assert flushed[:2] == [(1, 0, False), (1, 1, False)]
-    dropped = drain(st.prune_stream(source, 4, 2, delay="10 minutes", on_ragged="drop"), tmp_path, "drop")
+def test_surplus_completions_make_a_group_ragged(spark, tmp_path):
+    ten = [row(1, i, i % 3, i) for i in range(10)]
+    _, got = pruned(spark, tmp_path, [ten[:8], ten[8:]], size=8)
+    assert placed(got) == [(1, i, False) for i in range(10)]
+    _, dropped = pruned(spark, tmp_path, [ten[:8], ten[8:]], size=8, name="drop", on_ragged="drop")
     assert dropped.count() == 0
 
 
+def test_open_groups_are_given_out_at_the_end(spark, tmp_path):
+    batches = [[row(1, 0, 3, 0), row(1, 1, 0, 0)], [row(2, 0, 1, 300)], [row(2, 1, 1, 600)]]
+    streamed, got = pruned(spark, tmp_path, batches)
+    assert placed(streamed)[:2] == [(1, 0, False), (1, 1, False)]
+    assert placed(got) == [(1, 0, False), (1, 1, False), (2, 0, False), (2, 1, False)]
+    alone, at_end = pruned(spark, tmp_path, [[row(5, i, i, 0) for i in range(4)]], name="one")
+    assert placed(alone) == [] and placed(at_end) == [(5, 0, True), (5, 3, True)]
+
+
+def test_rows_without_time_group_or_position(spark, tmp_path):
+    lost = (0, 1, 0, 1.0, 10, True, None)
+    rows = [lost, row(1, 1, 0, 0), row(None, 0, 1, 0), row(None, 1, 2, 0), row(2, None, 1, 0), row(2, None, 2, 0)]
+    _, got = pruned(spark, tmp_path, [rows, [row(1, 2, 1, 100)]], delay="1 hour")
+    assert sorted(str((r.group_id, r.sample_idx)) for r in got.collect()) == sorted(
+        map(str, [(1, 1), (1, 2), (None, 0), (None, 1), (2, None), (2, None)]))
+    source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "out" / "source"))
+    assert drain(st.without_event_time(source), tmp_path, "side").count() == 1
+
+
+def test_last_windows_and_sessions_are_given_out(spark, tmp_path):
+    source = stream(spark, tmp_path, [[row(1, 0, 2, 0)], [row(1, 1, 1, 90)]])
+    batch = spark.read.schema(SCHEMA).parquet(str(tmp_path / "source"))
+    of = lambda rows: st.metrics_stream(rows, "1 hour", None, "30 minutes")
+    got = st.closed(drain(of(source), tmp_path), of(batch), ["window_start", "run_id"])
+    assert sorted(r.completions for r in got.collect()) == [1, 1]
+    timed = lambda rows: st.timings_stream(rows.withColumns(
+        {"seconds": F.col("reward"), "kind": F.lit("rollout")}), "30 minutes", "10 minutes")
+    got = st.closed(drain(timed(source), tmp_path, "sessions"), timed(batch), ["session_start", "run_id"])
+    assert sorted(r.rollout_seconds for r in got.collect()) == [1.0, 2.0]
+
+
 def test_late_rows_are_dropped_from_windows(spark, tmp_path):
     batches = [
         [row(1, 0, 2, 0, tokens=2000), row(1, 1, 0, 30, kept=False)],

@@ -17,9 +17,18 @@ DELAY = "1 hour"
 
 
 def _event_stream(spark, d) -> DataFrame:
-    """The events as a stream. ``ts`` has no zone in the files and is taken as UTC."""
+    """The events as a stream."""
     schema = v.table(spark, d, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return _zoned(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))
+
+
+def _events(spark, d) -> DataFrame:
+    """The same events as a batch."""
+    return _zoned(v.table(spark, d, "events"))
+
+
+def _zoned(events: DataFrame) -> DataFrame:
+    """``ts`` has no zone in the files and is taken as UTC."""
     local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts").cast("timestamp_ntz"))
     return events.withColumn("ts", local.cast("timestamp"))
 
@@ -52,32 +61,44 @@ def stm_1(spark, d):
     return _drain(spark, scored, "scored")
 
 
+_KEYS = ("run_id", "group_id", "sample_idx")
+
+
+def _marked(spark, d, make) -> DataFrame:
+    """All rows of all groups, marked by the stream and, where still open, at its end."""
+    # Event ids follow time, so a group is complete long before a day has passed.
+    of = lambda events: st.mark_stream(st.score_stream(make(events)), G, K, delay="1 day")
+    return st.closed(_drain(spark, of(_event_stream(spark, d)), "marked"), of(_events(spark, d)), _KEYS)
+
+
+_KEPT = ("run_id", "group_id", "sample_idx", "reward", "advantage", "whole")
+
+
 @query("stm_2_prune_stream", f"""{v.RANKED_SQL} select run_id, group_id, sample_idx, reward,
     {q6('advantage', 'advantage')}, true as whole from ranked where rnk <= {K}""")
 def stm_2(spark, d):
-    scored = st.score_stream(v.rollouts_of(_event_stream(spark, d)))
-    # Event ids follow time, so a group is complete long before a day has passed.
-    kept = st.prune_stream(scored, G, K, delay="1 day")
-    return rounded(_drain(spark, kept, "kept"), "advantage")
+    return rounded(_marked(spark, d, v.rollouts_of).where("kept").select(*_KEPT), "advantage")
 
 
 def _window_sql(slide_hours: int) -> str:
     count = 24 // slide_hours
-    return f"""with {v.ROLLOUTS_SQL}, {v.scored_sql()}, spans as (select *,
+    return f"""{v.RANKED_SQL}, spans as (select *,
     time_bucket(interval '{slide_hours} hours', ts) - to_hours({slide_hours} * unnest(range(0, {count}))) as window_start
-    from scored), last as (select max(ts) - interval '1 hour' as watermark from scored)
+    from ranked)
     select window_start, window_start + interval '24 hours' as window_end, run_id, count(*) as completions,
-    {q6('avg(reward)', 'reward')}, {q6('avg(case when n_tokens < 900 then 1 else 0 end)', 'retention')},
-    {q6('avg(case when n_tokens >= 1024 then 1 else 0 end)', 'clipped_ratio')} from spans, last
-    where window_start + interval '24 hours' <= watermark group by window_start, run_id"""
+    {q6('avg(reward)', 'reward')}, {q6(f'avg(case when rnk <= {K} then 1 else 0 end)', 'retention')},
+    {q6('avg(case when n_tokens >= 1024 then 1 else 0 end)', 'clipped_ratio')} from spans group by window_start, run_id"""
 
 
 def _metrics(spark, d, slide: str | None) -> DataFrame:
-    scored = st.score_stream(v.rollouts_of(_event_stream(spark, d)))
-    marked = scored.withColumn("kept", F.col("n_tokens") < 900)
-    metrics = st.metrics_stream(marked, "1 day", slide, DELAY, v.CAP)
-    drained = _without_zone(_drain(spark, metrics, "metrics"), "window_start", "window_end")
-    return rounded(drained, "reward", "retention", "clipped_ratio")
+    """Windows over what pruning kept, streamed from where the marked rows landed."""
+    path = scratch_dir(spark, "landed")
+    _marked(spark, d, v.rollouts_of).write.parquet(path)
+    landed = spark.read.parquet(path)
+    of = lambda rows: st.metrics_stream(rows, "1 day", slide, DELAY, v.CAP)
+    drained = _drain(spark, of(spark.readStream.schema(landed.schema).parquet(path)), "metrics")
+    metrics = st.closed(drained, of(landed), ["window_start", "run_id"])
+    return rounded(_without_zone(metrics, "window_start", "window_end"), "reward", "retention", "clipped_ratio")
 
 
 query("stm_3_tumbling_metrics", _window_sql(24))(lambda s, d: _metrics(s, d, None))
@@ -91,17 +112,18 @@ query("stm_3_sliding_metrics", _window_sql(6))(lambda s, d: _metrics(s, d, "6 ho
     count(*) as events, sum(case when kind = 'train_step' then seconds else 0 end) as t,
     sum(case when kind = 'rollout' then seconds else 0 end) as r from numbered group by all)
     select session_start, session_end, run_id, events, {q6('t', 'train_step_seconds')}, {q6('r', 'rollout_seconds')},
-    {q6('greatest(0, t - r)', 'update_seconds')} from sessions
-    where session_end <= (select max(ts) - interval '1 hour' from timing)""")
+    {q6('greatest(0, t - r)', 'update_seconds')} from sessions""")
 def stm_4(spark, d):
     kind = F.when(F.col("event_type") == "view", "rollout").when(
         F.col("event_type") == "purchase", "train_step"
     )
-    events = _event_stream(spark, d).select(
-        (F.col("user_id") % 5).alias("run_id"), kind.alias("kind"),
-        F.col("value").alias("seconds"), "ts",
-    )
-    timings = _drain(spark, st.timings_stream(events, "20 minutes", DELAY), "timings")
+    def of(events: DataFrame) -> DataFrame:
+        timed = events.select((F.col("user_id") % 5).alias("run_id"), kind.alias("kind"),
+                              F.col("value").alias("seconds"), "ts")
+        return st.timings_stream(timed, "20 minutes", DELAY)
+
+    drained = _drain(spark, of(_event_stream(spark, d)), "timings")
+    timings = st.closed(drained, of(_events(spark, d)), ["session_start", "run_id"])
     timings = _without_zone(timings, "session_start", "session_end")
     return rounded(timings, "train_step_seconds", "rollout_seconds", "update_seconds")
 
@@ -109,22 +131,46 @@ def stm_4(spark, d):
 @query("stm_5_land_rounds", f"""{v.RANKED_SQL} select run_id, count(*) as kept, {q6('sum(reward)', 'reward')}
     from ranked where rnk <= {K} group by run_id""")
 def stm_5(spark, d):
-    scored = st.score_stream(v.rollouts_of(_event_stream(spark, d)))
-    kept = st.prune_stream(scored, G, K, delay="1 day")
+    of = lambda events: st.prune_stream(st.score_stream(v.rollouts_of(events)), G, K, delay="1 day")
     path = scratch_dir(spark, "rounds")
-    query_ = st.land_rounds(kept, path, scratch_dir(spark, "rounds-state"))
-    query_.awaitTermination()
-    landed = spark.read.parquet(path).groupBy(F.col("run_id").cast("bigint").alias("run_id"))
-    return rounded(landed.agg(F.count(F.lit(1)).alias("kept"), F.sum("reward").alias("reward")), "reward")
+    kept = of(_event_stream(spark, d))
+    st.land_rounds(kept, path, scratch_dir(spark, "rounds-state")).awaitTermination()
+    # The first batches may land no row and so no file.
+    landed = spark.read.schema(kept.schema).option("recursiveFileLookup", "false").parquet(path)
+    landed = landed.withColumn("run_id", F.col("run_id").cast("bigint")).select(*kept.columns)
+    rows = st.closed(landed, of(_events(spark, d)), _KEYS).groupBy("run_id")
+    return rounded(rows.agg(F.count(F.lit(1)).alias("kept"), F.sum("reward").alias("reward")), "reward")
+
+
+def _uneven(events: DataFrame) -> DataFrame:
+    """Rollouts with ragged groups, oversize ones, and positions that repeat."""
+    rows = v.rollouts_of(events)
+    number = F.col("event_id") % 8
+    moved = F.when((F.col("group_id") % 7 == 3) & (number < 2), F.col("group_id") - 1).otherwise(F.col("group_id"))
+    place = F.when(moved != F.col("group_id"), 8 + number).when(
+        (F.col("group_id") % 7 == 5) & (number == 7), 0).otherwise(F.col("sample_idx"))
+    return rows.withColumns({"group_id": moved, "sample_idx": place.cast("int")})
+
+
+@query("stm_2_uneven_matches_batch", "select cast(0 as bigint) as differing")
+def stm_2_uneven(spark, d):
+    """Rows on whose fate streaming and batch pruning differ, over uneven groups: none."""
+    streamed = _marked(spark, d, _uneven).select(*_KEYS, "whole", "kept")
+    rows = st.score_stream(_uneven(_events(spark, d))).dropDuplicates(list(_KEYS))
+    batch = pr.mark_kept(group_advantage(rows), G, K, on_ragged="keep")
+    batch = batch.select(*_KEYS, (F.col("group_rows") == G).alias("whole"), "kept")
+    return _differing(streamed, batch)
+
+
+def _differing(left: DataFrame, right: DataFrame) -> DataFrame:
+    either = left.withColumn("n", F.lit(1)).unionByName(right.withColumn("n", F.lit(-1)))
+    net = either.groupBy(*left.columns).agg(F.sum("n").alias("n"))
+    return net.agg(F.count_if(F.col("n") != 0).alias("differing"))
 
 
 @query("stm_2_matches_batch", "select cast(0 as bigint) as differing")
 def stm_2_batch(spark, d):
     """Rows that streaming and batch pruning do not share: none."""
-    scored = st.score_stream(v.rollouts_of(_event_stream(spark, d)))
-    keys = ["run_id", "group_id", "sample_idx"]
-    streamed = _drain(spark, st.prune_stream(scored, G, K, delay="1 day"), "kept").select(*keys)
-    batch = pr.select_topk(group_advantage(v.scored(spark, d)), K, G).select(*keys)
-    either = streamed.withColumn("n", F.lit(1)).unionByName(batch.withColumn("n", F.lit(-1)))
-    net = either.groupBy(*keys).agg(F.sum("n").alias("n"))
-    return net.agg(F.count_if(F.col("n") != 0).alias("differing"))
+    streamed = _marked(spark, d, v.rollouts_of).where("kept").select(*_KEYS)
+    batch = pr.select_topk(group_advantage(v.scored(spark, d)), K, G).select(*_KEYS)
+    return _differing(streamed, batch)

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import as_col
 from ..operators.scoring import score
@@ -20,33 +17,20 @@ def score_stream(stream: DataFrame, style: str = "boxed") -> DataFrame:
     return score(stream, style)
 
 
-_KEPT = "run_id long, group_id long, sample_idx int, reward double, advantage double, whole boolean"
-_PENDING = ("run_id", "group_id", "sample_idx", "reward", "millis")
-_STATE = (
-    "run_id array<long>, group_id array<long>, sample_idx array<int>, reward array<double>, "
-    "millis array<long>"
-)
+_KEYS = ("run_id", "group_id", "sample_idx")
 
 
-def _pruned(rows: pd.DataFrame, group_size: int, k: int, eps: float) -> pd.DataFrame:
-    """The kept rows of whole groups, all groups at once."""
-    rows = rows.sort_values(["run_id", "group_id", "sample_idx"], ignore_index=True)
-    reward = rows["reward"].to_numpy("float64").reshape(-1, group_size)
-    spread = reward.std(axis=1, ddof=1, keepdims=True) if group_size > 1 else 0.0
-    advantage = (reward - reward.mean(axis=1, keepdims=True)) / (spread + eps)
-    best = np.argsort(-np.abs(advantage).astype("float32"), axis=1, kind="stable")[:, :k]
-    chosen = (best + group_size * np.arange(len(reward))[:, None]).ravel()
-    return rows.iloc[chosen].assign(advantage=advantage.ravel()[chosen], whole=True)
+def _once(rows: DataFrame, delay: str, event_time: str) -> DataFrame:
+    """Deliveries of a completion that repeat are dropped; rows without a position aren't compared by it."""
+    hashed = [c for c, kind in rows.dtypes if "map<" not in kind]
+    marked = rows.withColumn("_row", F.when(F.col("sample_idx").isNull(), F.xxhash64(*hashed)))
+    keys = [*_KEYS, "_row"]
+    if not rows.isStreaming:
+        return marked.dropDuplicates(keys).drop("_row")
+    return marked.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys).drop("_row")
 
 
-def _unpruned(rows: pd.DataFrame, eps: float) -> pd.DataFrame:
-    """All rows of incomplete groups."""
-    groups = rows.groupby(["run_id", "group_id"])["reward"]
-    centred = rows["reward"] - groups.transform("mean")
-    return rows.assign(advantage=centred / (groups.transform("std").fillna(0.0) + eps), whole=False)
-
-
-def prune_stream(
+def mark_stream(
     stream: DataFrame,
     group_size: int,
     k: int,
@@ -54,56 +38,67 @@ def prune_stream(
     eps: float = 1e-4,
     event_time: str = "ts",
     on_ragged: str = "keep",
-    buckets: int = 1024,
 ) -> DataFrame:
-    """STM-2. Emit the kept rows of a group as soon as it has all its completions.
-
-    Rows without a group, positions outside the group and repeats within the watermark
-    are dropped first, so a group never holds more than ``group_size`` rows. A group
-    still incomplete when the watermark passes its last row is emitted unpruned
-    (``"keep"``) or discarded (``"drop"``), which bounds the state.
-
-    State is kept per hash bucket of groups and holds the rows of incomplete groups only;
-    one call handles all groups of a bucket together. Raise ``buckets`` with the rate.
+    """STM-2. Every row, all columns, with ``advantage``, ``whole`` and ``kept`` (replaced if there).
+
+    State is kept per ``(run_id, group_id)``: the rows of a group, which ends when no row has
+    come for ``delay`` of event time. Then its size is known: a group of exactly
+    ``group_size`` completions is whole and keeps its ``k`` best; a smaller or larger one is
+    ragged and is kept unpruned (``"keep"``) or discarded (``"drop"``). Null keys are keys.
+    Rows without event time belong to no window: see :func:`without_event_time`. Groups still
+    open at the end of the data are given out by :func:`closed`. The same function works on
+    a batch frame.
     """
     if on_ragged not in ("keep", "drop"):
         raise ValueError(f"on_ragged must be keep or drop, got {on_ragged!r}")
-    arrivals = (
-        stream.withWatermark(event_time, delay)
-        .where(F.col("run_id").isNotNull() & F.col("group_id").isNotNull())
-        .where((F.col("sample_idx") >= 0) & (F.col("sample_idx") < group_size))
-        .dropDuplicatesWithinWatermark(["run_id", "group_id", "sample_idx"])
-        .select(
-            F.pmod(F.xxhash64("run_id", "group_id"), F.lit(buckets)).alias("bucket"),
-            "run_id", "group_id", "sample_idx", "reward", event_time,
-            F.unix_millis(event_time).alias("millis"),
-        )
-    )
-
-    def collect(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts = [pd.DataFrame(dict(zip(_PENDING, state.get)))] if state.exists else []
-        if not state.hasTimedOut:
-            parts += [batch[list(_PENDING)] for batch in batches]
-        rows = pd.concat(parts, ignore_index=True)
-        groups = rows.groupby(["run_id", "group_id"])
-        whole = groups["millis"].transform("size") == group_size
-        last = groups["millis"].transform("max")
-        expired = ~whole & (last <= state.getCurrentWatermarkMs())
-        columns = ["run_id", "group_id", "sample_idx", "reward", "advantage", "whole"]
-        if whole.any():
-            yield _pruned(rows[whole], group_size, k, eps)[columns]
-        if expired.any() and on_ragged == "keep":
-            yield _unpruned(rows[expired], eps)[columns]
-        waiting = ~whole & ~expired
-        if waiting.any():
-            state.update(tuple(rows.loc[waiting, name].tolist() for name in _PENDING))
-            state.setTimeoutTimestamp(int(last[waiting].min()) + 1)
-        elif state.exists:
-            state.remove()
-
-    return arrivals.groupBy("bucket").applyInPandasWithState(
-        collect, _KEPT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    stream = stream.drop("advantage", "whole", "kept")
+    rows = _once(stream.where(F.col(event_time).isNotNull()), delay, event_time)
+    grouped = rows.groupBy(
+        F.session_window(event_time, delay).alias("_session"),
+        F.col("run_id").alias("_run"), F.col("group_id").alias("_group"),
+    ).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in stream.columns])).alias("_rows"))
+    size, total = F.size("_rows"), lambda array: F.aggregate(array, F.lit(0.0), lambda t, x: t + x)
+    grouped = grouped.withColumn("_reward", F.transform("_rows", lambda r: r["reward"].cast("double")))
+    grouped = grouped.withColumn("_mean", total(F.col("_reward")) / size)
+    spread = total(F.transform("_reward", lambda r: (r - F.col("_mean")) * (r - F.col("_mean"))))
+    grouped = grouped.withColumn("_deviation", F.when(size > 1, F.sqrt(spread / (size - 1))).otherwise(0.0))
+    # The place of each row among its group: by magnitude in single precision, ties by position.
+    order = F.array_sort(F.transform("_rows", lambda r, i: F.struct(
+        (-F.abs((r["reward"] - F.col("_mean")) / (F.col("_deviation") + eps)).cast("float")).alias("m"),
+        r["sample_idx"].alias("s"), i.alias("i"))))
+    whole = size == group_size
+    best = F.transform(F.slice(order, 1, k), lambda o: o["i"])
+    exploded = grouped.withColumn("_best", best).select(
+        "_mean", "_deviation", "_best", whole.alias("whole"), F.posexplode("_rows").alias("_place", "_row"))
+    if on_ragged == "drop":
+        exploded = exploded.where("whole")
+    return exploded.select(
+        *[F.col(f"_row.`{c}`").alias(c) for c in stream.columns],
+        ((F.col("_row.reward") - F.col("_mean")) / (F.col("_deviation") + eps)).alias("advantage"),
+        "whole", (~F.col("whole") | F.array_contains("_best", F.col("_place"))).alias("kept"))
+
+
+def prune_stream(stream: DataFrame, group_size: int, k: int, **options) -> DataFrame:
+    """STM-2. The kept rows of :func:`mark_stream`, all columns."""
+    return mark_stream(stream, group_size, k, **options).where("kept").drop("kept")
+
+
+def without_event_time(stream: DataFrame, event_time: str = "ts") -> DataFrame:
+    """Rows that no window can hold, for a sink of their own where they can be counted."""
+    return stream.where(F.col(event_time).isNull())
+
+
+def closed(streamed: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What a stream gave out, and what was still open when its data ended.
+
+    ``batch`` is the same operator over the same data as a batch; the keys (of a completion,
+    window or session) that the stream hasn't given out come from it.
+    """
+    done = streamed.select(*[F.col(f"`{key}`").alias(f"_done{n}") for n, key in enumerate(keys)]).distinct()
+    same = F.lit(True)
+    for n, key in enumerate(keys):
+        same &= F.col(f"`{key}`").eqNullSafe(F.col(f"_done{n}"))
+    return streamed.unionByName(batch.join(done, same, "left_anti"))
 
 
 def metrics_stream(
@@ -142,12 +137,9 @@ def timings_stream(
 ) -> DataFrame:
     """STM-4. Stage seconds per run and session of activity.
 
-    Sessions are merged inside each partition before the exchange, so a busy run
-    shuffles sessions and not events.
+    Build the session with ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition``
+    set to true, so that a busy run shuffles sessions and not events.
     """
-    stream.sparkSession.conf.set(
-        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
-    )
     kind = F.col("kind")
     seconds = lambda name: F.sum(F.when(kind == name, F.col("seconds")).otherwise(0.0))
     return (
