@@ -26,9 +26,8 @@ def base(text):
 
 def brute(rows, trusted, buckets, deviations):
     def features(text):
-        words = [w.encode() for w in WORD.findall(text or "")]
-        return [zlib.crc32(w) % buckets for w in words] + [
-            zlib.crc32(a + b" " + b) % buckets for a, b in zip(words, words[1:])]
+        codes = [zlib.crc32(w.encode()) for w in WORD.findall(text or "")]
+        return [c % buckets for c in codes] + [(a * quality.PAIR + b) % buckets for a, b in zip(codes, codes[1:])]
 
     raw, target, found = collections.Counter(), collections.Counter(), [features(t) for _, t in rows]
     for f, (doc_id, _) in zip(found, rows):

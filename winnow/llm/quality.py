@@ -19,6 +19,8 @@ SYMBOL = r"[#*$%&|<>]"
 #: Fixed values of the base rules.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 BUCKETS = 1 << 16
+#: Mixes a word's number with that of the word before it.
+PAIR = 1_000_003
 
 
 def words(text: Column) -> Column:
@@ -72,22 +74,22 @@ def _covered(pairs: Column) -> Column:
     return F.get(F.transform(starts, count), F.lit(0))
 
 
-def features(found: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of the words, then of the pairs of adjoining words."""
+def codes(found: Column) -> Column:
+    """A number of 32 bits for each word."""
+    return F.transform(found, lambda w: F.crc32(w.cast("binary")))
 
-    def bucket(value: Column) -> Column:
-        return (F.crc32(value.cast("binary")) % buckets).cast("int")
 
-    single = F.transform(found, lambda w: bucket(w))
-    last = F.size(found) - 2
-    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    double = F.transform(at, lambda i: bucket(F.concat_ws(" ", F.get(found, i), F.get(found, i + 1))))
+def features(numbers: Column, buckets: int = BUCKETS) -> Column:
+    """Buckets of the words, then of the pairs of adjoining words; ``numbers`` from :func:`codes`."""
+    single = F.transform(numbers, lambda c: (c % buckets).cast("int"))
+    firsts = F.slice(numbers, 1, F.greatest(F.size(numbers) - 1, F.lit(0)))
+    double = F.transform(firsts, lambda c, i: ((c * PAIR + F.get(numbers, i + 1)) % buckets).cast("int"))
     return F.concat(single, double)
 
 
 def _counts(docs: DataFrame, buckets: int) -> DataFrame:
-    rows = docs.select(words(F.col("text")).alias("words"))
-    rows = rows.select(F.explode(features(F.col("words"), buckets)).alias("bucket"))
+    rows = docs.select(words(F.col("text")).alias("words")).select(codes(F.col("words")).alias("codes"))
+    rows = rows.select(F.explode(features(F.col("codes"), buckets)).alias("bucket"))
     return rows.groupBy("bucket").agg(F.count("*").alias("n"))
 
 
@@ -125,7 +127,8 @@ def with_quality(docs: DataFrame, trusted: DataFrame, *, deviations: float = 6.0
     counted = parts.select(
         "doc_id", F.size("words").cast("long").alias("n_words"), word_chars(F.col("words")).alias("word_chars"),
         symbols(F.col("text")).alias("n_symbols"), duplicate_lines(F.col("text")).alias("n_dup_lines"),
-        triples(F.col("words")).alias("triples"), features(F.col("words"), buckets).alias("features"))
+        triples(F.col("words")).alias("triples"), codes(F.col("words")).alias("codes"))
+    counted = counted.withColumn("features", features(F.col("codes"), buckets)).drop("codes")
     scored = counted.withColumn("ratios", table.scalar()).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         repeated_words(F.col("triples")).alias("n_repeat_words"),
