@@ -61,7 +61,20 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@register("op4_chat_formatting")
+@register("op4_chat_formatting", oracle=r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select * from (values (-7, 0, 'user', '</s>[INST] ok [/INST]'),
+                                  (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v),
+written as (select *, length(regexp_replace(regexp_replace(text, '<(\\*)(s>|/s>)', '<\\\1\2', 'g'),
+    '\[(\\*)(INST\]|/INST\]|ROLE\]|/ROLE\]|END\])', '[\\\1\2', 'g')) as n from rows)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(3 + sum(n + case role when 'user' then 15 when 'assistant' then 5 else 18 + length(role) end) as bigint)
+    as formatted_chars
+from written group by conv_id""")
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one that is full of markers, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
