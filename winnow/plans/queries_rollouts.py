@@ -37,7 +37,7 @@ from ..operators.skew import group_window
 from ..sources.readers import read_problems, read_rollouts, write_rollouts
 from ..sources.writers import scratch_dir
 from . import views as v
-from .registry import q6, query, rounded
+from .registry import q6, query, rounded, sql_text
 
 G, K = v.GROUP_SIZE, 2
 
@@ -62,8 +62,7 @@ def src_2(spark, d):
 
 
 _CONVERSATION_SQL = f"""with {v.PROBLEMS_SQL}, said as (select problem_id, solution, prompt,
-    'You are a helpful assistant that solves mathematics problems. Reason step by step, and put your final'
-    || ' answer within ' || chr(92) || 'boxed{{}}.' as system from problems)"""
+    {sql_text(tx.SYSTEM_PROMPTS['boxed'])} as system from problems)"""
 
 
 @query("prj_1_to_conversation", f"""{_CONVERSATION_SQL} select problem_id, solution, 2 as messages,
@@ -79,17 +78,9 @@ def prj_1(spark, d):
     )
 
 
-@query("prj_2_system_prompt", """select item_id, length(prompt) as prompt_chars, md5(prompt) as prompt_md5
-    from (select item_id, case when item_id % 2 = 0 then
-    'You are a helpful assistant that solves mathematics problems. Reason step by step, and put your final'
-    || ' answer within ' || chr(92) || 'boxed{}.'
-    else 'A conversation between User and Assistant. The user asks a question, and the Assistant solves it.'
-    || ' The assistant first thinks about the reasoning process in the mind and then provides the user with'
-    || ' the answer. And the answer should be of the following format: "Therefore, the final answer is: '
-    || chr(92) || 'boxed{ANSWER}. I hope it is correct." (without quotes) where ANSWER is just the final'
-    || ' number or expression that solves the problem. The reasoning process and answer are enclosed within'
-    || ' <think> </think> and <answer> </answer> tags, respectively, i.e., <think> reasoning process here'
-    || ' </think>' || chr(10) || '<answer> answer here </answer>.' end as prompt from benchmark)""")
+@query("prj_2_system_prompt", f"""select item_id, length(prompt) as prompt_chars, md5(prompt) as prompt_md5
+    from (select item_id, case when item_id % 2 = 0 then {sql_text(tx.SYSTEM_PROMPTS['boxed'])}
+    else {sql_text(tx.SYSTEM_PROMPTS['think_answer'])} end as prompt from benchmark)""")
 def prj_2(spark, d):
     style = F.when(F.col("item_id") % 2 == 0, "boxed").otherwise("think_answer")
     prompts = v.table(spark, d, "benchmark").select("item_id", tx.system_prompt(style).alias("p"))

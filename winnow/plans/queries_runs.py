@@ -14,7 +14,7 @@ from ..sources import readers as rd
 from ..sources import writers as wr
 from . import report as rp
 from . import views as v
-from .registry import q6, query, rounded
+from .registry import q6, query, rounded, sql_text
 
 K = v.K_SQL
 
@@ -422,14 +422,8 @@ def str_14(spark, d):
     )
 
 
-def _literal_sql(text: str) -> str:
-    """A text as SQL, backslashes as ``chr(92)``."""
-    parts = [f"'{part}'" for part in text.split(chr(92))]
-    return " || chr(92) || ".join(parts)
-
-
 def _escape_sql(c: str) -> str:
-    steps = [(_literal_sql(plain), _literal_sql(replacement)) for plain, replacement in ce.LATEX_ESCAPES]
+    steps = [(sql_text(plain), sql_text(replacement)) for plain, replacement in ce.LATEX_ESCAPES]
     for plain, replacement in steps:
         c = f"replace({c}, {plain}, {replacement})"
     return c

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,3 +40,9 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 def q6(expression: str, name: str) -> str:
     """The SQL counterpart of :func:`r6`."""
     return f'round(cast({expression} as double), 6) + cast(0 as double) as "{name}"'
+
+
+def sql_text(text: str) -> str:
+    """A text as an SQL expression; backslashes, quotes and line ends by their numbers."""
+    parts = re.split(r"([\\\n'])", text)
+    return " || ".join(f"chr({ord(part)})" if k % 2 else f"'{part}'" for k, part in enumerate(parts) if part)
