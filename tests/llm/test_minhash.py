@@ -90,6 +90,37 @@ def test_a_large_group_of_near_copies(spark):
     assert sorted(classes.values()) == [1] * 20 + [150]
 
 
+@pytest.mark.parametrize("copies, edits", [(60, 3), (150, 3), (60, 4)])
+def test_copies_that_only_the_original_links(spark, copies, edits):
+    rng, rows = np.random.default_rng(copies + edits), []
+    for group in range(4):
+        base = [f"g{group}w{i}" for i in range(200)]
+        rows.append((1000 * group, " ".join(base)))
+        for k in range(1, copies + 1):
+            words = list(base)
+            for at in rng.choice(edits * 12, edits, replace=False):
+                words[5 + 195 // (edits * 12) * int(at)] = f"edit{k}_{at}"
+            rows.append((1000 * group + k, " ".join(words)))
+    # What shares a sketch is compared, so groups equal those of all pairs that share one.
+    found, edges = minhash.items(pa.array([t for _, t in rows]))
+    keys = minhash.sketches(found, edges)
+    parent = list(range(len(rows)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    shingles = [found[i:j] for i, j in zip(edges, edges[1:])]
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if (keys[i] == keys[j]).any() and minhash.similarity(shingles[i], shingles[j]) > 0:
+            parent[find(j)] = find(i)
+    want = collections.Counter(find(k) for k in range(len(rows)))
+    classes = collections.Counter(c for _, c, _ in got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))))
+    assert sorted(classes.values()) == sorted(want.values())
+    assert max(want.values()) == copies + 1
+
+
 @pytest.mark.parametrize("share", [0.0, 0.01, 0.02, 0.03])
 def test_similarity_is_the_ordered_share(share):
     rng = np.random.default_rng(7)

@@ -3,9 +3,10 @@
 The items of a text are its five-word shingles, each labelled with how often it came before.
 A sketch takes the items with the smallest hashes and keeps them in the order of the text, so
 two texts share it if they share the items and their order. Texts that share one of several
-sketches are candidates: each is compared with one leader of its bucket, by a banded alignment
-of their items. Those that fail are bucketed by more sketches, until no bucket has two. The
-groups are the connected components of the confirmed links. Equal texts are one text.
+sketches are candidates, and compared by a banded alignment of their items unless links already
+join them: leaders of a bucket are compared with all its members, more leaders every round, until
+every two members are joined or compared. The groups are the connected components of the
+confirmed links. Equal texts are one text.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from winnow.llm.common import (
 )
 
 SHINGLE, SKETCHES, PICKED, LEAST = 5, 10, 2, 0.8
+#: How many times as many leaders a bucket has as in the round before.
+MORE = 16
 _STEPS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _LABEL = np.uint64(0xA0761D6478BD642F)
 
@@ -133,7 +136,7 @@ def similarity(left: np.ndarray, right: np.ndarray, least: float = LEAST) -> flo
 
 
 def _sketched(rows: DataFrame) -> DataFrame:
-    """``number``, ``key`` and ``id`` of every sketch; a text that a task meets again is left out."""
+    """``number``, ``key``, ``id`` and item count ``size`` of every sketch; a text that a task meets again is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -144,13 +147,14 @@ def _sketched(rows: DataFrame) -> DataFrame:
             for row, texts in slices(batch.column("text")):
                 found, edges = items(texts)
                 keys = sketches(found, edges)
-                ids = batch.column("id").take(pa.array(row + np.flatnonzero(np.diff(edges) > 0)))
+                full = np.flatnonzero(np.diff(edges) > 0)
+                ids, counts = batch.column("id").take(pa.array(row + full)), pa.array(np.diff(edges)[full], pa.int64())
                 for r in range(SKETCHES):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keys), r), pa.int32()), pa.array(keys[:, r].view(np.int64)), ids],
-                        ["number", "key", "id"])
+                        [pa.array(np.full(len(keys), r), pa.int32()), pa.array(keys[:, r].view(np.int64)), ids, counts],
+                        ["number", "key", "id", "size"])
 
-    return rows.mapInArrow(run, "number int, key long, id binary")
+    return rows.mapInArrow(run, "number int, key long, id binary, size long")
 
 
 @F.arrow_udf(BooleanType())
@@ -168,42 +172,69 @@ def _crowded(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, ["number", "key"])
 
 
+def _unsettled(rows: DataFrame) -> DataFrame:
+    """Buckets whose members are of two roots or more, with the root ``main`` of most members and the number ``minor`` of the others."""
+    roots = rows.groupBy("number", "key", "root").agg(F.count("*").alias("n"))
+    buckets = roots.groupBy("number", "key").agg(
+        F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    return rows.join(buckets.select("number", "key", F.col("most.root").alias("main"), F.expr("n - most.n").alias("minor")),
+                     ["number", "key"])
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    """For every ``root`` in the edges ``x``, ``y``, the least ``label`` within two steps: equal ones are joined."""
+    both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+    least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+    return both.join(least.select(F.col("x").alias("y"), "m"), "y").groupBy(F.col("x").alias("root")).agg(
+        F.min("m").alias("label"))
+
+
 def _links(rows: DataFrame) -> DataFrame:
     """Confirmed pairs ``a``, ``b`` of text ids.
 
-    A bucket's leader is the text whose sketches most texts share, as the original of edited
-    copies is. Members that the leader doesn't match are bucketed again by one sketch more,
-    every later one they have, so buckets get closer from round to round: at most as many
-    rounds as there are sketches, whatever the sizes of the buckets.
+    A bucket's first leader is the text whose sketches most texts share, as the original of
+    edited copies is. Later ones are drawn by a hash, ``MORE`` times as many every round, from
+    the members that no link joins to most of the bucket; of two texts that aren't joined, one
+    is such a member. A leader meets all members that aren't joined to it, whatever they
+    matched before, and leaves the bucket. So all pairs of a bucket are joined or compared in the
+    end; only pairs whose numbers of items are too far apart to match are left out.
     """
-    crowded = _crowded(_sketched(rows).distinct())
-    crowded = stored(crowded, "sketches")
+    crowded = stored(_crowded(_sketched(rows).distinct()), "sketches")
     shared = crowded.groupBy("id").agg(F.sum("n").alias("shared"))
-    open_ = stored(crowded.drop("n").join(shared, "id").select("number", "key", "id", "shared"), "buckets")
-    more = crowded.select(F.col("number").alias("next"), F.col("key").alias("also"), "id")
     # Hashing the ids spares a sort of the texts.
-    wanted = open_.select("id").distinct().hint("shuffle_hash")
+    wanted = crowded.select("id").distinct().hint("shuffle_hash")
     bodies = stored(once_per_task(rows).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "candidates")
-    found = []
+    open_ = stored(_unsettled(crowded.drop("n").join(shared, "id").withColumn("root", F.col("id"))), "buckets")
+    draw = F.shiftrightunsigned(F.xxhash64("number", "id"), 11) * F.lit(2.0**-53)
+    found, leaders_of = [], 1
     while True:
-        leaders = open_.groupBy("number", "key").agg(
-            F.min(F.struct((-F.col("shared")).alias("s"), "id")).alias("first")).select(
-            "number", "key", F.col("first.id").alias("leader"))
-        members = open_.join(leaders, ["number", "key"]).where("id <> leader").select(
-            "number", "key", "id", "shared", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-        members = stored(members, "members")
-        pairs = members.select("a", "b").distinct()
+        if not found:
+            first = open_.groupBy("number", "key").agg(
+                F.min(F.struct((-F.col("shared")).alias("s"), "id")).alias("first"))
+            led = open_.join(first, ["number", "key"]).withColumn("leads", F.col("id") == F.col("first.id")).drop("first")
+        else:
+            led = open_.withColumn("leads", (F.col("root") != F.col("main")) & (draw * F.col("minor") < leaders_of))
+        leaders = led.where("leads").select(
+            "number", "key", F.col("id").alias("leader"), F.col("root").alias("top"), F.col("size").alias("long"))
+        pairs = led.join(leaders, ["number", "key"]).where(
+            (F.col("root") != F.col("top")) & (~F.col("leads") | (F.col("leader") < F.col("id")))
+            & (F.least("size", "long") >= LEAST * F.greatest("size", "long"))).select(
+            F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"),
+            F.least("root", "top").alias("x"), F.greatest("root", "top").alias("y")).distinct()
+        if found:
+            failed = reduce(DataFrame.unionByName, found).where("not alike").select("a", "b")
+            pairs = pairs.join(failed, ["a", "b"], "left_anti")
         checked = pairs.join(bodies.select(F.col("id").alias("a"), F.col("text").alias("left")), "a").join(
             bodies.select(F.col("id").alias("b"), F.col("text").alias("right")), "b").select(
-            "a", "b", _alike("left", "right").alias("alike"))
-        checked = stored(checked, "checked")
-        found.append(checked.where("alike").select("a", "b"))
-        rest = members.join(checked.where("not alike"), ["a", "b"], "left_semi")
-        closer = rest.join(more, "id").where("next > number").select(
-            F.col("next").alias("number"), F.xxhash64("key", "next", "also").alias("key"), "id", "shared")
-        open_ = stored(_crowded(closer).drop("n"), "buckets")
+            "a", "b", "x", "y", _alike("left", "right").alias("alike"))
+        found.append(stored(checked, "checked"))
+        labels = _labels(found[-1].where("alike").select("x", "y"))
+        rest = led.where("not leads").drop("leads", "main", "minor").join(labels, "root", "left").withColumn(
+            "root", F.coalesce("label", "root")).drop("label")
+        open_ = stored(_unsettled(rest), "buckets")
         if open_.isEmpty():
-            return stored(reduce(DataFrame.unionByName, found).distinct(), "links")
+            return stored(reduce(DataFrame.unionByName, found).where("alike").select("a", "b").distinct(), "links")
+        leaders_of *= MORE
 
 
 def components(links: DataFrame) -> DataFrame:
