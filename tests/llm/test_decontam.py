@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from odd_docs import texts
@@ -54,6 +55,26 @@ def test_recall_of_edited_items(spark, sf_dir, share, recall):
     assert decontam.leaks(far.toDF("doc_id", "text"), bench).count() == 0
 
 
+@pytest.mark.parametrize("size", [5, 6, 7, 10, 30, 57, 100, 200])
+def test_recall_wherever_the_edits_are(size):
+    rng, most, count = np.random.default_rng(size), size // 5, 20
+    items = [[f"w{w}" for w in rng.integers(0, 3000, size)] for _ in range(count)]
+    index = decontam.Index.build(list(range(count)), [" ".join(i) for i in items])
+    for step in (1, 2):
+        for places in ([0], [0.5], [1], [0, 0.5], [0, 1], [0.5, 1]):
+            docs = []
+            for item in items:
+                words = list(item)
+                for n, place in enumerate(places):
+                    edits = len(range(n, most, len(places)))
+                    first = min(int(place * size), size - step * (edits - 1) - 1)
+                    for at in range(first, first + step * edits, step):
+                        words[at] = "otherword"
+                docs.append(" ".join(["before", "it"] * 9 + words + ["after", "it"] * 9))
+            got = {(text, number) for text, number, *_ in decontam._matches(index, pa.array(docs), 0.2)}
+            assert sum((k, k) in got for k in range(count)) >= 0.95 * count, (step, places)
+
+
 def test_odd_documents_and_items(spark, odd, none):
     bench = spark.createDataFrame(
         [(1, "the quick brown fox jumps over the lazy dog and runs far", 0), (1, None, 0), (2, "", 0), (None, "orphan TEXT", 0),

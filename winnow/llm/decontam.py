@@ -5,7 +5,7 @@ writes the word it stands on and goes on to the next if a random bit of step and
 so. Sequences at a small edit distance agree at most steps. A signature samples some steps;
 windows of a document, from every word on, whose signature is that of a benchmark item are
 candidates if the two walks agree at enough of all steps. The walk is repeated with other bits
-and steps, from the item's start and from its middle, and each candidate is verified by its
+and steps, from anchors over the item's full length, and each candidate is verified by its
 exact edit distance to the item, after a lower bound of it, the item's words that are missing.
 """
 
@@ -68,6 +68,18 @@ def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, i
     return best, end
 
 
+def _anchors(size: int) -> list[int]:
+    """The words of an item that walks start from: so close that a walk of at most 32 steps, about
+    16 words, overlaps the next, and that a part without edits has one wherever it is. Items of 5
+    to 7 words may have one edit: every part behind it has a walk, and so has the part before it.
+    Shorter ones may have none.
+    """
+    if size < 8:
+        return list(range(4 if size >= 5 else min(size, 1)))
+    apart, least = (2, 4) if size < 16 else (4, 8) if size < 32 else (8, 8)
+    return sorted({*range(0, size - least + 1, apart), size // 2})
+
+
 def _scrambled(signatures: np.ndarray) -> np.ndarray:
     return mixed(signatures.astype(np.uint64)) >> np.uint64(48)
 
@@ -94,10 +106,9 @@ class Index:
         bits = rng.integers(1 << 63, size=(repeats, len(vocabulary) + 1), dtype=np.uint64)
         starts: dict[int, list[tuple[int, int]]] = {}
         for number, item in enumerate(items):
-            for offset in sorted({0, len(item) // 2 if len(item) >= 8 else 0}):
-                if len(item) > offset:
-                    steps = min(MOST_STEPS, 1 << (len(item) - offset).bit_length() - 1)
-                    starts.setdefault(steps, []).append((number, offset))
+            for offset in _anchors(len(item)):
+                steps = min(MOST_STEPS, 1 << (len(item) - offset).bit_length() - 1)
+                starts.setdefault(steps, []).append((number, offset))
         passes = []
         for repeat in range(repeats):
             for steps, entries in sorted(starts.items()):
