@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import chat, decontam, langid, lm, minhash, packing, quality, secrets, suffix, warc
+from winnow.llm import chat, decontam, langid, lm, minhash, packing, quality, secrets, suffix, warc, whitening
 from winnow.llm.common import remainder
 
 LLM_QUERIES: dict = {}
@@ -144,6 +144,12 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.without_repeats(table(spark, sf_dir, "documents"))
 
 
+@register("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the unit-variance axes of all."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over all documents."""
