@@ -112,4 +112,4 @@ def test_odd_vectors(spark):
     assert sorted(str(r.vec_id) for r in nulls) == sorted(["0", "0", "1", "1"] + ["None"] * 4)
     far = spark.createDataFrame(rows_of([[1e30, 1.0], [-1e30, 0.0], [5e9, 0.5], [0.0, 0.25]]), SCHEMA)
     wide = whitening.whiten(far).collect()
-    assert len(wide) == 8 and wide[0].identity_error < 1e-6 and all(r.deviation is None for r in wide if r.vec_id < 2)
+    assert len(wide) == 8 and wide[0].identity_error < 1e-4 and all(r.deviation is None for r in wide if r.vec_id < 2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import chat, decontam, langid, lm, minhash, packing, quality, secrets, suffix, warc, whitening
+from winnow.llm import chat, collocations, decontam, langid, lm, minhash, packing, quality, secrets, suffix, warc, whitening
 from winnow.llm.common import remainder
 
 LLM_QUERIES: dict = {}
@@ -150,6 +150,42 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+@register("op13_phrase_collocations", oracle=r"""
+with lowered as (
+  select doc_id, coalesce(lang, 'und') as lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+pieces as (select lang, row_number() over () as piece, words from (
+  select lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as words from lowered)),
+places as (select lang, piece, unnest(words) as w1, generate_subscripts(words, 1) as i from pieces),
+runs as (select lang, w1, lead(w1, 1) over p as w2, lead(w1, 2) over p as w3, lead(w1, 3) over p as w4
+  from places window p as (partition by piece order by i)),
+grams as materialized (
+  select lang, 1 as k, w1 as phrase, count(*) as f from runs group by all
+  union all select lang, 2, w1 || ' ' || w2, count(*) from runs where w2 is not null group by all
+  union all select lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) from runs where w3 is not null group by all
+  union all select lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) from runs where w4 is not null group by all),
+n as (select lang, cast(sum(f) as bigint) as n from grams where k = 1 group by lang),
+cand as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from grams where k > 1 and f >= 30),
+parts as materialized (
+  select lang, phrase, a, j, lang || chr(9) || array_to_string(w[1:j], ' ') as p,
+    lang || chr(9) || array_to_string(w[j + 1:k], ' ') as q
+  from cand, (values (1), (2), (3)) js(j) where j < k),
+cuts as (
+  select c.lang, c.phrase, c.a, j, x.f as l, y.f as r, cast((2000000::hugeint * c.a) // (x.f + y.f) as bigint) as score
+  from parts c join grams x on x.lang || chr(9) || x.phrase = c.p join grams y on y.lang || chr(9) || y.phrase = c.q),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+inside as (select c.lang, array_to_string(c.w[i:i + m - 1], ' ') as phrase, max(c.a) as within
+  from cand c, (values (2), (3)) ms(m), (values (1), (2), (3)) is_(i)
+  where m < c.k and i + m - 1 <= c.k group by all),
+alone as (select b.* from best b left join inside x on x.lang = b.lang and x.phrase = b.phrase
+  where x.within is null or 100::hugeint * x.within < 80::hugeint * b.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from alone)
+select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000""")
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language that occur together rather than apart."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over all documents."""
