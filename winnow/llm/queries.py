@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import chat, collocations, decontam, langid, lm, minhash, packing, quality, secrets, suffix, warc, whitening
+from winnow.llm import (
+    chat, collocations, decontam, jaccard, langid, lm, minhash, packing, quality, secrets, suffix, warc, whitening)
 from winnow.llm.common import remainder
 
 LLM_QUERIES: dict = {}
@@ -150,6 +151,31 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+@register("op12_jaccard_join", oracle=r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+places as (select doc_id, len(w) as size, unnest(w) as w1, generate_subscripts(w, 1) as i from words),
+runs as (select *, lead(w1, 1) over p as w2, lead(w1, 2) over p as w3, lead(w1, 3) over p as w4, lead(w1, 4) over p as w5
+  from places window p as (partition by doc_id order by i)),
+shingles as materialized (select distinct doc_id, hash(concat_ws(' ', w1, w2, w3, w4, w5)) as s
+  from runs where i <= greatest(size - 4, 1)),
+sizes as materialized (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as n from shingles a join shingles b on a.s = b.s
+  where a.doc_id < b.doc_id group by all),
+links as materialized (select x, y from shared c join sizes p on p.doc_id = x join sizes q on q.doc_id = y
+  where 100 * c.n >= 80 * (p.n + q.n - c.n)),
+reach as (select x, y from links union select y, x from links
+  union select r.x, l.y from reach r join (select x, y from links union select y, x from links) l on r.y = l.x),
+least as (select x as doc_id, min(y) as y from reach group by x)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, least(d.doc_id, coalesce(l.y, d.doc_id)) as component_id
+from documents d left join sizes s using (doc_id) left join least l using (doc_id)""")
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of Jaccard similarity 0.8 or more."""
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 @register("op13_phrase_collocations", oracle=r"""
 with lowered as (
   select doc_id, coalesce(lang, 'und') as lang,
