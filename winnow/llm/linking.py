@@ -77,11 +77,13 @@ def links(texts: DataFrame, members: DataFrame, keys: Sequence[str], percent: in
     """Pairs ``a``, ``b`` of ids that ``alike`` confirms; every two that share buckets are linked by a chain if they are alike.
 
     ``texts`` has ``id`` and ``text``. ``members`` has the bucket's ``keys``, ``id``, ``size``, ``room`` and
-    bits of its set, ``central`` (a bucket is led by the highest) and ``least``: of how many
-    buckets two members must share the lesser number.
+    bits of its set, and ``least``: of how many buckets two members must share the lesser number.
+    A bucket is led by the highest ``central``; without that column, by who meets most others.
     """
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    sizes = members.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
     crowded = stored(members.join(sizes, list(keys)).withColumn("root", F.col("id")), "buckets")
+    if "central" not in crowded.columns:
+        crowded = crowded.join(crowded.groupBy("id").agg(F.sum("n").alias("central")), "id")
     # Hashing the ids spares a sort of the texts.
     wanted = crowded.select("id").distinct().hint("shuffle_hash")
     bodies = stored(once_per_task(texts).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "candidates")

@@ -4,16 +4,14 @@ The items of a text are its five-word shingles, each labelled with how often it
 A sketch takes the items with the smallest hashes and keeps them in the order of the text, so
 two texts share it if they share the items and their order. Texts that share one of several
 sketches are candidates, and compared by a banded alignment of their items unless links already
-join them: leaders of a bucket are compared with all its members, more leaders every round, until
-every two members are joined or compared. The groups are the connected components of the
-confirmed links. Equal texts are one text.
+join them or bounds on their items rule it out (:mod:`winnow.llm.linking`). The groups are the
+connected components of the confirmed links. Equal texts are one text.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from winnow.llm import linking
 from winnow.llm.common import (
     LOWER,
     Rolling,
     chunks,
     mixed,
-    once_per_task,
     slices,
     stored,
     text_buffers,
@@ -34,9 +32,9 @@ from winnow.llm.common import (
     word_spans,
 )
 
-SHINGLE, SKETCHES, PICKED, LEAST = 5, 10, 2, 0.8
-#: How many times as many leaders a bucket has as in the round before.
-MORE = 16
+#: Texts at a similarity s share a sketch in 1 - (1 - s**PICKED)**SKETCHES of cases: 0.998 at 0.8, 0.04 at 0.3.
+SHINGLE, SKETCHES, PICKED, PERCENT = 5, 16, 5, 80
+LEAST = PERCENT / 100
 _STEPS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _LABEL = np.uint64(0xA0761D6478BD642F)
 
@@ -75,28 +73,38 @@ def items(column, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(found: np.ndarray, edges: np.ndarray, count: int = SKETCHES, picked: int = PICKED) -> np.ndarray:
-    """``count`` keys of each text that has items, one row per text."""
+    """``count`` keys of each text that has items, one row per text.
+
+    A key is made of the ``picked`` items of least hash, in the order of the text; of fewer
+    items, of all.
+    """
     full = np.flatnonzero(np.diff(edges) > 0)
     starts, sizes = edges[full], np.diff(edges)[full]
     keys = np.zeros((len(full), count), np.uint64)
     if not len(full):
         return keys
     owner = np.repeat(np.arange(len(full)), sizes)
+    # Few items have a hash so low that it can be among the least; a text with too few of them is searched whole.
+    low = np.where(sizes > 8 * picked, 2.0**64 * 4 * picked / sizes, 2.0**64 - 2048).astype(np.uint64)[owner]
     for r in range(count):
         hashes = mixed(found ^ _STEPS[r + 16])
-        places = []
-        for _ in range(picked):
-            low = np.minimum.reduceat(hashes, starts)
-            hit = np.flatnonzero(hashes == low[owner])
-            at = np.empty(len(full), np.int64)
-            at[owner[hit][::-1]] = hit[::-1]  # the first, should two be equal
-            places.append(at)
-            hashes[at] = np.iinfo(np.uint64).max
-        places = np.sort(np.stack(places), axis=0)
+        near = hashes <= low
+        short = np.bincount(owner[near], minlength=len(full)) < np.minimum(sizes, picked)
+        if short.any():
+            near |= short[owner]
+        near = np.flatnonzero(near)
+        order = near[np.lexsort((hashes[near], owner[near]))]
+        new = np.concatenate([[True], owner[order][1:] != owner[order][:-1]])
+        place = np.arange(len(order))
+        rank = place - np.maximum.accumulate(np.where(new, place, 0))
+        chosen = np.sort(order[rank < picked])
+        many = np.minimum(sizes, picked)
+        at = np.cumsum(many) - many
+        key = np.full(len(full), _STEPS[r], np.uint64)
         with np.errstate(over="ignore"):
-            key = np.full(len(full), _STEPS[r], np.uint64)
-            for at in places:  # a text with one item has it twice
-                key = mixed(key * _LABEL + found[at])
+            for k in range(picked):
+                has = many > k
+                key[has] = mixed(key[has] * _LABEL + found[chosen[at[has] + k]])
         keys[:, r] = key
     return keys
 
@@ -135,8 +143,11 @@ def similarity(left: np.ndarray, right: np.ndarray, least: float = LEAST) -> flo
     return share if share >= least - 1e-12 else 0.0
 
 
+_SKETCHED = f"id binary, size long, keys array<long>, {', '.join(f'{b} long' for b in linking.BITS)}"
+
+
 def _sketched(rows: DataFrame) -> DataFrame:
-    """``number``, ``key``, ``id`` and item count ``size`` of every sketch; a text that a task meets again is left out."""
+    """``id``, item count ``size``, parity bits and sketch ``keys`` of each text with items; a text that a task meets again is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -148,13 +159,13 @@ def _sketched(rows: DataFrame) -> DataFrame:
                 found, edges = items(texts)
                 keys = sketches(found, edges)
                 full = np.flatnonzero(np.diff(edges) > 0)
-                ids, counts = batch.column("id").take(pa.array(row + full)), pa.array(np.diff(edges)[full], pa.int64())
-                for r in range(SKETCHES):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keys), r), pa.int32()), pa.array(keys[:, r].view(np.int64)), ids, counts],
-                        ["number", "key", "id", "size"])
+                bits = linking.parity(found, edges[full])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(pa.array(row + full)), pa.array(np.diff(edges)[full], pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * SKETCHES, pa.int32()), pa.array(keys.view(np.int64).ravel())),
+                     *[pa.array(bits[:, k]) for k in range(linking.WORDS)]], ["id", "size", "keys", *linking.BITS])
 
-    return rows.mapInArrow(run, "number int, key long, id binary, size long")
+    return rows.mapInArrow(run, _SKETCHED)
 
 
 @F.arrow_udf(BooleanType())
@@ -166,75 +177,15 @@ def _alike(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(found, pa.bool_())
 
 
-def _crowded(rows: DataFrame) -> DataFrame:
-    """Buckets that two texts or more are in, with their number ``n``."""
-    sizes = rows.groupBy("number", "key").agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(sizes, ["number", "key"])
-
-
-def _unsettled(rows: DataFrame) -> DataFrame:
-    """Buckets whose members are of two roots or more, with the root ``main`` of most members and the number ``minor`` of the others."""
-    roots = rows.groupBy("number", "key", "root").agg(F.count("*").alias("n"))
-    buckets = roots.groupBy("number", "key").agg(
-        F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
-    return rows.join(buckets.select("number", "key", F.col("most.root").alias("main"), F.expr("n - most.n").alias("minor")),
-                     ["number", "key"])
-
-
-def _labels(edges: DataFrame) -> DataFrame:
-    """For every ``root`` in the edges ``x``, ``y``, the least ``label`` within two steps: equal ones are joined."""
-    both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-    least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-    return both.join(least.select(F.col("x").alias("y"), "m"), "y").groupBy(F.col("x").alias("root")).agg(
-        F.min("m").alias("label"))
-
-
 def _links(rows: DataFrame) -> DataFrame:
-    """Confirmed pairs ``a``, ``b`` of text ids.
-
-    A bucket's first leader is the text whose sketches most texts share, as the original of
-    edited copies is. Later ones are drawn by a hash, ``MORE`` times as many every round, from
-    the members that no link joins to most of the bucket; of two texts that aren't joined, one
-    is such a member. A leader meets all members that aren't joined to it, whatever they
-    matched before, and leaves the bucket. So all pairs of a bucket are joined or compared in the
-    end; only pairs whose numbers of items are too far apart to match are left out.
-    """
-    crowded = stored(_crowded(_sketched(rows).distinct()), "sketches")
-    shared = crowded.groupBy("id").agg(F.sum("n").alias("shared"))
-    # Hashing the ids spares a sort of the texts.
-    wanted = crowded.select("id").distinct().hint("shuffle_hash")
-    bodies = stored(once_per_task(rows).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "candidates")
-    open_ = stored(_unsettled(crowded.drop("n").join(shared, "id").withColumn("root", F.col("id"))), "buckets")
-    draw = F.shiftrightunsigned(F.xxhash64("number", "id"), 11) * F.lit(2.0**-53)
-    found, leaders_of = [], 1
-    while True:
-        if not found:
-            first = open_.groupBy("number", "key").agg(
-                F.min(F.struct((-F.col("shared")).alias("s"), "id")).alias("first"))
-            led = open_.join(first, ["number", "key"]).withColumn("leads", F.col("id") == F.col("first.id")).drop("first")
-        else:
-            led = open_.withColumn("leads", (F.col("root") != F.col("main")) & (draw * F.col("minor") < leaders_of))
-        leaders = led.where("leads").select(
-            "number", "key", F.col("id").alias("leader"), F.col("root").alias("top"), F.col("size").alias("long"))
-        pairs = led.join(leaders, ["number", "key"]).where(
-            (F.col("root") != F.col("top")) & (~F.col("leads") | (F.col("leader") < F.col("id")))
-            & (F.least("size", "long") >= LEAST * F.greatest("size", "long"))).select(
-            F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"),
-            F.least("root", "top").alias("x"), F.greatest("root", "top").alias("y")).distinct()
-        if found:
-            failed = reduce(DataFrame.unionByName, found).where("not alike").select("a", "b")
-            pairs = pairs.join(failed, ["a", "b"], "left_anti")
-        checked = pairs.join(bodies.select(F.col("id").alias("a"), F.col("text").alias("left")), "a").join(
-            bodies.select(F.col("id").alias("b"), F.col("text").alias("right")), "b").select(
-            "a", "b", "x", "y", _alike("left", "right").alias("alike"))
-        found.append(stored(checked, "checked"))
-        labels = _labels(found[-1].where("alike").select("x", "y"))
-        rest = led.where("not leads").drop("leads", "main", "minor").join(labels, "root", "left").withColumn(
-            "root", F.coalesce("label", "root")).drop("label")
-        open_ = stored(_unsettled(rest), "buckets")
-        if open_.isEmpty():
-            return stored(reduce(DataFrame.unionByName, found).where("alike").select("a", "b").distinct(), "links")
-        leaders_of *= MORE
+    """Confirmed pairs ``a``, ``b`` of text ids: chains of them join all texts that share a sketch and are alike."""
+    sketched = stored(_sketched(rows), "sketches")
+    buckets = sketched.select("id", F.posexplode("keys").alias("number", "key"))
+    crowded = buckets.groupBy("number", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+    members = stored(buckets.join(crowded.select("number", "key"), ["number", "key"]).distinct(), "members")
+    marks = sketched.drop("keys").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    members = members.join(marks, "id").withColumns({"room": F.col("size"), "least": F.lit(1)})
+    return linking.links(rows, members, ["number", "key"], PERCENT, _alike)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -278,10 +229,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null ids count in their group; a group of null ids has a null class. Other columns are
     left out; no rows give none.
     """
-    rows = docs.select("doc_id", text_id().alias("id")).join(text_groups(docs), "id", "left").select(
-        "doc_id", F.coalesce("root", "id").alias("root"))
-    classes = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return rows.join(classes, "root").select("doc_id", "class_id", "class_size")
+    rows = docs.select("doc_id", text_id().alias("id"))
+    # Ids first, so that a group of copies counts once.
+    texts = rows.groupBy("id").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).join(
+        text_groups(docs), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    classes = texts.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
+    named = texts.select("id", "root").join(classes, "root").select("id", "class_id", "class_size")
+    return rows.join(named, "id").select("doc_id", "class_id", "class_size")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -290,11 +244,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows that share both id and text are one row here. Null ids are least.
     """
     own = text_id().alias("_id")
-    rows = docs.select("doc_id", own).join(
-        text_groups(docs).withColumnRenamed("id", "_id"), "_id", "left").select(
-        "doc_id", "_id", F.coalesce("root", "_id").alias("root"))
-    counted = rows.groupBy("root", "doc_id", "_id").agg(F.count("*").alias("n"))
-    kept = counted.groupBy("root").agg(F.min(F.struct("doc_id", "_id", "n")).alias("kept")).select(
+    counted = docs.select("doc_id", own).groupBy("doc_id", "_id").agg(F.count("*").alias("n"))
+    texts = counted.groupBy("_id").agg(F.min(F.struct("doc_id", "n")).alias("least")).join(
+        text_groups(docs).withColumnRenamed("id", "_id"), "_id", "left")
+    kept = texts.groupBy(F.coalesce("root", "_id")).agg(F.min(F.struct("least.doc_id", "_id", "least.n")).alias("kept")).select(
         F.col("kept.doc_id").alias("_doc"), F.col("kept._id").alias("_text"), F.col("kept.n").alias("_n"))
 
     # All columns as one, so that none of theirs meets one of ours.
