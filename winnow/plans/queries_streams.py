@@ -45,8 +45,8 @@ def _without_zone(df: DataFrame, *names: str) -> DataFrame:
     )
 
 
-def _drain(spark, stream: DataFrame, name: str) -> DataFrame:
-    return st.run_available(stream, scratch_dir(spark, name), scratch_dir(spark, name + "-state"))
+def _drain(spark, stream: DataFrame, name: str) -> st.Drained:
+    return st.drain(stream, scratch_dir(spark, name), scratch_dir(spark, name + "-state"))
 
 
 @query("stm_1_score_stream", f"""{v.SCORED_SQL} select group_id, sample_idx, acc as accuracy, fmt as format,
@@ -58,17 +58,21 @@ def stm_1(spark, d):
         F.col("`rewards/format_reward_boxed`").alias("format"),
         "reward",
     )
-    return _drain(spark, scored, "scored")
+    return _drain(spark, scored, "scored").rows
 
 
 _KEYS = ("run_id", "group_id", "sample_idx")
 
 
-def _marked(spark, d, make) -> DataFrame:
-    """All rows of all groups, marked by the stream and, where still open, at its end."""
-    # Event ids follow time, so a group is complete long before a day has passed.
-    of = lambda events: st.mark_stream(st.score_stream(make(events)), G, K, delay="1 day")
-    return st.closed(_drain(spark, of(_event_stream(spark, d)), "marked"), of(_events(spark, d)), _KEYS)
+#: Event ids follow time, so a group is complete long before a day has passed.
+_WAIT = "1 day"
+
+
+def _marked(spark, d, make, emit: str = "complete") -> DataFrame:
+    """All rows of all groups, marked by the stream; ragged ones that were open at the end of the data, too."""
+    scored = lambda events: st.score_stream(make(events))
+    marked = st.mark_stream(scored(_event_stream(spark, d)), G, K, delay=_WAIT, emit=emit)
+    return st.with_open_groups(_drain(spark, marked, "marked"), scored(_events(spark, d)), G, K, delay=_WAIT, emit=emit)
 
 
 _KEPT = ("run_id", "group_id", "sample_idx", "reward", "advantage", "whole")
@@ -97,7 +101,7 @@ def _metrics(spark, d, slide: str | None) -> DataFrame:
     landed = spark.read.parquet(path)
     of = lambda rows: st.metrics_stream(rows, "1 day", slide, DELAY, v.CAP)
     drained = _drain(spark, of(spark.readStream.schema(landed.schema).parquet(path)), "metrics")
-    metrics = st.closed(drained, of(landed), ["window_start", "run_id"])
+    metrics = st.closed(drained, of(landed), "window_end")
     return rounded(_without_zone(metrics, "window_start", "window_end"), "reward", "retention", "clipped_ratio")
 
 
@@ -123,7 +127,7 @@ def stm_4(spark, d):
         return st.timings_stream(timed, "20 minutes", DELAY)
 
     drained = _drain(spark, of(_event_stream(spark, d)), "timings")
-    timings = st.closed(drained, of(_events(spark, d)), ["session_start", "run_id"])
+    timings = st.closed(drained, of(_events(spark, d)), "session_end")
     timings = _without_zone(timings, "session_start", "session_end")
     return rounded(timings, "train_step_seconds", "rollout_seconds", "update_seconds")
 
@@ -131,14 +135,10 @@ def stm_4(spark, d):
 @query("stm_5_land_rounds", f"""{v.RANKED_SQL} select run_id, count(*) as kept, {q6('sum(reward)', 'reward')}
     from ranked where rnk <= {K} group by run_id""")
 def stm_5(spark, d):
-    of = lambda events: st.prune_stream(st.score_stream(v.rollouts_of(events)), G, K, delay="1 day")
-    path = scratch_dir(spark, "rounds")
-    kept = of(_event_stream(spark, d))
-    st.land_rounds(kept, path, scratch_dir(spark, "rounds-state")).awaitTermination()
-    # The first batches may land no row and so no file.
-    landed = spark.read.schema(kept.schema).option("recursiveFileLookup", "false").parquet(path)
-    landed = landed.withColumn("run_id", F.col("run_id").cast("bigint")).select(*kept.columns)
-    rows = st.closed(landed, of(_events(spark, d)), _KEYS).groupBy("run_id")
+    stream = st.score_stream(v.rollouts_of(_event_stream(spark, d)))
+    kept = st.prune_stream(stream, G, K, delay=_WAIT, emit="complete")
+    landed = st.land_available(kept, scratch_dir(spark, "rounds"), scratch_dir(spark, "rounds-state"))
+    rows = landed.rows.groupBy("run_id")
     return rounded(rows.agg(F.count(F.lit(1)).alias("kept"), F.sum("reward").alias("reward")), "reward")
 
 

@@ -6,6 +6,7 @@ import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,3 +74,37 @@ def write_once(df: DataFrame, path: str, key: str = "run_id") -> str:
     keys.write.mode("append").parquet(finished)
     keys.unpersist()
     return path
+
+
+_MANIFEST = "name string, folder string, attempt string"
+
+
+def commit(df: DataFrame, path: str, name: str, partition_by: Sequence[str] = ()) -> bool:
+    """Write rows as a named commit, once: data to a new folder, then a manifest that names it.
+
+    A commit of that name that is already there is left alone, and false comes back. An
+    attempt that dies before its manifest leaves a folder that :func:`read_committed` never opens.
+    """
+    spark, manifest, attempt = df.sparkSession, f"{path}/_commits/{name}", uuid.uuid4().hex
+    if _exists(spark, manifest) and not spark.read.schema(_MANIFEST).json(manifest).isEmpty():
+        return False
+    df.write.partitionBy(*partition_by).parquet(f"{path}/data/{name}-{attempt}")
+    _write_manifest(spark, manifest, (name, f"data/{name}-{attempt}", attempt))
+    return True
+
+
+def _write_manifest(spark: SparkSession, manifest: str, entry: tuple) -> None:
+    spark.createDataFrame([entry], _MANIFEST).coalesce(1).write.mode("overwrite").json(manifest)
+
+
+def read_committed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of all commits under a path, in the schema they were written with."""
+    names = [f.name for f in schema.fields]
+    if not _exists(spark, f"{path}/_commits"):
+        return spark.createDataFrame([], schema)
+    entries = spark.read.schema(_MANIFEST).json(f"{path}/_commits/*").where("folder is not null")
+    folders = [f"{path}/{row.folder}" for row in entries.select("folder").collect()]  # one a commit
+    if not folders:
+        return spark.createDataFrame([], schema)
+    parts = [spark.read.schema(schema).parquet(folder).select(*names) for folder in folders]
+    return functools.reduce(DataFrame.unionByName, parts)

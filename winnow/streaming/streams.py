@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.types import StructType
 
 from ..functions import as_col
-from ..operators.scoring import score
+from ..operators.pruning import mark_kept
+from ..operators.scoring import group_advantage, score
+from ..sources.writers import commit, read_committed
 
 
 def score_stream(stream: DataFrame, style: str = "boxed") -> DataFrame:
@@ -30,6 +38,65 @@ def _once(rows: DataFrame, delay: str, event_time: str) -> DataFrame:
     return marked.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys).drop("_row")
 
 
+#: What a group is: its rows are held, it gave out its best, or more came than it has places for.
+_OPEN, _WHOLE, _SURPLUS = "open", "whole", "surplus"
+_STATE = "status string, payload array<string>, reward array<double>, place array<long>"
+_MARKED = "_payload string, advantage double, whole boolean, kept boolean"
+#: JSON that gives instants back to the microsecond.
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _group_machine(group_size: int, k: int, eps: float, early: bool) -> Callable:
+    """What a group does with the rows of a micro-batch and at the end of its time."""
+
+    def given_out(payload: Sequence[str], whole: bool, advantage=None, kept=None) -> pd.DataFrame:
+        size = len(payload)
+        return pd.DataFrame({
+            "_payload": list(payload), "advantage": [None] * size if advantage is None else advantage,
+            "whole": [whole] * size, "kept": [True] * size if kept is None else kept})
+
+    def pruned(payload: list, reward: list, place: list) -> pd.DataFrame:
+        """The rows of a group that is complete or out of time."""
+        values = np.array([np.nan if r is None else r for r in reward], float)
+        deviation = values.std(ddof=1) if len(values) > 1 else 0.0
+        advantage = (values - values.mean()) / (deviation + eps)
+        if len(payload) != group_size:
+            return given_out(payload, False, advantage)
+        # By magnitude in single precision, ties by position; rows without one first, as in a sort.
+        order = sorted(range(group_size), key=lambda i: (
+            -np.float32(abs(advantage[i])), place[i] is not None, place[i] or 0, i))
+        best = set(order[:k])
+        return given_out(payload, True, advantage, [i in best for i in range(group_size)])
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, payload, reward, place = (
+            (state.get[0], *map(list, state.get[1:])) if state.exists else (_OPEN, [], [], []))
+        if state.hasTimedOut:
+            state.remove()
+            if payload:
+                yield pruned(payload, reward, place)
+            return
+        deadline = state.getCurrentWatermarkMs() + 1
+        for rows in batches:
+            deadline = max(deadline, int(rows["_deadline"].max()))
+            if status != _OPEN:
+                yield given_out(rows["_payload"], False)
+                continue
+            payload += rows["_payload"].tolist()
+            reward += [None if pd.isna(r) else float(r) for r in rows["_reward"]]
+            place += [None if pd.isna(p) else int(p) for p in rows["_place"]]
+            if len(payload) > group_size:
+                yield given_out(payload, False)
+                status, payload, reward, place = _SURPLUS, [], [], []
+        if early and len(payload) == group_size:
+            yield pruned(payload, reward, place)
+            status, payload, reward, place = _WHOLE, [], [], []
+        state.update((status, payload, reward, place))
+        state.setTimeoutTimestamp(deadline)
+
+    return run
+
+
 def mark_stream(
     stream: DataFrame,
     group_size: int,
@@ -38,44 +105,45 @@ def mark_stream(
     eps: float = 1e-4,
     event_time: str = "ts",
     on_ragged: str = "keep",
+    emit: str = "closed",
 ) -> DataFrame:
     """STM-2. Every row, all columns, with ``advantage``, ``whole`` and ``kept`` (replaced if there).
 
-    State is kept per ``(run_id, group_id)``: the rows of a group, which ends when no row has
-    come for ``delay`` of event time. Then its size is known: a group of exactly
-    ``group_size`` completions is whole and keeps its ``k`` best; a smaller or larger one is
-    ragged and is kept unpruned (``"keep"``) or discarded (``"drop"``). Null keys are keys.
-    Rows without event time belong to no window: see :func:`without_event_time`. Groups still
-    open at the end of the data are given out by :func:`closed`. The same function works on
-    a batch frame.
+    State is kept per ``(run_id, group_id)``, of ``group_size`` rows at most. With ``emit="complete"`` a group leaves
+    in the micro-batch that brings its last completion; what comes for it later is
+    surplus, and ragged. With ``"closed"`` it waits until none of its rows has come for ``delay``
+    of event time, so that surplus rows make all of it ragged. Either way a group that has
+    more rows than places gives out what it holds and passes the rest on, and one that is
+    still too small when its time is over is ragged. Ragged rows are kept unpruned (``"keep"``)
+    or discarded (``"drop"``); surplus ones have no advantage, as nobody saw their whole group.
+    Null keys are keys. Rows without event time belong to no group: see
+    :func:`without_event_time`. Groups still open at the end of the data are given out by
+    :func:`with_open_groups`. Over a batch frame all groups are closed, and native windows do the work.
     """
     if on_ragged not in ("keep", "drop"):
         raise ValueError(f"on_ragged must be keep or drop, got {on_ragged!r}")
+    if emit not in ("complete", "closed"):
+        raise ValueError(f"emit must be complete or closed, got {emit!r}")
     stream = stream.drop("advantage", "whole", "kept")
     rows = _once(stream.where(F.col(event_time).isNotNull()), delay, event_time)
-    grouped = rows.groupBy(
-        F.session_window(event_time, delay).alias("_session"),
+    if not stream.isStreaming:
+        marked = mark_kept(group_advantage(rows, eps=eps), group_size, k, on_ragged="keep").withColumn(
+            "whole", F.col("group_rows") == group_size)
+        marked = marked.withColumn("advantage", F.when(F.col("group_rows") <= group_size, F.col("advantage")))
+        marked = marked.select(*[F.col(f"`{c}`") for c in stream.columns], "advantage", "whole", "kept")
+        return marked.where("whole") if on_ragged == "drop" else marked
+    packed = rows.select(
         F.col("run_id").alias("_run"), F.col("group_id").alias("_group"),
-    ).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in stream.columns])).alias("_rows"))
-    size, total = F.size("_rows"), lambda array: F.aggregate(array, F.lit(0.0), lambda t, x: t + x)
-    grouped = grouped.withColumn("_reward", F.transform("_rows", lambda r: r["reward"].cast("double")))
-    grouped = grouped.withColumn("_mean", total(F.col("_reward")) / size)
-    spread = total(F.transform("_reward", lambda r: (r - F.col("_mean")) * (r - F.col("_mean"))))
-    grouped = grouped.withColumn("_deviation", F.when(size > 1, F.sqrt(spread / (size - 1))).otherwise(0.0))
-    # The place of each row among its group: by magnitude in single precision, ties by position.
-    order = F.array_sort(F.transform("_rows", lambda r, i: F.struct(
-        (-F.abs((r["reward"] - F.col("_mean")) / (F.col("_deviation") + eps)).cast("float")).alias("m"),
-        r["sample_idx"].alias("s"), i.alias("i"))))
-    whole = size == group_size
-    best = F.transform(F.slice(order, 1, k), lambda o: o["i"])
-    exploded = grouped.withColumn("_best", best).select(
-        "_mean", "_deviation", "_best", whole.alias("whole"), F.posexplode("_rows").alias("_place", "_row"))
+        F.col("reward").cast("double").alias("_reward"), F.col("sample_idx").cast("long").alias("_place"),
+        F.unix_millis(F.col(event_time) + F.expr(f"interval {delay}")).alias("_deadline"), F.col(event_time).alias("_time"),
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in stream.columns]), _EXACT).alias("_payload"))
+    marked = packed.groupBy("_run", "_group").applyInPandasWithState(
+        _group_machine(group_size, k, eps, emit == "complete"), _MARKED, _STATE, "append", "EventTimeTimeout")
     if on_ragged == "drop":
-        exploded = exploded.where("whole")
-    return exploded.select(
-        *[F.col(f"_row.`{c}`").alias(c) for c in stream.columns],
-        ((F.col("_row.reward") - F.col("_mean")) / (F.col("_deviation") + eps)).alias("advantage"),
-        "whole", (~F.col("whole") | F.array_contains("_best", F.col("_place"))).alias("kept"))
+        marked = marked.where("whole")
+    row = F.from_json("_payload", stream.schema, _EXACT)
+    return marked.select(row.alias("_row"), "advantage", "whole", "kept").select(
+        *[F.col(f"_row.`{c}`").alias(c) for c in stream.columns], "advantage", "whole", "kept")
 
 
 def prune_stream(stream: DataFrame, group_size: int, k: int, **options) -> DataFrame:
@@ -88,17 +156,68 @@ def without_event_time(stream: DataFrame, event_time: str = "ts") -> DataFrame:
     return stream.where(F.col(event_time).isNull())
 
 
-def closed(streamed: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+@dataclass
+class Drained:
+    """What a stream wrote, the watermark at which it ended, and how many rows it dropped as late."""
+
+    rows: DataFrame
+    watermark: dt.datetime | None
+    dropped: int
+
+    def still_open(self, end: Column, timer: bool = False) -> Column:
+        """Whether what ends then can't have been given out yet; without a watermark nothing was.
+
+        A window is given out when the watermark reaches its end, a timer runs when it is past.
+        """
+        if self.watermark is None:
+            return F.lit(True)
+        mark = F.timestamp_millis(F.lit(int(self.watermark.timestamp() * 1000)))
+        return end >= mark if timer else end > mark
+
+
+def _ended(query: StreamingQuery) -> tuple[dt.datetime | None, int]:
+    """The final watermark of a query that has stopped, and the rows its states dropped as late."""
+    marks, dropped = [], 0
+    for progress in query.recentProgress:
+        mark = progress.eventTime.get("watermark")
+        if mark:
+            marks.append(dt.datetime.fromisoformat(mark.replace("Z", "+00:00")))
+        dropped += sum(state.numRowsDroppedByWatermark for state in progress.stateOperators)
+    return max(marks, default=None), dropped
+
+
+def closed(drained: Drained, batch: DataFrame, end: str) -> DataFrame:
     """What a stream gave out, and what was still open when its data ended.
 
-    ``batch`` is the same operator over the same data as a batch; the keys (of a completion,
-    window or session) that the stream hasn't given out come from it.
+    ``batch`` is the same operator over the same data as a batch. Of it only what ends after
+    the stream's final watermark is added; what the stream should have given out before stays
+    missing if it did not.
+    """
+    return drained.rows.unionByName(batch.where(drained.still_open(F.col(end))))
+
+
+def with_open_groups(
+    drained: Drained, rows: DataFrame, group_size: int, k: int, delay: str = "10 minutes",
+    event_time: str = "ts", emit: str = "closed", **options,
+) -> DataFrame:
+    """STM-2. What :func:`mark_stream` gave out, and the groups that were open when its data ended.
+
+    ``rows`` is the stream's data as a batch. A group is open if its last row is so late that
+    its time lasts beyond the final watermark; with ``emit="complete"`` a whole one is not, as it left
+    when it was complete. Rows that already left as ragged are not repeated.
     """
-    done = streamed.select(*[F.col(f"`{key}`").alias(f"_done{n}") for n, key in enumerate(keys)]).distinct()
-    same = F.lit(True)
-    for n, key in enumerate(keys):
-        same &= F.col(f"`{key}`").eqNullSafe(F.col(f"_done{n}"))
-    return streamed.unionByName(batch.join(done, same, "left_anti"))
+    last = rows.where(F.col(event_time).isNotNull()).groupBy(
+        F.col("run_id").alias("_run"), F.col("group_id").alias("_group")).agg(F.max(event_time).alias("_last"))
+    late = last.where(drained.still_open(F.col("_last") + F.expr(f"interval {delay}"), timer=True))
+    same = F.col("run_id").eqNullSafe(F.col("_run")) & F.col("group_id").eqNullSafe(F.col("_group"))
+    open_ = mark_stream(rows.join(late, same, "left_semi"), group_size, k, delay, event_time=event_time, **options)
+    if emit == "complete":
+        open_ = open_.where("not whole")
+    given = drained.rows.select(*[F.col(key).alias(f"_{key}") for key in _KEYS]).distinct()
+    known = F.lit(True)
+    for key in _KEYS:
+        known &= F.col(key).eqNullSafe(F.col(f"_{key}"))
+    return drained.rows.unionByName(open_.join(given, known, "left_anti"))
 
 
 def metrics_stream(
@@ -162,14 +281,14 @@ def timings_stream(
 
 
 def land_rounds(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """STM-5. Land pruned rounds exactly once.
+    """STM-5. Land pruned rounds exactly once, for readers of :func:`read_rounds`.
 
-    Each micro-batch overwrites its own ``batch_id`` folder, so a batch that is run
-    again after a failure replaces its first attempt.
+    Each micro-batch writes a folder of its own and is committed by a manifest that names the
+    folder, written last. A batch that is run again after a failure writes another folder; what an
+    attempt left without a manifest is never read. A batch with a manifest isn't landed again.
     """
-
     def land(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").partitionBy("run_id").parquet(f"{path}/batch_id={batch_id}")
+        commit(batch, path, str(batch_id), ["run_id"])
 
     return (
         stream.writeStream.foreachBatch(land)
@@ -179,8 +298,20 @@ def land_rounds(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     )
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Run a stream over everything that is available, and read what it wrote."""
+def read_rounds(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """STM-5. The rows of all committed batches; none before the first commit."""
+    return read_committed(spark, path, schema)
+
+
+def land_available(stream: DataFrame, path: str, checkpoint: str) -> Drained:
+    """Land everything that is available, and read what was committed."""
+    query = land_rounds(stream, path, checkpoint)
+    query.awaitTermination()
+    return Drained(read_rounds(stream.sparkSession, path, stream.schema), *_ended(query))
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str) -> Drained:
+    """Run a stream over everything that is available; what it wrote and where it ended."""
     query = (
         stream.writeStream.format("parquet")
         .option("path", path)
@@ -190,4 +321,9 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    return Drained(stream.sparkSession.read.schema(stream.schema).parquet(path), *_ended(query))
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream over everything that is available, and read what it wrote."""
+    return drain(stream, path, checkpoint).rows
