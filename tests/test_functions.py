@@ -230,3 +230,29 @@ def test_geometry_tables(spark):
     assert m.where(geometry.allocation_multiplier("g", "k") != F.col("m")).count() == 0
     w = spark.createDataFrame(WARMUP, "b int, m int, w int")
     assert w.where(geometry.scaled_warmup("b", "m") != F.col("w")).count() == 0
+
+
+def test_the_verifier_sees_each_open_pair_once(spark):
+    from winnow.operators.scoring import score, with_equivalence
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def check(left, right):
+        calls.add(1)
+        return (left, right) in {("two", "2"), ("x", "y")}
+
+    verifier = rewards.python_verifier(check)
+    pairs = [("two", "2"), ("2", "2"), ("x", "y"), ("1/2", "0.5"), ("q", "r"), (None, "2"), ("q", None)]
+    frame = spark.createDataFrame([(i, *pairs[i % 7]) for i in range(700)], "i int, a string, b string").repartition(5)
+    got = with_equivalence(frame, "a", "b", verifier).collect()
+    assert len(got) == 700 and all(r.equivalent == (r.i % 7 < 4) for r in got)
+    assert calls.value == 3
+    native = frame.select("i", rewards.answers_equivalent("a", "b", verifier).alias("s")).collect()
+    assert {(r.i, r.s) for r in native} == {(r.i, r.equivalent) for r in got} and calls.value == 3 + 300
+    texts = spark.createDataFrame(
+        [(i, ["so \\boxed{two}", "\\boxed{2}", "\\boxed{three}", "none", None][i % 5], "2") for i in range(50)], "i int, completion string, solution string")
+    calls.value = 0
+    scored = score(texts, verifier=verifier)
+    assert scored.columns == ["i", "completion", "solution", "rewards/accuracy_reward", "rewards/format_reward_boxed", "reward"]
+    assert {(r.i % 5, r["rewards/accuracy_reward"]) for r in scored.collect()} == {(0, 2.0), (1, 2.0), (2, 0.0), (3, 0.0), (4, 0.0)}
+    assert calls.value == 2

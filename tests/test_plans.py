@@ -3,6 +3,8 @@
 import re
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from winnow.operators import diagnostics as dg
 from winnow.operators import objective as ob
@@ -10,6 +12,7 @@ from winnow.operators import pruning as pr
 from winnow.operators.scoring import group_advantage
 from winnow.plans import views as v
 from winnow.plans.catalog import QUERIES
+from winnow.sources.readers import read_clustered, write_clustered
 
 
 def executed(df):
@@ -64,3 +67,29 @@ def test_few_scans(spark, sf_dir, name):
         plan = QUERIES[query](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") <= 3, query
         assert plan.count("Exchange hashpartitioning") <= 5, query
+
+
+def test_clustered_rollouts_need_no_shuffle_by_group(spark, sf_dir, tmp_path):
+    path = str(tmp_path / "clustered")
+    write_clustered(v.scored(spark, sf_dir), path, 4)
+    rows = read_clustered(spark, path)
+    assert rows.dtypes == v.scored(spark, sf_dir).dtypes and rows.count() == v.scored(spark, sf_dir).count()
+    plan = executed(dg.summarize_pruning(pr.mark_kept(group_advantage(rows), 8, 2)))
+    assert "Window" in plan and not re.search(r"Exchange hashpartitioning\([^)]*group_id", plan)
+    plan = executed(pr.select_topk(group_advantage(read_clustered(spark, path)), 2, 8))
+    assert "Exchange" not in plan
+
+
+@pytest.mark.parametrize("most", [4, None])
+def test_topk_by_a_column_is_limited_before_the_exchange(spark, sf_dir, tmp_path, most):
+    path = str(tmp_path / "advantages")
+    v.advantaged(spark, sf_dir).write.parquet(path)
+    rows = spark.read.parquet(path)
+    best = pr.group_topk(rows, 1 + F.col("run_id") % 4, most=most)
+    plan = executed(best)
+    limits = [m.start() for m in re.finditer("WindowGroupLimit", plan)]
+    assert len(limits) == 2 and limits[0] < plan.index("Exchange hashpartitioning") < limits[1]
+    window = Window.partitionBy("run_id", "group_id").orderBy(F.abs("advantage").cast("float").desc(), "sample_idx")
+    want = rows.withColumn("n", F.row_number().over(window)).where("n <= 1 + run_id % 4")
+    assert sorted(map(str, best.select("event_id").collect())) == sorted(map(str, want.select("event_id").collect()))
+    assert pr.group_topk(rows.limit(0), "run_id").count() == 0

@@ -97,13 +97,15 @@ def answers_equivalent(
 ) -> Column:
     """STR-7. Equal as text, number or rational; a verifier may accept more.
 
-    ``verifier`` maps the raw columns to a nullable boolean, NULL meaning "no opinion".
+    ``verifier`` maps the raw columns to a nullable boolean, NULL meaning "no opinion". It sees
+    NULL where the answers are the same natively. To have each pair checked once over a whole
+    frame, see :func:`winnow.operators.scoring.with_equivalence`.
     """
     predicted, gold = as_col(predicted), as_col(gold)
     same = _normalised(predicted, gold, True, rationally_equal)
     if verifier is None:
         return same
-    return F.coalesce(verifier(predicted, gold), F.lit(False)) | same
+    return F.coalesce(verifier(F.when(~same, predicted), F.when(~same, gold)), F.lit(False)) | same
 
 
 def python_verifier(check: Callable[[str, str], bool]) -> Callable[[Column, Column], Column]:

@@ -108,6 +108,31 @@ def select_topk(
     return ranked.where(F.col("_rank") <= k).drop("_rank", SPREAD)
 
 
+def group_topk(
+    df: DataFrame,
+    k: int | str | Column,
+    keys: Sequence[str] = GROUP,
+    order: str = "abs",
+    seed: int = 0,
+    most: int | None = None,
+) -> DataFrame:
+    """SRT-4, WIN-2. The ``k`` best rows of each group that already carry advantages; ``k`` may differ by run.
+
+    Spark limits groups before an exchange only by a literal. So the largest ``k`` (``most``, or
+    found by a job that reads ``k`` alone) limits every group on both sides of the exchange,
+    and a row's own ``k`` then decides among the few that are left. A group of any size
+    sends at most ``most`` rows per task.
+    """
+    bound = as_col(k)
+    if most is None:
+        most = k if isinstance(k, int) else df.agg(F.max(bound)).first()[0]
+    if most is None or most < 1:
+        return df.where(F.lit(False))
+    window = Window.partitionBy(*[F.col(f"`{key}`") for key in keys]).orderBy(*_ordering(order, keys, seed))
+    ranked = df.withColumn("_rank", F.row_number().over(window))
+    return ranked.where((F.col("_rank") <= most) & (F.col("_rank") <= bound)).drop("_rank")
+
+
 def mark_kept(
     df: DataFrame,
     group_size: int | str | Column,

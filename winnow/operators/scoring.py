@@ -11,6 +11,7 @@ from ..functions import as_col
 from ..functions.rewards import (
     ACCURACY_WEIGHT,
     FORMAT_WEIGHT,
+    answers_equivalent,
     is_built_in,
     rationally_equal,
     reward_builder,
@@ -53,8 +54,9 @@ def score(
     shared = [name for name in names if is_built_in(name)]
     staged = _answer_columns(df, text, gold, shared)
     correct = rationally_equal("_left", "_right")
-    if verifier is not None:
-        correct = F.coalesce(verifier(F.col("_candidate"), gold), F.lit(False)) | correct
+    if verifier is not None and "accuracy_reward" in shared:
+        staged = _verified(staged.withColumn("_same", correct), F.col("_candidate"), gold, verifier)
+        correct = F.col("_same")
     built_in = {
         "accuracy_reward": F.when(correct, ACCURACY_WEIGHT),
         "format_reward_boxed": F.when(
@@ -72,7 +74,36 @@ def score(
     total = F.lit(0.0)
     for name in names:
         total += F.coalesce(F.col(f"`rewards/{name}`"), F.lit(0.0))
-    return scored.withColumn("reward", total).drop("_boxed", "_candidate", "_left", "_right")
+    return scored.withColumn("reward", total).drop("_boxed", "_candidate", "_left", "_right", "_same")
+
+
+def with_equivalence(
+    df: DataFrame, predicted: str, gold: str, verifier: Callable[[Column, Column], Column], name: str = "equivalent"
+) -> DataFrame:
+    """UDF-2, STR-7. Add whether two answers are equal, natively or by a verifier that sees each open pair once."""
+    same = df.withColumn("_same", answers_equivalent(predicted, gold))
+    return _verified(same, F.col(f"`{predicted}`"), F.col(f"`{gold}`"), verifier).withColumnRenamed("_same", name)
+
+
+def _verified(
+    df: DataFrame, predicted: Column, gold: Column, verifier: Callable[[Column, Column], Column]
+) -> DataFrame:
+    """``_same`` with what the verifier accepts beside it.
+
+    Completions of a group repeat their answers, so the pairs that are not the same natively are
+    made distinct, verified once each and joined back; the others never reach Python or the
+    join. A stream can't be joined with itself: there the verifier runs on every open row.
+    """
+    open_ = ~F.col("_same") & predicted.isNotNull() & gold.isNotNull()
+    if df.isStreaming:
+        verdict = verifier(F.when(open_, predicted), F.when(open_, gold))
+        return df.withColumn("_same", F.col("_same") | F.coalesce(verdict, F.lit(False)))
+    pairs = df.where(open_).select(predicted.alias("_predicted"), gold.alias("_gold")).distinct()
+    verdicts = pairs.withColumn("_verdict", verifier(F.col("_predicted"), F.col("_gold")))
+    same = (predicted == F.col("_predicted")) & (gold == F.col("_gold"))
+    checked = df.where(open_).join(verdicts, same, "left").withColumn("_same", F.coalesce("_verdict", F.lit(False)))
+    settled = df.where(~F.coalesce(open_, F.lit(False)))
+    return settled.unionByName(checked.select(*[F.col(f"`{c}`") for c in df.columns]))
 
 
 def _answer_columns(df: DataFrame, text: Column, gold: Column, names: Sequence[str]) -> DataFrame:

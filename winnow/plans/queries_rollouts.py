@@ -31,10 +31,11 @@ from ..operators.scoring import (
     group_advantage,
     mask_truncated,
     score,
+    with_equivalence,
     with_run,
 )
 from ..operators.skew import group_window
-from ..sources.readers import read_problems, read_rollouts, write_rollouts
+from ..sources.readers import read_clustered, read_problems, read_rollouts, write_clustered, write_rollouts
 from ..sources.writers import scratch_dir
 from . import views as v
 from .registry import q6, query, rounded, sql_text
@@ -250,8 +251,7 @@ def str_7(spark, d):
     or abs(({v.sql_rational('lft')}) - ({v.sql_rational('rgt')})) < 0.000001, false) as equivalent from cleaned""")
 def udf_2(spark, d):
     same_length = python_verifier(lambda left, right: len(left) == len(right))
-    same = answers_equivalent("predicted", "gold", same_length).alias("equivalent")
-    return _pairs(spark, d).select("o_orderkey", same)
+    return with_equivalence(_pairs(spark, d), "predicted", "gold", same_length).select("o_orderkey", "equivalent")
 
 
 @query("str_8_accuracy_reward", f"{v.SCORED_SQL} select group_id, sample_idx, acc as accuracy from scored")
@@ -365,6 +365,14 @@ def _selector(order: str):
 
 query("win_2_select_topk", f"""{v.RANKED_SQL} select run_id, group_id, sample_idx,
     {q6('advantage', 'advantage')} from ranked where rnk <= {K}""")(_selector("abs"))
+@query("win_2_topk_by_run", f"""{v.RANKED_SQL} select run_id, group_id, sample_idx,
+    {q6('advantage', 'advantage')} from ranked where rnk <= 1 + run_id % 4""")
+def win_2_by_run(spark, d):
+    """The best completions of each group, as many as its run keeps."""
+    best = pr.group_topk(v.advantaged(spark, d), 1 + F.col("run_id") % 4, most=4)
+    return rounded(best.select("run_id", "group_id", "sample_idx", "advantage"), "advantage")
+
+
 query("win_7_signed", f"""{v.ADVANTAGE_SQL} select run_id, group_id, sample_idx, {q6('advantage', 'advantage')}
     from adv qualify row_number() over (partition by run_id, group_id
     order by cast(advantage as float) desc, sample_idx) <= {K}""")(_selector("signed"))
@@ -503,6 +511,15 @@ def agg_1(spark, d):
     return rounded(_summary(spark, d), *_MEANS)
 
 
+@query("src_2_clustered_summary", SUMMARY_ORACLE)
+def src_2_clustered(spark, d):
+    """The pruning summary over rollouts that lie in buckets of their groups: no shuffle by group."""
+    path = scratch_dir(spark, "clustered")
+    write_clustered(v.scored(spark, d), path, 8)
+    marked = pr.mark_kept(group_advantage(read_clustered(spark, path)), G, K)
+    return rounded(dg.summarize_pruning(marked), *_MEANS)
+
+
 _METRIC_SQL = ", ".join((
     q6("num_kept / greatest(num_total, 1)", "pruning/retention"),
     q6("retained_signal_fraction", "pruning/retained_signal_fraction"),

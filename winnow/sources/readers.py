@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +46,39 @@ def write_rollouts(df: DataFrame, path: str, mode: str = "append") -> None:
     df.hint("rebalance", "run_id").write.mode(mode).partitionBy("run_id").parquet(path)
 
 
+_CLUSTERING = "buckets int, keys array<string>, columns string"
+
+
+def write_clustered(
+    df: DataFrame, path: str, buckets: int, keys: Sequence[str] = ("run_id", "group_id"), mode: str = "errorifexists"
+) -> None:
+    """SRC-2. Rollouts in buckets of their groups, so that what works per group needs no shuffle.
+
+    Written once by one shuffle, read by :func:`read_clustered` as often as needed. The
+    folder says how it is clustered. A bucket is read by one task: choose ``buckets`` so that
+    one fits, and leave runs with a group of a third of all rows to :func:`write_rollouts`.
+    """
+    spark, name = df.sparkSession, f"winnow_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the data is the path's; only the entry goes
+    entry = spark.createDataFrame([(buckets, list(keys), df._jdf.schema().toDDL())], _CLUSTERING)
+    entry.coalesce(1).write.mode("overwrite").json(f"{path}/_clustering")
+
+
+def read_clustered(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-2. Clustered rollouts; aggregates, windows and joins on their keys keep the buckets.
+
+    The session's catalog gets an entry for the path, as only tables carry buckets.
+    """
+    how = spark.read.schema(_CLUSTERING).json(f"{path}/_clustering").first()
+    name = f"winnow_clustered_{hashlib.md5(path.encode()).hexdigest()}"
+    keys = ", ".join(f"`{key}`" for key in how.keys)
+    location = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({how.columns}) USING parquet CLUSTERED BY ({keys}) "
+              f"SORTED BY ({keys}) INTO {how.buckets} BUCKETS LOCATION '{location}'")
+    return spark.table(name)
+
+
 def _read_json(
     spark: SparkSession, path: str, schema: T.StructType, whole_files: bool
 ) -> DataFrame:
