@@ -88,3 +88,47 @@ def test_odd_documents_and_items(spark, odd, none):
     assert decontam.leaks(none, bench).count() == 0 and decontam.without_leaks(none, bench).count() == 0
     empty = bench.where("false")
     assert decontam.leaks(odd, empty).count() == 0 and decontam.without_leaks(odd, empty).count() == odd.count()
+
+
+def table_distance(item, text, most):
+    """Least edit distance to any run of the text, by the whole table."""
+    row = list(range(len(item) + 1))
+    best, end = (row[-1], 0) if row[-1] <= most else (most + 1, 0)
+    for at, word in enumerate(text):
+        new = [0]
+        for k, other in enumerate(item, 1):
+            new.append(min(row[k - 1] + (word != other), row[k] + 1, new[k - 1] + 1))
+        row = new
+        if row[-1] < best:
+            best, end = row[-1], at + 1
+    return best, end
+
+
+def test_bit_parallel_distance_equals_the_table():
+    rng = np.random.default_rng(8)
+    for size in (0, 1, 2, 3, 7, 40, 63, 64, 65, 130, 200):
+        for words in (2, 5, 60):
+            item = rng.integers(1, words + 1, size)
+            text = np.concatenate([rng.integers(0, words + 1, 9), np.delete(item, slice(3, 5)), rng.integers(0, words + 1, 5)])
+            for most in (0, size // 5, size):
+                assert decontam.edit_distance(item, text, most) == table_distance(item.tolist(), text.tolist(), most)
+
+
+def test_an_item_of_20000_words(spark):
+    rng = np.random.default_rng(3)
+    item = [f"w{k}" for k in rng.integers(0, 30_000, 20_000)]
+    edited = list(item)
+    for at in rng.choice(20_000, 1500, replace=False):
+        edited[at] = "edited"
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "short item of words here")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "before " * 50 + " ".join(edited)), (2, " ".join(item[:9000])), (3, None)], "doc_id long, text string")
+    (row,) = decontam.leaks(docs, bench).collect()
+    assert (row.doc_id, row.item_id, row.n_words) == (1, 1, 20_000) and 1000 < row.distance <= 1500
+
+
+def test_vocabulary_beyond_63_bits_of_signature():
+    texts = [" ".join(f"v{k * 1500 + j}" for j in range(1500)) for k in range(1500)]
+    index = decontam.Index.build(list(range(1500)), texts, repeats=1)
+    assert len(index.vocabulary) > 2_097_151
+    codes = index.items[7]
+    assert (7, 0) in {tuple(row) for row in index.candidates(np.concatenate([codes, codes[:9]])).tolist()}

@@ -55,16 +55,24 @@ def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, i
 
     The end is the first of the best; distances over ``most`` are given as ``most + 1``.
     """
-    row = list(range(len(item) + 1))  # column of the text's empty prefix
-    words = item.tolist()
-    best, end = (row[-1], 0) if row[-1] <= most else (most + 1, 0)
-    for at, word in enumerate(text.tolist()):
-        diagonal, row[0] = row[0], 0
-        for k, other in enumerate(words, 1):
-            new = min(diagonal + (word != other), row[k] + 1, row[k - 1] + 1)
-            diagonal, row[k] = row[k], new
-        if row[-1] < best:
-            best, end = row[-1], at + 1
+    size, high = len(item), 1 << max(len(item) - 1, 0)
+    every = (1 << size) - 1
+    places: dict[int, int] = {}
+    for k, word in enumerate(item.tolist()):
+        places[word] = places.get(word, 0) | 1 << k
+    # Bit-parallel columns: where the table rises or falls by one from row to row, as bits of two integers.
+    rises, falls, score = every, 0, size
+    best, end = (score, 0) if score <= most else (most + 1, 0)
+    for at, word in enumerate(text.tolist() if size else []):
+        same = places.get(word, 0)
+        up = same | falls
+        across = (((same & rises) + rises) ^ rises) | same
+        more, less = falls | (every & ~(across | rises)), rises & across
+        score += bool(more & high) - bool(less & high)
+        more, less = more << 1, less << 1
+        rises, falls = (less | ~(up | more)) & every, more & up & every
+        if score < best:
+            best, end = score, at + 1
     return best, end
 
 
@@ -80,8 +88,13 @@ def _anchors(size: int) -> list[int]:
     return sorted({*range(0, size - least + 1, apart), size // 2})
 
 
-def _scrambled(signatures: np.ndarray) -> np.ndarray:
-    return mixed(signatures.astype(np.uint64)) >> np.uint64(48)
+_NEXT = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _folded(signatures: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Signatures with one more sampled word, as 64-bit hashes."""
+    with np.errstate(over="ignore"):
+        return mixed(signatures * _NEXT + codes.astype(np.uint64))
 
 
 @dataclass
@@ -113,23 +126,23 @@ class Index:
         for repeat in range(repeats):
             for steps, entries in sorted(starts.items()):
                 picked = tuple(sorted(rng.choice(steps, min(sampled, steps), replace=False).tolist()))
-                rows = []
-                for number, offset in entries:
-                    signature, at, item, walk = 0, offset, items[number], []
+                rows = np.array(entries, np.int64).T
+                walks = np.empty((steps, len(entries)), np.int64)
+                for column, (number, offset) in enumerate(entries):
+                    at, item = offset, items[number]
                     for step in range(steps):
-                        walk.append(int(item[at]))
-                        if step in picked:
-                            signature = signature * (len(vocabulary) + 1) + walk[-1]
+                        walks[step, column] = item[at]
                         at += int(bits[repeat, item[at]] >> np.uint64(step)) & 1
-                    rows.append((signature, number, offset, *walk))
-                rows.sort()
-                columns = np.array(rows, np.int64).T
-                passes.append((repeat, picked, *columns[:3], columns[3:].copy()))
+                signatures = np.zeros(len(entries), np.uint64)
+                for step in picked:
+                    signatures = _folded(signatures, walks[step])
+                order = np.lexsort((rows[1], rows[0], signatures))
+                passes.append((repeat, picked, signatures[order], *rows[:, order], walks[:, order]))
         return cls(ids, vocabulary, items, bits, passes)
 
     def candidates(self, codes: np.ndarray) -> np.ndarray:
         """Distinct (item number, start of the item in the words), from all repeats."""
-        found, base = [np.zeros((0, 2), np.int64)], np.int64(len(self.vocabulary) + 1)
+        found, base = [np.zeros((0, 2), np.int64)], len(self.vocabulary) + 1
         size = len(codes)
         # Past the end stand words that no item has, so that no walk leaves the array.
         codes = np.concatenate([codes, np.zeros(MOST_STEPS, codes.dtype)])
@@ -145,18 +158,18 @@ class Index:
             while len(reached) <= picked[0]:
                 reached.append(moved(reached[-1], len(reached) - 1))
             first = np.zeros(base, bool)
-            first[signatures // base ** (len(picked) - 1)] = True
+            first[walks[picked[0]]] = True
             start = np.flatnonzero(first[codes[reached[picked[0]]]]).astype(np.int32)
             at = reached[picked[0]][start]
-            signature = codes[at].astype(np.int64)
+            signature = _folded(np.zeros(len(at), np.uint64), codes[at])
             for before, goal in zip(picked, picked[1:]):
                 for step in range(before, goal):
                     at = moved(at, step)
-                signature = signature * base + codes[at]
-            # A bitmap of scrambled signatures spares most of the searches.
+                signature = _folded(signature, codes[at])
+            # A bitmap of signatures spares most of the searches.
             maybe = np.zeros(1 << 16, bool)
-            maybe[_scrambled(signatures)] = True
-            keep = maybe[_scrambled(signature)]
+            maybe[signatures >> np.uint64(48)] = True
+            keep = maybe[signature >> np.uint64(48)]
             start, signature = start[keep], signature[keep]
             low = np.searchsorted(signatures, signature, "left")
             n = np.searchsorted(signatures, signature, "right") - low
@@ -181,8 +194,10 @@ class Index:
         long = np.array([len(i) for i in self.items], np.int64)
         pairs = np.concatenate([n * base + w for n, w in enumerate(words)])
         out = np.zeros(len(numbers), np.int64)
-        for k in range(0, len(numbers), 4096):
-            part = slice(k, k + 4096)
+        # As many windows at once as have about a million words together.
+        at_once = max(1, (1 << 20) // int((long[numbers] + 2 * spare).max(initial=1)))
+        for k in range(0, len(numbers), at_once):
+            part = slice(k, k + at_once)
             low = np.maximum(starts[part] - spare[part], 0)
             n = np.maximum(np.minimum(starts[part] + long[numbers[part]] + spare[part], len(codes)) - low, 0)
             row = np.repeat(np.arange(len(n)), n)
