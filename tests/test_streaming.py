@@ -231,6 +231,17 @@ def test_what_the_stream_loses_stays_lost(spark, tmp_path):
     assert starts == [START + dt.timedelta(hours=5)]
 
 
+def test_a_session_that_is_open_at_the_end_comes_whole(spark, tmp_path):
+    """The watermark ends inside of a session whose first events lie before it."""
+    rows = [row(1, i, i, 25 * i) for i in range(8)]
+    source = stream(spark, tmp_path, [rows])
+    data = spark.read.schema(SCHEMA).parquet(str(tmp_path / "source"))
+    timed = lambda events: st.timings_stream(events.withColumns(
+        {"seconds": F.col("reward"), "kind": F.lit("rollout")}), "30 minutes", "10 minutes")
+    (only,) = st.closed(drained(timed(source), tmp_path), timed(data), "session_end").collect()
+    assert (only.events, only.session_start) == (8, START)
+
+
 def test_late_rows_are_counted(spark, tmp_path):
     batches = [[row(1, 0, 2, 0)], [row(1, 2, 1, 500)], [row(1, 6, 1, 501)], [row(1, 3, 9, 10)], [row(1, 5, 1, 2000)]]
     ran = drained(st.metrics_stream(stream(spark, tmp_path, batches), "1 hour", None, "30 minutes"), tmp_path)
