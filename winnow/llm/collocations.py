@@ -5,8 +5,8 @@ edge of four words joins two overlapping nodes of three; a shorter one is a piec
 correction. How often a shorter phrase occurs is the flow through its node: the sum of the
 edges that begin with it, corrections included. So one table of edges holds all counts.
 
-Only phrases of ``LEAST`` occurrences matter, so a piece may also end between two words whose
-pair is rarer; pairs are counted by hashes first, which never count too few. Each block of text
+Only phrases of ``LEAST`` occurrences matter, so an edge also ends where the phrase it would
+become is rarer; phrases are counted by hashes first, which never count too few. Each block of text
 adds its edges up and compacts unary paths (edges of one count whose inner nodes have one edge
 in and one out) to runs of words, so a passage leaves a block once, not once per place.
 """
@@ -27,7 +27,8 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 #: A phrase inside a longer one with at least this share of its occurrences is part of that one.
 PART = 80
 SCALE = 2_000_000
-PAIR, PAIR_BITS = 1, 40
+#: Hashes of phrases, beside the bits that choose their part: about one in a hundred meets another by chance.
+HASH_BITS = 28
 BLOCK_BYTES = 16 << 20
 _BREAKS = np.isin(np.arange(256), list(b".,;:!?\n\v\f\r"))
 _APART = _BREAKS | np.isin(np.arange(256), list(b" \t"))
@@ -65,13 +66,18 @@ def _hashes(strings: pa.Array) -> np.ndarray:
     return mixed(Rolling(data).spans(starts, ends)) if len(starts) else np.zeros(0, np.uint64)
 
 
-def _pairs(words: pa.Array, at: np.ndarray, langs: pa.Array, lang: np.ndarray, more: np.ndarray, bits: int) -> np.ndarray:
-    """The hashed pair of each place whose piece goes on, with the next."""
-    first = np.flatnonzero(more)
-    own = _hashes(words)
+def _hashed(words: pa.Array, at: np.ndarray, langs: pa.Array, lang: np.ndarray, more: np.ndarray, bits: int):
+    """For each size from two words on, the places whose piece goes on so far, and the hashes of these phrases."""
+    own, size = _hashes(words)[at], len(at)
+    total = _hashes(langs)[lang]
+    reach = np.ones(size, bool)
     with np.errstate(over="ignore"):
-        keys = mixed(own[at[first]] * _LEFT + own[at[first + 1]] * _RIGHT + _hashes(langs)[lang[first]])
-    return exchange.narrowed(keys, bits, PAIR_BITS)
+        total = mixed(total + own * _LEFT)
+        for k in range(1, LONGEST):
+            reach = reach & np.append(more[k - 1:], np.zeros(k - 1, bool))
+            first = np.flatnonzero(reach)
+            total[first] = mixed(total[first] * _RIGHT + own[first + k] * _LEFT)
+            yield k + 1, first, exchange.narrowed(total[first], bits, HASH_BITS)
 
 
 def _coded(*columns: np.ndarray) -> np.ndarray:
@@ -120,17 +126,18 @@ def compacted(edges: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 def _paths(table: pa.Table, replies: pa.Table, bits: int) -> pa.Table:
     """A block's paths, and its shorter edges."""
     words, at, langs, lang, more = words_of(table)
-    distinct, place = np.unique(_pairs(words, at, langs, lang, more, bits), return_inverse=True)
-    totals, size = exchange.answers(replies, PAIR), len(at)
-    goes_on = np.zeros(size + LONGEST, bool)
-    if totals is not None:
-        goes_on[:size][more] = (totals[0] >= LEAST)[place]
-    # The next words of each place, -1 where its run has ended.
-    rows, reach = [lang, at], np.ones(size, bool)
-    following = np.append(at, np.zeros(LONGEST, np.int64))
-    for k in range(1, LONGEST):
-        reach = reach & goes_on[k - 1:size + k - 1]
-        rows.append(np.where(reach, following[k:size + k], -1))
+    # The next words of each place, -1 from where its edge ends.
+    rows, reach = [lang, at], np.ones(len(at), bool)
+    for size, first, keys in _hashed(words, at, langs, lang, more, bits):
+        _, place = np.unique(keys, return_inverse=True)
+        totals, often = exchange.answers(replies, size), np.zeros(len(at), bool)
+        if totals is not None:
+            often[first] = (totals[0] >= LEAST)[place]
+        reach = reach & often
+        own = np.flatnonzero(reach)
+        following = np.full(len(at), -1)
+        following[own] = at[own + size - 1]
+        rows.append(following)
     _, sample, counts = np.unique(_coded(*rows), return_index=True, return_counts=True)
     found = np.stack(rows, axis=1)[sample]
     whole = found[:, -1] >= 0
@@ -145,9 +152,9 @@ def _paths(table: pa.Table, replies: pa.Table, bits: int) -> pa.Table:
 
 
 def edges(docs: DataFrame) -> DataFrame:
-    """``lang``, ``w1`` to ``w4`` (null from where a piece or run ends) and ``n``: all places, added up.
+    """``lang``, ``w1`` to ``w4`` (null from where the edge ends) and ``n``: all places, added up.
 
-    Places whose next pair is rarer than ``LEAST`` in their language end a run.
+    An edge is the longest phrase from its place that its language has ``LEAST`` times, by hashes.
     """
     own = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = block_count(own, BLOCK_BYTES)
@@ -155,8 +162,11 @@ def edges(docs: DataFrame) -> DataFrame:
     placed = spread(own, blocks).select("block", "lang", "text")
 
     def wanted(table: pa.Table) -> list[dict]:
-        keys, counts = np.unique(_pairs(*words_of(table), bits), return_counts=True)
-        return exchange.requests(table.column("block")[0].as_py(), PAIR, keys, counts[None, :].astype(np.uint64), bits, PAIR_BITS)
+        block, found = table.column("block")[0].as_py(), []
+        for size, _, keys in _hashed(*words_of(table), bits):
+            keys, counts = np.unique(keys, return_counts=True)
+            found += exchange.requests(block, size, keys, counts[None, :].astype(np.uint64), bits, HASH_BITS)
+        return found
 
     def paths(table: pa.Table, replies: pa.Table) -> pa.Table:
         return _paths(table, replies, bits) if table.num_rows else _PATHS.empty_table()
