@@ -149,7 +149,10 @@ class Index:
         walked, walk, reached = -1, codes, []
 
         def moved(at: np.ndarray, step: int) -> np.ndarray:
-            return at + ((walk[at] >> np.uint64(step)) & np.uint64(1)).astype(np.int32)
+            ahead = walk[at]
+            ahead >>= np.uint64(step)
+            ahead &= np.uint64(1)
+            return at + ahead.astype(np.int32)
 
         for repeat, picked, signatures, numbers, offsets, walks in self.passes:
             if walked != repeat:
@@ -184,15 +187,18 @@ class Index:
                     at = moved(at, step)
                 near = agree >= AGREE * len(walks)
                 found.append(np.stack([numbers[entry[near]], start[near] - offsets[entry[near]]], axis=1))
-        return np.unique(np.concatenate(found), axis=0)
+        # As one number each: what lies before the text's first word, too, has a place of its own.
+        before = max(map(len, self.items), default=0)
+        row = np.concatenate(found)
+        place = np.unique(row[:, 0] * np.int64(size + before + 1) + row[:, 1] + before)
+        return np.stack([place // (size + before + 1), place % (size + before + 1) - before], axis=1)
 
     def missing(self, codes: np.ndarray, numbers: np.ndarray, starts: np.ndarray, spare: np.ndarray) -> np.ndarray:
-        """How many distinct words of each item its window, widened by ``spare``, doesn't have."""
+        """At least how many words of each item its window, widened by ``spare``, doesn't have."""
         base = np.int64(len(self.vocabulary) + 1)
-        words = [np.unique(i) for i in self.items]
-        sizes = np.array([len(w) for w in words], np.int64)
         long = np.array([len(i) for i in self.items], np.int64)
-        pairs = np.concatenate([n * base + w for n, w in enumerate(words)])
+        pairs = np.unique(np.repeat(np.arange(len(long)), long) * base + np.concatenate(self.items))
+        sizes = np.bincount(pairs // base, minlength=len(long))
         out = np.zeros(len(numbers), np.int64)
         # As many windows at once as have about a million words together.
         at_once = max(1, (1 << 20) // int((long[numbers] + 2 * spare).max(initial=1)))
@@ -204,8 +210,12 @@ class Index:
             at = np.repeat(low, n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             key = numbers[part][row] * base + codes[at]
             hit = pairs[np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)] == key
+            # As many words of the item as the window lacks at least, repeats not told apart; then by distinct words.
+            lacks = long[numbers[part]] - np.bincount(row[hit], minlength=len(n))
+            hit &= (lacks <= spare[part])[row]
             there = np.unique(row[hit] * (base * len(self.items)) + key[hit])
-            out[part] = sizes[numbers[part]] - np.bincount(there // (base * len(self.items)), minlength=len(n))
+            apart = sizes[numbers[part]] - np.bincount(there // (base * len(self.items)), minlength=len(n))
+            out[part] = np.maximum(lacks, apart)
         return out
 
     def matches(self, codes: np.ndarray, edges: np.ndarray, share: float) -> list[tuple[int, int, int, int, int]]:
