@@ -29,7 +29,7 @@ PART = 80
 SCALE = 2_000_000
 #: Hashes of phrases, beside the bits that choose their part: about one in a hundred meets another by chance.
 HASH_BITS = 28
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 _BREAKS = np.isin(np.arange(256), list(b".,;:!?\n\v\f\r"))
 _APART = _BREAKS | np.isin(np.arange(256), list(b" \t"))
 _LEFT, _RIGHT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
