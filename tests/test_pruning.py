@@ -236,3 +236,13 @@ def test_scores_follow_the_verifier_and_the_registry(spark):
         assert [r["rewards/accuracy_reward"] for r in score(rows).collect()] == [7.0, 7.0]
     finally:
         rewards.register_reward("accuracy_reward", built_in)
+
+
+def test_a_run_without_an_id_is_told_from_all_runs(spark):
+    from winnow.operators.diagnostics import outcome_mix
+
+    rows = spark.createDataFrame(
+        [(None, 1.0, 2.0, 0.5, True), (None, 0.0, 0.0, -0.5, False), (7, 1.0, 0.0, 0.1, True)],
+        "run_id long, `rewards/format_reward_boxed` double, `rewards/accuracy_reward` double, advantage double, kept boolean")
+    mix = {(r.run_id, r.outcome, r.level): r.completions for r in outcome_mix(rows).collect()}
+    assert (mix[None, None, 1], mix[None, None, 3], mix[7, None, 1]) == (2, 3, 1) and len(mix) == 6

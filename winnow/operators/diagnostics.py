@@ -188,12 +188,17 @@ def outcome_mix(
     format_reward: str = "rewards/format_reward_boxed",
     accuracy: str = "rewards/accuracy_reward",
 ) -> DataFrame:
-    """AGG-16. Rows, mean advantage size and kept share per outcome, with run totals."""
+    """AGG-16. Rows, mean advantage size and kept share per outcome, with run totals.
+
+    ``level`` is 0 for an outcome of a run, 1 for a run's total and 3 for the total of all, so that a
+    run without an id is told from all runs.
+    """
     outcome = outcome_class(F.col(f"`{format_reward}`"), F.col(f"`{accuracy}`"))
     return (
         df.withColumn("outcome", outcome)
         .rollup("run_id", "outcome")
         .agg(
+            F.grouping_id().cast("int").alias("level"),
             F.count(F.lit(1)).alias("completions"),
             F.avg(F.abs("advantage")).alias("mean_abs_advantage"),
             F.avg(F.col("kept").cast("double")).alias("kept_share"),

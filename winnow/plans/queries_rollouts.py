@@ -612,8 +612,8 @@ def agg_14(spark, d):
 @query("agg_16_outcome_mix", f"""{v.RANKED_SQL}, classed as (select *, case when fmt > 0 and acc > 0 then
     'format+answer: clean positive' when fmt <= 0 and acc <= 0 then 'neither: clean negative'
     when fmt > 0 then 'format only: ambiguous' else 'answer only: ambiguous' end as outcome from ranked)
-    select run_id, outcome, count(*) as completions, {q6('avg(abs(advantage))', 'mean_abs_advantage')},
-    {q6(f'avg(case when rnk <= {K} then 1 else 0 end)', 'kept_share')}
+    select run_id, outcome, cast(grouping_id(run_id, outcome) as int) as level, count(*) as completions,
+    {q6('avg(abs(advantage))', 'mean_abs_advantage')}, {q6(f'avg(case when rnk <= {K} then 1 else 0 end)', 'kept_share')}
     from classed group by rollup (run_id, outcome)""")
 def agg_16(spark, d):
     mix = dg.outcome_mix(pr.mark_kept(v.advantaged(spark, d), G, K))
