@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -67,6 +68,16 @@ def test_long_text_does_not_overflow(spark):
     assert column(spark, values, text.extract_boxed) == ["{x}" * 20000, "1"]
 
 
+def test_many_open_boxes_take_linear_time(spark):
+    """A repetition loop: two million braces that the earlier stack would take hours for."""
+    values = [r"\boxed{\boxed{" + "{" * 1_000_000 + "}" * 3 + "{x}" * 300_000,
+              r"\boxed{1} \boxed{" + r"\boxed{{" * 200_000 + "}" * 5,
+              r"\boxed{" * 300_000]
+    before = time.monotonic()
+    assert column(spark, values, text.extract_boxed) == [brute_boxed(v) for v in values]
+    assert time.monotonic() - before < 30
+
+
 def test_numbers_and_candidates(spark):
     values = ["a 1 b -2.5 c", "1,234 then 5,6", "none", r"3 \boxed{}", r"3 \boxed{x"]
     assert column(spark, values, text.last_number) == ["-2.5", "5,6", None, "3", "3"]

@@ -98,44 +98,58 @@ def completion_text(messages) -> Column:
 
 
 def _last_balanced_box(text: Column) -> Column:
-    """Content of the last ``\\boxed{`` whose brace closes, for any nesting.
+    """Content of the last ``\\boxed{`` whose brace closes, for any nesting, in linear time.
 
-    The fold keeps a stack of open braces; a box pushes the position of its content
-    and a plain brace pushes 0, so the largest popped position is the last closed box.
+    From the right a brace closes if more ``}`` than ``{`` have been met, so a counter finds
+    the opener, as so many boxes from the end. From there a second counter finds the ``}`` that
+    takes the depth below 0. Runs of one kind are one step.
     """
-    body = F.substr(text, F.locate(BOX, text))
-    tokens = F.regexp_extract_all(body, F.lit(r"(\\boxed\{|[^{}\\]+|[{}]|\\)"), F.lit(1))
-    start = F.struct(
-        F.lit(1).alias("pos"),
-        F.array().cast("array<int>").alias("stack"),
-        F.lit(0).alias("start"),
-        F.lit(0).alias("stop"),
-    )
+    runs = F.regexp_extract_all(text, F.lit(r"(?:\\boxed\{)++|\{++|\}++"), F.lit(0))
+
+    def back(state: Column, run: Column) -> Column:
+        size = F.char_length(run)
+        boxes = F.startswith(run, F.lit("\\"))
+        opened = F.when(boxes, (size / len(BOX)).cast("int")).otherwise(size)
+        closing = F.startswith(run, F.lit("}"))
+        return F.when(state["found"], state).otherwise(
+            F.struct(
+                F.when(closing, state["closers"] + size)
+                .otherwise(F.greatest(state["closers"] - opened, F.lit(0))).alias("closers"),
+                F.when(~boxes, state["boxes"])
+                .when(state["closers"] > 0, state["boxes"] + 1)
+                .otherwise(state["boxes"] + opened).alias("boxes"),
+                (boxes & (state["closers"] > 0)).alias("found"),
+            )
+        )
 
-    def step(state: Column, token: Column) -> Column:
-        after = state["pos"] + F.char_length(token)
-        top = F.get(state["stack"], F.lit(0))
-        closes_box = (token == "}") & F.coalesce(top > state["start"], F.lit(False))
-        stack = (
-            F.when(token == BOX, F.array_prepend(state["stack"], after))
-            .when(token == "{", F.array_prepend(state["stack"], F.lit(0)))
-            .when(
-                token == "}",
-                F.slice(state["stack"], F.lit(2), F.greatest(F.size(state["stack"]), F.lit(1))),
+    def forth(state: Column, run: Column) -> Column:
+        size = F.char_length(run)
+        deeper = F.when(F.startswith(run, F.lit("}")), -size).otherwise(size)
+        last = state["depth"] + deeper < 0
+        return F.when(state["found"], state).otherwise(
+            F.struct(
+                (state["depth"] + deeper).alias("depth"),
+                (state["closers"] + F.when(last, state["depth"] + 1)
+                 .when(deeper < 0, size).otherwise(0)).alias("closers"),
+                last.alias("found"),
             )
-            .otherwise(state["stack"])
         )
-        return F.struct(
-            after.alias("pos"),
-            stack.alias("stack"),
-            F.when(closes_box, top).otherwise(state["start"]).alias("start"),
-            F.when(closes_box, state["pos"]).otherwise(state["stop"]).alias("stop"),
+
+    def start(*counters: str) -> Column:
+        return F.struct(*[F.lit(0).alias(c) for c in counters], F.lit(False).alias("found"))
+
+    def content(tail: Column) -> Column:
+        braces = F.regexp_extract_all(tail, F.lit(r"\{++|\}++"), F.lit(0))
+        return let(
+            F.aggregate(braces, start("depth", "closers"), forth),
+            lambda end: F.call_function("substring_index", tail, F.lit("}"), end["closers"]),
         )
 
     return let(
-        F.aggregate(tokens, start, step),
-        lambda found: F.when(
-            found["start"] > 0, F.substr(body, found["start"], found["stop"] - found["start"])
+        F.aggregate(F.reverse(runs), start("closers", "boxes"), back),
+        lambda opener: F.when(
+            opener["found"],
+            let(F.call_function("substring_index", text, F.lit(BOX), -opener["boxes"]), content),
         ),
     )
 
