@@ -29,28 +29,39 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", lowered) + [0]
 
 
-def brute(rows, rounds=12):
+def ngrams(words, order):
+    """For each token, its n-grams from one token up, shortest first; none longer than the text so far."""
+    marked = [None, *words]
+    return [[tuple(marked[max(0, i - k + 1):i + 1]) for k in range(1, order + 1)] for i in range(1, len(marked))]
+
+
+def brute(rows, rounds=12, order=3):
     held = [(zlib.crc32(str("" if d is None else d).encode()) % 10, tokens(t)) for d, t in rows]
-    counts = {part: (collections.Counter(), collections.Counter()) for part in ("fit", "deleted")}
+    counts = {part: collections.Counter() for part in ("fit", "deleted")}
     for r, words in held:
         if r:
-            single, double = counts["deleted" if r == 1 else "fit"]
-            single.update([None, *words])
-            double.update(zip([None, *words], words))
-    fit = counts["fit"]
-    every = tuple(a + b for a, b in zip(*counts.values()))
-    size = {k: sum(c[0].values()) - c[0][None] for k, c in (("fit", fit), ("all", every))}
-    distinct = len([w for w in every[0] if w is not None])
+            counter = counts["deleted" if r == 1 else "fit"]
+            counter.update([(None,)])
+            for found in ngrams(words, order):
+                counter.update(set(found))
+    fit, every = counts["fit"], counts["fit"] + counts["deleted"]
+    size = {k: sum(n for g, n in c.items() if len(g) == 1 and g != (None,)) for k, c in (("fit", fit), ("all", every))}
+    distinct = len([g for g in every if len(g) == 1 and g != (None,)])
     uniform = 1 / (distinct + 1)
 
-    def estimates(c, n, before, word):
-        context = c[0][before]
-        return lm.bucket_of(np.array([context]))[0], (c[1][before, word] / max(context, 1), c[0][word] / max(n, 1), uniform)
-
-    weights = np.full((lm.MOST_BUCKETS, 3), 1 / 3)
-    seen = [estimates(fit, size["fit"], a, b) for r, words in held if r == 1 for a, b in zip([None, *words], words)]
+    def estimates(c, n, found):
+        p, bucket = [uniform, c[found[0]] / max(n, 1)], None
+        for k, gram in enumerate(found[1:]):
+            context = c[gram[:-1]]
+            p.append(c[gram] / max(context, 1))
+            if k == 0 or context:
+                bucket = k * lm.MOST_BUCKETS + lm.bucket_of(np.array([context]))[0]
+        return bucket, np.array(p)
+
+    weights = np.full(((order - 1) * lm.MOST_BUCKETS, order + 1), 1 / (order + 1))
+    seen = [estimates(fit, size["fit"], g) for r, words in held if r == 1 for g in ngrams(words, order)]
     for _ in range(rounds):
-        sums = collections.defaultdict(lambda: np.zeros(3))
+        sums = collections.defaultdict(lambda: np.zeros(order + 1))
         for b, p in seen:
             share = weights[b] * p
             sums[b] += share / share.sum()
@@ -64,11 +75,11 @@ def brute(rows, rounds=12):
     out = []
     for (doc_id, _), (r, words) in zip(rows, held):
         model = 0.0
-        for a, b in zip([None, *words], words):
-            bucket, p = estimates(every, size["all"], a, b)
-            model += math.log10(weights[bucket] @ np.array(p))
-        base = sum(math.log10((every[0][w] + 0.1) / (size["all"] + 0.1 * (distinct + 1))) for w in words)
-        out.append((doc_id, r == 0, len(words), sum(every[0][w] > 0 for w in words), size["all"],
+        for found in ngrams(words, order):
+            bucket, p = estimates(every, size["all"], found)
+            model += math.log10(weights[bucket] @ p)
+        base = sum(math.log10((every[w,] + 0.1) / (size["all"] + 0.1 * (distinct + 1))) for w in words)
+        out.append((doc_id, r == 0, len(words), sum(every[w,] > 0 for w in words), size["all"],
                     pytest.approx(base, rel=1e-9), pytest.approx(model, rel=1e-6)))
     return sorted(out, key=lambda x: str(x[:5]))
 
@@ -78,8 +89,9 @@ def rows_of(df):
                    for r in df.collect()), key=lambda x: str(x[:5]))
 
 
-def test_equals_brute_force(documents):
-    assert rows_of(lm.score(documents)) == brute(texts(documents))
+@pytest.mark.parametrize("order", [2, 3])
+def test_equals_brute_force(documents, order):
+    assert rows_of(lm.score(documents, order=order)) == brute(texts(documents), order=order)
 
 
 def test_many_blocks_give_the_same(documents, monkeypatch):
@@ -96,6 +108,12 @@ def test_odd_documents(odd, none):
     assert lm.score(none).count() == 0
 
 
+def test_triples_beat_pairs_on_held_out_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    two, three = (lm.score(docs, order=k).where("held_out").agg({"score": "sum"}).first()[0] for k in (2, 3))
+    assert three > two
+
+
 def test_the_model_beats_the_base_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = lm.score(docs).where("held_out").selectExpr("sum(score)", "sum(base_score)").first()

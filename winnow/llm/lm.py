@@ -1,13 +1,15 @@
 """LM scoring by deleted interpolation.
 
-The probability of a token is a mixture of its maximum-likelihood estimates given the token
-before it, given nothing, and of the uniform one. The weights depend on how often the context
-was seen, in buckets of powers of two, and are learned by expectation-maximisation on a part
-of the training documents that the estimates leave out (the deleted part). Then the counts of
-both parts are added up and every document is scored.
-
-N-grams are 64-bit hashes; pairs travel as 40 bits beside those that choose their part, whose
-size doesn't grow with the corpus, so a pair meets another by chance about once in a million.
+The probability of a token is a mixture of its maximum-likelihood estimates given the two
+tokens before it, given one, given nothing, and of the uniform one. The weights depend on the
+longest context that was seen and how often it was, in buckets of powers of two, and are
+learned by expectation-maximisation on a part of the training documents that the estimates
+leave out (the deleted part). Then the counts of both parts are added up and every document
+is scored.
+
+N-grams are 64-bit hashes; those of two and three tokens travel as 40 bits beside the bits
+that choose their part, whose size doesn't grow with the corpus, so one meets another by
+chance about once in a million.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from winnow.llm.common import LOWER, Rolling, chunks, mixed, remainder, stored,
 #: Keys of the end token, and of what stands before a text's first token.
 _END, _BEGIN = np.uint64(0x5EED0000000000E1), np.uint64(0x5EED0000000000B1)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
-SINGLE, DOUBLE = 1, 2
-WIDTHS = {SINGLE: 64, DOUBLE: 40}
+WIDTHS = {1: 64, 2: 40, 3: 40}
+ORDER = 3
 BLOCK_BYTES = 16 << 20
 #: crc32(doc_id) mod 10: scored only, and left out of the estimates that set the weights.
 HELD_OUT, DELETED = 0, 1
@@ -54,38 +56,57 @@ def tokens(column) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Grams:
-    """A block's n-grams: places of each token, its context and its pair among distinct keys."""
+    """A block's n-grams: by length, the distinct keys, their counts and each token's place there."""
 
     edges: np.ndarray
     keys: dict[int, np.ndarray]
     counts: dict[int, np.ndarray]
-    single: np.ndarray
-    context: np.ndarray
-    double: np.ndarray
+    places: dict[int, np.ndarray]
+    begins: np.ndarray
 
 
-def grams(table: pa.Table, bits: int) -> Grams:
+def grams(table: pa.Table, bits: int, order: int) -> Grams:
+    """N-grams of up to ``order`` tokens that end at each token; at a text's first, those of two at most."""
     found, edges = tokens(table.column("text"))
     group = np.asarray(table.column("remainder").combine_chunks())
-    before = np.empty_like(found)
-    before[1:] = found[:-1]
-    before[edges[:-1]] = _BEGIN
-    with np.errstate(over="ignore"):
-        pairs = mixed(before * _PAIR + found)
     by_token = np.repeat(group, np.diff(edges))
-    singles = exchange.narrowed(np.append(found, np.full(len(group), _BEGIN)), bits, WIDTHS[SINGLE])
-    keys, counts, places = {}, {}, {}
-    for kind, rows, groups in ((SINGLE, singles, np.append(by_token, group)),
-                               (DOUBLE, exchange.narrowed(pairs, bits, WIDTHS[DOUBLE]), by_token)):
-        keys[kind], places[kind] = np.unique(rows, return_inverse=True)
+    keys, counts, places, gram = {}, {}, {}, found
+    for kind in range(1, order + 1):
+        rows, groups = gram, by_token
+        if kind == 1:
+            rows, groups = np.append(found, np.full(len(group), _BEGIN)), np.append(by_token, group)
+        else:
+            before = np.empty_like(gram)
+            before[1:] = gram[:-1]
+            before[edges[:-1]] = _BEGIN
+            with np.errstate(over="ignore"):
+                rows = gram = mixed(before * _PAIR + found)
+        keys[kind], places[kind] = np.unique(exchange.narrowed(rows, bits, WIDTHS[kind]), return_inverse=True)
         fit = (groups != HELD_OUT) & (groups != DELETED)
         counts[kind] = np.stack([np.bincount(places[kind][m], minlength=len(keys[kind]))
                                  for m in (fit, groups == DELETED)]).astype(np.uint64)
-    single = places[SINGLE][:len(found)]
-    context = np.empty_like(single)
-    context[1:] = single[:-1]
-    context[edges[:-1]] = places[SINGLE][len(found):]
-    return Grams(edges, keys, counts, single, context, places[DOUBLE])
+    begins = places[1][len(found):]
+    places[1] = places[1][:len(found)]
+    return Grams(edges, keys, counts, places, begins)
+
+
+def estimates(found: Grams, counts: dict[int, np.ndarray], size: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each token's bucket and its estimates, given nothing first, then given ever more tokens.
+
+    ``counts`` are those of the block's distinct keys, ``size`` is the number of all tokens.
+    """
+    bucket = np.zeros(len(found.places[1]), np.int64)
+    own = counts[1][found.places[1]].astype(np.float64)
+    chances = [own / max(size, 1)]
+    for kind in range(2, len(counts) + 1):
+        context = np.empty_like(own)
+        context[1:] = own[:-1]
+        context[found.edges[:-1]] = counts[1][found.begins]
+        own = counts[kind][found.places[kind]].astype(np.float64)
+        chances.append(np.minimum(own / np.maximum(context, 1), 1.0))
+        longer = (kind - 2) * MOST_BUCKETS + bucket_of(context)
+        bucket = longer if kind == 2 else np.where(context > 0, longer, bucket)
+    return bucket, chances
 
 
 def bucket_of(context_count: np.ndarray) -> np.ndarray:
@@ -93,22 +114,22 @@ def bucket_of(context_count: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(context_count.astype(np.float64))[1], MOST_BUCKETS - 1)
 
 
-def learn_weights(seen: DataFrame, rounds: int = 12) -> np.ndarray:
-    """Mixture weights per bucket by expectation-maximisation; pair, single and uniform.
+def learn_weights(seen: DataFrame, order: int, rounds: int = 12) -> np.ndarray:
+    """Mixture weights per bucket by expectation-maximisation; uniform, single and longer.
 
-    ``seen`` has ``bucket``, the three estimates ``p2 p1 p0`` and how often each such token
+    ``seen`` has ``bucket``, the estimates ``p0`` to ``p<order>`` and how often each such token
     was seen, ``n``. Buckets without a token keep the even start.
     """
-    weights = np.full((MOST_BUCKETS, 3), 1 / 3)
-    names = ("p2", "p1", "p0")
+    names = [f"p{k}" for k in range(order + 1)]
+    weights = np.full(((order - 1) * MOST_BUCKETS, order + 1), 1 / (order + 1))
     for _ in range(rounds):
         share = [F.get(F.array(*map(F.lit, weights[:, k].tolist())), F.col("bucket")) * F.col(name)
                  for k, name in enumerate(names)]
-        total = share[0] + share[1] + share[2]
-        rows = seen.groupBy("bucket").agg(
-            *[F.sum(F.col("n") * s / total).alias(name) for s, name in zip(share, names)]).collect()
+        shared = seen.select("bucket", "n", *[s.alias(name) for s, name in zip(share, names)])
+        total = sum((F.col(name) for name in names[1:]), F.col("p0"))
+        rows = shared.groupBy("bucket").agg(*[F.sum(F.col("n") * F.col(name) / total).alias(name) for name in names])
         new = weights.copy()
-        for row in rows:  # at most MOST_BUCKETS
+        for row in rows.collect():  # at most MOST_BUCKETS for each length
             sums = np.array([row[name] for name in names])
             new[row.bucket] = sums / sums.sum()
         done = np.abs(new - weights).max() < 1e-3
@@ -130,21 +151,23 @@ def _blocks(docs: DataFrame, total: int) -> DataFrame:
     return rows.withColumn("block", block)
 
 
-def score(docs: DataFrame, *, rounds: int = 12) -> DataFrame:
+def score(docs: DataFrame, *, rounds: int = 12, order: int = ORDER) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens`` and both log10 scores.
 
     Documents with crc32(doc_id) mod 10 = 0 are held out of training. A null text is empty:
     its one token is the end. A null id counts as empty text for the remainder. Repeated rows
     count and are scored each; other columns are left out; no rows give none. Without any
     training token both scores are those of the uniform distribution over the end token.
+    ``order`` is 2 or 3, the most tokens of an n-gram.
     """
+    kinds = range(1, order + 1)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = exchange.part_bits(total)
     placed = _blocks(docs, total)
 
     def wanted(table: pa.Table) -> list[dict]:
-        block, found = table.column("block")[0].as_py(), grams(table, bits)
-        return [row for kind in (SINGLE, DOUBLE) for row in exchange.requests(
+        block, found = table.column("block")[0].as_py(), grams(table, bits, order)
+        return [row for kind in kinds for row in exchange.requests(
             block, kind, found.keys[kind], found.counts[kind], bits, WIDTHS[kind])]
 
     replies = stored(exchange.totals(exchange.ask(placed, wanted)), "ngrams")
@@ -160,44 +183,38 @@ def score(docs: DataFrame, *, rounds: int = 12) -> DataFrame:
     distinct = (sums.s0 or 0) - (1 if fit_docs + deleted_docs else 0)
     uniform = 1 / (distinct + 1)
 
-    def estimate(found: Grams, single: np.ndarray, double: np.ndarray, size: int):
-        context = single[found.context].astype(np.float64)
-        p2 = double[found.double] / np.maximum(context, 1)
-        p1 = single[found.single] / max(size, 1)
-        return bucket_of(context), np.minimum(p2, 1.0), p1
-
-    seen_schema = pa.schema([("bucket", pa.int32()), ("p2", pa.float64()), ("p1", pa.float64()), ("n", pa.int64())])
+    names = [f"p{k}" for k in kinds]
+    seen_schema = pa.schema([("bucket", pa.int32()), *[(name, pa.float64()) for name in names], ("n", pa.int64())])
 
     def seen(text: pa.Table, reply: pa.Table) -> pa.Table:
         if not text.num_rows:
             return seen_schema.empty_table()
-        found = grams(text, bits)
-        single, double = (exchange.answers(reply, kind)[0] for kind in (SINGLE, DOUBLE))
-        bucket, p2, p1 = estimate(found, single, double, fit_tokens)
-        order = np.lexsort((p1, p2, bucket))
-        bucket, p2, p1 = bucket[order], p2[order], p1[order]
-        new = np.flatnonzero(np.concatenate(
-            [[True], (np.diff(bucket) != 0) | (np.diff(p2) != 0) | (np.diff(p1) != 0)]))
+        found = grams(text, bits, order)
+        bucket, chances = estimates(found, {k: exchange.answers(reply, k)[0] for k in kinds}, fit_tokens)
+        columns = [bucket, *chances]
+        by = np.lexsort(columns[::-1])
+        columns = [c[by] for c in columns]
+        new = np.flatnonzero(np.append(True, np.any([np.diff(c) != 0 for c in columns], axis=0)))
         n = np.diff(np.append(new, len(bucket)))
-        return pa.Table.from_arrays([pa.array(bucket[new], pa.int32()), pa.array(p2[new]), pa.array(p1[new]),
-                                     pa.array(n, pa.int64())], schema=seen_schema)
+        return pa.Table.from_arrays([pa.array(c[new], f.type) for c, f in zip(columns, seen_schema)]
+                                    + [pa.array(n, pa.int64())], schema=seen_schema)
 
     of_all = max(1, -(-total * 9 // 10 // BLOCK_BYTES))
     tuples = placed.where(F.col("remainder") == DELETED).groupBy("block").cogroup(
         replies.where(F.col("block") >= of_all).groupBy("block")).applyInArrow(
-            seen, "bucket int, p2 double, p1 double, n long")
+            seen, f"bucket int, {', '.join(f'{name} double' for name in names)}, n long")
     tuples = stored(tuples, "deleted").withColumn("p0", F.lit(uniform))
-    weights = learn_weights(tuples, rounds)
+    weights = learn_weights(tuples, order, rounds)
 
     def rate(text: pa.Table, reply: pa.Table) -> pa.Table:
         if not text.num_rows:
             return _SCORES_ARROW.empty_table()
-        found = grams(text, bits)
-        single, double = (exchange.answers(reply, kind).sum(axis=0) for kind in (SINGLE, DOUBLE))
-        bucket, p2, p1 = estimate(found, single, double, train_tokens)
+        found = grams(text, bits, order)
+        counts = {k: exchange.answers(reply, k).sum(axis=0) for k in kinds}
+        bucket, chances = estimates(found, counts, train_tokens)
         mix = weights[bucket]
-        model = np.log10(mix[:, 0] * p2 + mix[:, 1] * p1 + mix[:, 2] * uniform)
-        own = single[found.single].astype(np.float64)
+        model = np.log10(sum((mix[:, k] * p for k, p in enumerate(chances, 1)), mix[:, 0] * uniform))
+        own = counts[1][found.places[1]].astype(np.float64)
         base = np.log10((own + BASE_ADD) / (train_tokens + BASE_ADD * (distinct + 1)))
         first = found.edges[:-1]
         return pa.Table.from_arrays([
