@@ -29,7 +29,7 @@ _END, _BEGIN = np.uint64(0x5EED0000000000E1), np.uint64(0x5EED0000000000B1)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 WIDTHS = {1: 64, 2: 40, 3: 40}
 ORDER = 3
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: crc32(doc_id) mod 10: scored only, and left out of the estimates that set the weights.
 HELD_OUT, DELETED = 0, 1
 BASE_ADD = 0.1
@@ -56,7 +56,10 @@ def tokens(column) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Grams:
-    """A block's n-grams: by length, the distinct keys, their counts and each token's place there."""
+    """A block's n-grams: each token's place among the distinct keys of a length.
+
+    ``keys`` and ``counts`` are empty where a block only reads its replies.
+    """
 
     edges: np.ndarray
     keys: dict[int, np.ndarray]
@@ -65,7 +68,7 @@ class Grams:
     begins: np.ndarray
 
 
-def grams(table: pa.Table, bits: int, order: int) -> Grams:
+def grams(table: pa.Table, bits: int, order: int, count: bool = False) -> Grams:
     """N-grams of up to ``order`` tokens that end at each token; at a text's first, those of two at most."""
     found, edges = tokens(table.column("text"))
     group = np.asarray(table.column("remainder").combine_chunks())
@@ -81,9 +84,13 @@ def grams(table: pa.Table, bits: int, order: int) -> Grams:
             before[edges[:-1]] = _BEGIN
             with np.errstate(over="ignore"):
                 rows = gram = mixed(before * _PAIR + found)
-        keys[kind], places[kind] = np.unique(exchange.narrowed(rows, bits, WIDTHS[kind]), return_inverse=True)
+        distinct, place = np.unique(exchange.narrowed(rows, bits, WIDTHS[kind]), return_inverse=True)
+        places[kind] = place.astype(np.int32)
+        if not count:
+            continue
+        keys[kind] = distinct
         fit = (groups != HELD_OUT) & (groups != DELETED)
-        counts[kind] = np.stack([np.bincount(places[kind][m], minlength=len(keys[kind]))
+        counts[kind] = np.stack([np.bincount(places[kind][m], minlength=len(distinct))
                                  for m in (fit, groups == DELETED)]).astype(np.uint64)
     begins = places[1][len(found):]
     places[1] = places[1][:len(found)]
@@ -166,7 +173,7 @@ def score(docs: DataFrame, *, rounds: int = 12, order: int = ORDER) -> DataFrame
     placed = _blocks(docs, total)
 
     def wanted(table: pa.Table) -> list[dict]:
-        block, found = table.column("block")[0].as_py(), grams(table, bits, order)
+        block, found = table.column("block")[0].as_py(), grams(table, bits, order, count=True)
         return [row for kind in kinds for row in exchange.requests(
             block, kind, found.keys[kind], found.counts[kind], bits, WIDTHS[kind])]
 
@@ -212,8 +219,10 @@ def score(docs: DataFrame, *, rounds: int = 12, order: int = ORDER) -> DataFrame
         found = grams(text, bits, order)
         counts = {k: exchange.answers(reply, k).sum(axis=0) for k in kinds}
         bucket, chances = estimates(found, counts, train_tokens)
-        mix = weights[bucket]
-        model = np.log10(sum((mix[:, k] * p for k, p in enumerate(chances, 1)), mix[:, 0] * uniform))
+        model = weights[bucket, 0] * uniform
+        for k, chance in enumerate(chances, 1):
+            model += weights[bucket, k] * chance
+        model = np.log10(model)
         own = counts[1][found.places[1]].astype(np.float64)
         base = np.log10((own + BASE_ADD) / (train_tokens + BASE_ADD * (distinct + 1)))
         first = found.edges[:-1]
