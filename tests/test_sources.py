@@ -55,6 +55,32 @@ def test_logs_are_whole_files(spark, tmp_path):
     assert row.value == "first\nsecond\n" and row.source_file.endswith("train.log")
 
 
+def test_a_log_in_many_splits_has_the_same_first_match(spark, tmp_path):
+    from winnow.plans import report as rp
+
+    line = "{'completions/clipped_ratio': '%s'}\n"
+    noise = "step\n" * 700
+    logs = {"a.log": noise + line % "0.25" + noise + line % "0.75", "b.log": line % "1e0" + noise + line % "0.1",
+            "c.log": noise, "d.log": "", "e.log": noise * 2 + line % "1.2.3" + line % "0.1"}
+    for name, value in logs.items():
+        (tmp_path / name).write_text(value)
+    whole = {r.source_file: (r.clipped_ratio, r.status) for r in rp.log_gate(rd.read_logs(spark, str(tmp_path))).collect()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        lines = rd.scan_logs(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > len(logs)
+        gate = rp.scanned_log_gate(lines)
+        got = {r.source_file: (r.clipped_ratio, r.status) for r in gate.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {k.rsplit("/", 1)[1]: x for k, x in got.items()} == {
+        "a.log": (0.25, "pass"), "b.log": (1.0, "fail"), "c.log": (None, "missing"), "e.log": (None, "missing")}
+    assert got == whole
+    plan = gate._jdf.queryExecution().sparkPlan().toString()
+    assert "partial_min_by" in plan and "SortAggregate" not in plan
+
+
 def test_text_keeps_reading_order(spark, tmp_path):
     path = str(tmp_path / "deep" / "report")
     lines = spark.range(1000).select(F.format_string("%04d", "id").alias("line")).orderBy("line")

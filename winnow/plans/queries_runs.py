@@ -235,6 +235,19 @@ def src_6(spark, d):
     return ratios.groupBy("clipped_ratio").agg(F.count(F.lit(1)).alias("logs"))
 
 
+@query("src_6_scan_logs", f"""with {v.LOGS_SQL}, kept as (select run_id % 7 as log, run_id, clipped_ratio from logs
+    where clipped_ratio is not null), firsts as (select log, arg_min(clipped_ratio, run_id) as clipped_ratio
+    from kept group by log) select clipped_ratio, case when clipped_ratio > 0.5 then 'fail' else 'pass' end as status,
+    count(*) as logs from firsts group by all""")
+def src_6_scan(spark, d):
+    path = wr.scratch_dir(spark, "scanned")
+    named = v.logs(spark, d).select((F.col("run_id") % 7).alias("log"), "run_id", "value")
+    ordered = named.repartition("log").sortWithinPartitions("log", "run_id")
+    ordered.select("log", "value").write.partitionBy("log").text(path)
+    gate = rp.scanned_log_gate(rd.scan_logs(spark, path))
+    return gate.groupBy("clipped_ratio", "status").agg(F.count(F.lit(1)).alias("logs"))
+
+
 @query("snk_3_write_once", """select run_id, count(*) as events from (select user_id % 5 as run_id from events) e
     group by run_id""")
 def snk_3(spark, d):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import as_col
 from ..functions.cells import fixed, latex_escape, percent, plus_minus, times
 from ..functions.geometry import allocation_multiplier, amdahl, amdahl_ceiling
-from ..functions.text import first_clipped_ratio
+from ..functions.text import CLIPPED_RATIO_PATTERN, first_clipped_ratio
 from ..operators.evals import accuracy_pivot, all_tasks, task_names
 from ..operators.runs import linear_fit, sweep, vs_baseline
 from ..operators.skew import lookup
@@ -229,6 +229,17 @@ def log_gate(logs: DataFrame, threshold: float = MAX_CLIPPED_RATIO) -> DataFrame
     return length_gate(logs.withColumn("clipped_ratio", first_clipped_ratio("value")), threshold)
 
 
+def scanned_log_gate(lines: DataFrame, threshold: float = MAX_CLIPPED_RATIO) -> DataFrame:
+    """RPT-7 over the lines of logs: per ``source_file`` the ratio on the first line that has one.
+
+    ``lines`` comes from ``scan_logs``. Each task hashes its lines down to one number per file
+    before the shuffle.
+    """
+    matches = F.col("value").rlike(CLIPPED_RATIO_PATTERN)
+    first = F.min_by(first_clipped_ratio("value"), F.when(matches, F.col("position")))
+    return length_gate(lines.groupBy("source_file").agg(first.alias("clipped_ratio")), threshold)
+
+
 def _row_line(cells: Sequence[str], latex: bool) -> Column:
     values = [F.coalesce(F.col(f"`{cell}`").cast("string"), F.lit("--")) for cell in cells]
     if latex:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,3 +125,16 @@ def read_logs(spark: SparkSession, path: str, whole_files: bool = True) -> DataF
     """SRC-6. Training logs, one row per file (or per line), as ``source_file, value``."""
     logs = spark.read.text(path, wholetext=whole_files)
     return logs.select(F.col("_metadata.file_path").alias("source_file"), "value")
+
+
+def scan_logs(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-6. The lines of training logs as ``source_file, position, value``; files of any size are split.
+
+    ``position``, a number, orders the lines of a file: by the split's offset, then as they
+    are read. Line ends are those of the text source; a line, not a file, must fit a task.
+    Spark skips empty files, here and in ``read_logs``.
+    """
+    block = F.col("_metadata.file_block_start").cast("decimal(19,0)")
+    line = F.monotonically_increasing_id().cast("decimal(19,0)")
+    at = (block * F.lit(Decimal(10**19)) + line).cast("decimal(38,0)")
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), at.alias("position"), "value")
