@@ -133,6 +133,17 @@ def test_samples_of_any_size_hold_the_seeded_order(spark, digits):
         assert [(r.problem_id, r.row) for r in rows] == [(k, i) for i, k in enumerate(order[:n])]
 
 
+def test_a_sample_sorts_only_the_buckets_it_takes(spark):
+    from winnow.operators import rounds
+
+    frame = spark.range(5000).withColumnRenamed("id", "problem_id")
+    sample = rounds.shuffled_sample(frame, 500, 42, "problem_id", 2)
+    assert sample.count() == 500
+    lines = sample._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joined = next(i for i, line in enumerate(lines) if "Join" in line)
+    assert any("Filter" in line and "< 500)" in line for line in lines[joined:]), "\n".join(lines)
+
+
 def test_a_cap_needs_a_seed(spark):
     problems = spark.createDataFrame([(1, "a", "3")], "problem_id long, prompt string, solution string")
     with pytest.raises(ValueError, match="seed"):

@@ -33,14 +33,15 @@ def cap(df: DataFrame, n: int | None) -> DataFrame:
 
 
 def number_rows(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Column
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Column, first: int | None = None
 ) -> DataFrame:
     """Number rows 0, 1, 2, ... within ``by`` without sorting a whole key in one task.
 
     ``bucket`` must never decrease along ``order`` and should divide the rows evenly:
     for a hashed order, the leading digits of the hash. Rows are counted per bucket, the
     counts become offsets, and only the rows of one bucket are ever sorted together.
-    Adds ``row`` and ``total_rows``.
+    Adds ``row`` and ``total_rows``. With ``first`` only that many rows of a key come out:
+    the offsets leave out buckets that begin later, so their rows are never sorted.
     """
     bucketed = df.withColumn("_bucket", bucket)
     counts = bucketed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_count"))
@@ -53,12 +54,15 @@ def number_rows(
         F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_offset"),
         F.sum("_count").over(Window.partitionBy(*by)).alias("total_rows"),
     )
+    if first is not None:
+        offsets = offsets.where(F.col("_offset") < first)
     within = Window.partitionBy(*by, "_bucket").orderBy(*order)
-    return (
+    numbered = (
         bucketed.join(offsets, [*by, "_bucket"])
         .withColumn("row", F.col("_offset") + F.row_number().over(within) - 1)
         .drop("_bucket", "_offset")
     )
+    return numbered if first is None else numbered.where(F.col("row") < first)
 
 
 def shuffled_sample(
@@ -66,14 +70,15 @@ def shuffled_sample(
 ) -> DataFrame:
     """SRT-1, SRT-2. The first ``n`` rows of the seeded order, with their place as ``row``.
 
-    Rows are numbered bucket by bucket, so no task sorts or holds the whole sample, and
+    Rows are numbered bucket by bucket, so no task sorts or holds the whole sample; those of
+    buckets after the sample's last are dropped before the sort. Rows
     come in no order, whatever ``n`` is; sort by ``row`` to see the seeded one.
     """
     order = df.withColumn("_order", shuffle_key(seed, key))
     numbered = number_rows(
-        order, [], [F.col("_order"), F.col(key)], F.substring("_order", 1, bucket_digits)
+        order, [], [F.col("_order"), F.col(key)], F.substring("_order", 1, bucket_digits), n
     )
-    return numbered.where(F.col("row") < n).drop("_order", "total_rows")
+    return numbered.drop("_order", "total_rows")
 
 
 def assign_rounds(
