@@ -118,3 +118,43 @@ def test_long_runs_of_signs_take_linear_time(spark):
     field = secrets.fit_field(signs)
     assert [[s.kind for s in r.secret_spans] for r in secrets.with_secrets(signs, field).orderBy("doc_id").collect()] == [[], [], ["assign"]]
     assert time.time() - start < 30
+
+
+def test_every_word_is_decoded():
+    """Also words without digits, of one case, or short: nothing is left out before the field is asked."""
+    import numpy as np
+
+    field = secrets.Field(np.zeros((secrets._BUCKETS, 3)), np.zeros((3, 3)))
+    field.move[secrets.OUTSIDE, secrets.INSIDE] = -np.inf
+    field.emit[:, secrets.BEGIN] = 1
+    text = "of President abcdefghij ABCDEFGHIJ\naB1 \u00e9t\u00e9 x, on"
+    starts = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]", text)]
+    assert secrets.find(text, field) == [("crf", a, b) for a, b in starts]
+
+
+def test_secrets_of_one_case_and_without_digits_are_found():
+    rng, rows = random.Random(5), []
+    for k in range(300):
+        value = "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(18, 30)))
+        rows.append(f"the service at site{k} then says password = {value} and goes on with many other plain words of {k}1234567 things")
+    field = secrets.train(rows)
+    text = "the service then says pasword = zxkcwqvbnmlkjhgfdspt and goes on"
+    assert [text[a:b] for _, a, b in secrets.find(text, field)] == ["zxkcwqvbnmlkjhgfdspt"]
+    assert secrets.find("and goes on with many other plain words of things", field) == []
+
+
+def test_the_tagger_gives_the_best_paths():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    field = secrets.Field(rng.normal(size=(secrets._BUCKETS, 3)), rng.normal(size=(3, 3)))
+    field.move[secrets.OUTSIDE, secrets.INSIDE] = -np.inf
+    field.emit[:, secrets.OUTSIDE] += 0.3
+    parts = ["-", "a", "key", "Abc", "x=y", "a1b2c3d4e5", "\u00e9", ",", "it's", "x" * 90, "=="]
+    for _ in range(300):
+        text = " ".join("".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(rng.integers(0, 9)))
+        got = {r[2]: r[5] for r in secrets.Tagger(field).tagged(text)}
+        for second, before, start, word, after in secrets._in_context(text):
+            tags = field.viterbi(secrets._features(second, before, word, after, secrets._file(text)))
+            assert got.pop(start, [0] * len(tags)) == tags
+        assert not got
