@@ -286,3 +286,63 @@ def test_a_batch_that_dies_before_its_manifest_is_read_once(spark, tmp_path, mon
 
 def placed_rows(df):
     return sorted((r.group_id, r.sample_idx) for r in df.collect())
+
+
+class MarkedState(KeptState):
+    """A state with a watermark, for one bucket or one group."""
+
+    watermark = 0
+
+    def update(self, value):
+        self.value = value
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+
+@pytest.mark.parametrize("early", [True, False])
+def test_a_bucket_gives_what_its_groups_give(early):
+    """One call for a bucket of groups gives the rows and times that a call for each group gives."""
+    import random
+
+    rng = random.Random(6)
+    bucket, alone = st._bucket_machine(4, 2, 1e-4, early), st._group_machine(4, 2, 1e-4, early)
+    columns = ["_key", "_payload", "_reward", "_place", "_deadline"]
+    said = lambda frames: sorted(map(str, (r for f in frames for r in f.itertuples(index=False))))
+    for _ in range(60):
+        whole, parts, calls = MarkedState(), {}, 0
+        for batch in range(12):
+            mark = 10 * batch
+            rows = [(f"g{rng.randrange(12)}", f"{batch}/{n}", rng.choice([None, 0.0, 1.0, 2.5]), rng.choice([None, n]), mark + rng.randrange(1, 25))
+                    for n in range(rng.choice([0, 6, 25]))]
+            frame = pd.DataFrame(rows, columns=columns)
+            frames = [frame[a:a + 7] for a in range(0, len(frame), 7)]
+            want = []
+            for name in sorted(set(frame["_key"])):
+                state = parts.setdefault(name, MarkedState())
+                state.watermark, state.hasTimedOut = mark, False
+                want += list(alone((name,), (f[f["_key"] == name] for f in frames if (f["_key"] == name).any()), state))
+            for name, state in list(parts.items()):
+                if name not in set(frame["_key"]) and state.deadline < mark:
+                    state.watermark, state.hasTimedOut = mark, True
+                    want += list(alone((name,), iter(()), state))
+                    del parts[name]
+            got = []
+            whole.watermark, whole.hasTimedOut = mark, not rows
+            if rows or (whole.exists and whole.deadline < mark):
+                got, calls = list(bucket((0,), iter(frames), whole)), calls + 1
+            assert said(got) == said(want)
+            assert not whole.exists if not parts else whole.deadline == min(state.deadline for state in parts.values())
+        assert calls <= 12
+
+
+def test_state_and_python_calls_are_counted_by_buckets(spark, tmp_path):
+    """A micro-batch calls Python per bucket, not per group, also when the groups' time is over."""
+    batches = [[row(g, i, i, g) for g in range(200) for i in range(4)], [row(999, 0, 1, 5000)], [row(998, 0, 1, 9000)]]
+    source = stream(spark, tmp_path, batches)
+    query = st.mark_stream(source, 4, 2, emit="complete", buckets=8).writeStream.format("parquet").option(
+        "path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = [s.numRowsTotal for p in query.recentProgress for s in p.stateOperators if s.operatorName == "applyInPandasWithState"]
+    assert held[0] == 8 and max(held) <= 8 and held[-1] <= 2
+    assert spark.read.parquet(str(tmp_path / "out")).where("whole and kept").count() == 400

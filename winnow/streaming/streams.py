@@ -40,63 +40,152 @@ def _once(rows: DataFrame, delay: str, event_time: str) -> DataFrame:
 
 #: What a group is: its rows are held, it gave out its best, or more came than it has places for.
 _OPEN, _WHOLE, _SURPLUS = "open", "whole", "surplus"
-_STATE = "status string, payload array<string>, reward array<double>, place array<long>"
+#: A bucket of groups: for each its key, status, deadline and number of rows; the rows of all of them in that order.
+_STATE = ("keys array<string>, status array<string>, deadline array<long>, held array<long>, "
+          "payload array<string>, reward array<double>, place array<long>")
 _MARKED = "_payload string, advantage double, whole boolean, kept boolean"
 #: JSON that gives instants back to the microsecond.
 _EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
+def _group_types() -> tuple[type, type]:
+    """The classes below; made in here, they go to the executors by value."""
+
+    class Given:
+        """Rows that leave, as lists of the columns of ``_MARKED``."""
+
+        def __init__(self):
+            self.payload, self.advantage, self.whole, self.kept = [], [], [], []
+
+        def add(self, payload: Sequence[str], whole: bool, advantage=None, kept=None) -> None:
+            size = len(payload)
+            self.payload += payload
+            self.advantage += [np.nan] * size if advantage is None else advantage
+            self.whole += [whole] * size
+            self.kept += [True] * size if kept is None else kept
+
+        def frames(self) -> Iterator[pd.DataFrame]:
+            if self.payload:
+                yield pd.DataFrame({"_payload": self.payload, "advantage": np.array(self.advantage, float),
+                                    "whole": self.whole, "kept": self.kept})
+
+    class Group:
+        """What is held of a group, and what it does with rows and at the end of its time."""
+
+        def __init__(self, status: str = _OPEN, payload=(), reward=(), place=(), deadline: int = 0):
+            self.status, self.payload, self.reward, self.place = status, list(payload), list(reward), list(place)
+            self.deadline = deadline
+
+        def take(self, payload: list, reward: list, place: list, group_size: int, given: Given) -> None:
+            if self.status != _OPEN:
+                given.add(payload, False)
+                return
+            self.payload += payload
+            self.reward += [None if pd.isna(r) else float(r) for r in reward]
+            self.place += [None if pd.isna(p) else int(p) for p in place]
+            if len(self.payload) > group_size:
+                given.add(self.payload, False)
+                self.status, self.payload, self.reward, self.place = _SURPLUS, [], [], []
+
+        def leave(self, group_size: int, k: int, eps: float, given: Given) -> None:
+            """The rows of a group that is complete or out of time."""
+            payload, reward, place = self.payload, self.reward, self.place
+            self.status, self.payload, self.reward, self.place = _WHOLE, [], [], []
+            if not payload:
+                return
+            values = np.array([np.nan if r is None else r for r in reward], float)
+            deviation = values.std(ddof=1) if len(values) > 1 else 0.0
+            advantage = ((values - values.mean()) / (deviation + eps)).tolist()
+            if len(payload) != group_size:
+                given.add(payload, False, advantage)
+                return
+            # By magnitude in single precision, ties by position; rows without one first, as in a sort.
+            order = sorted(range(group_size), key=lambda i: (
+                -np.float32(abs(advantage[i])), place[i] is not None, place[i] or 0, i))
+            best = set(order[:k])
+            given.add(payload, True, advantage, [i in best for i in range(group_size)])
+
+    return Given, Group
+
+
 def _group_machine(group_size: int, k: int, eps: float, early: bool) -> Callable:
-    """What a group does with the rows of a micro-batch and at the end of its time."""
-
-    def given_out(payload: Sequence[str], whole: bool, advantage=None, kept=None) -> pd.DataFrame:
-        size = len(payload)
-        return pd.DataFrame({
-            "_payload": list(payload), "advantage": [None] * size if advantage is None else advantage,
-            "whole": [whole] * size, "kept": [True] * size if kept is None else kept})
-
-    def pruned(payload: list, reward: list, place: list) -> pd.DataFrame:
-        """The rows of a group that is complete or out of time."""
-        values = np.array([np.nan if r is None else r for r in reward], float)
-        deviation = values.std(ddof=1) if len(values) > 1 else 0.0
-        advantage = (values - values.mean()) / (deviation + eps)
-        if len(payload) != group_size:
-            return given_out(payload, False, advantage)
-        # By magnitude in single precision, ties by position; rows without one first, as in a sort.
-        order = sorted(range(group_size), key=lambda i: (
-            -np.float32(abs(advantage[i])), place[i] is not None, place[i] or 0, i))
-        best = set(order[:k])
-        return given_out(payload, True, advantage, [i in best for i in range(group_size)])
+    """What one group does with the rows of a micro-batch and at the end of its time."""
+    Given, Group = _group_types()  # noqa: N806
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, payload, reward, place = (
-            (state.get[0], *map(list, state.get[1:])) if state.exists else (_OPEN, [], [], []))
+        group = Group(*state.get) if state.exists else Group()
         if state.hasTimedOut:
             state.remove()
-            if payload:
-                yield pruned(payload, reward, place)
+            given = Given()
+            group.leave(group_size, k, eps, given)
+            yield from given.frames()
             return
         deadline = state.getCurrentWatermarkMs() + 1
         for rows in batches:
-            deadline = max(deadline, int(rows["_deadline"].max()))
-            if status != _OPEN:
-                yield given_out(rows["_payload"], False)
-                continue
-            payload += rows["_payload"].tolist()
-            reward += [None if pd.isna(r) else float(r) for r in rows["_reward"]]
-            place += [None if pd.isna(p) else int(p) for p in rows["_place"]]
-            if len(payload) > group_size:
-                yield given_out(payload, False)
-                status, payload, reward, place = _SURPLUS, [], [], []
-        if early and len(payload) == group_size:
-            yield pruned(payload, reward, place)
-            status, payload, reward, place = _WHOLE, [], [], []
-        state.update((status, payload, reward, place))
+            deadline, given = max(deadline, int(rows["_deadline"].max())), Given()
+            group.take(*(rows[c].tolist() for c in ("_payload", "_reward", "_place")), group_size, given)
+            yield from given.frames()
+        given = Given()
+        if early and len(group.payload) == group_size:
+            group.leave(group_size, k, eps, given)
+        yield from given.frames()
+        state.update((group.status, group.payload, group.reward, group.place))
         state.setTimeoutTimestamp(deadline)
 
     return run
 
 
+def _bucket_machine(group_size: int, k: int, eps: float, early: bool) -> Callable:
+    """The same for a bucket of groups, told apart by ``_key``, in one call.
+
+    As with a state for each group, the time of a group that got rows in this micro-batch starts anew, and of
+    the others those leave whose time the watermark has passed.
+    """
+    Given, Group = _group_types()  # noqa: N806
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        groups, watermark, touched = {}, state.getCurrentWatermarkMs(), set()
+        if state.exists:
+            keys, status, deadlines, held, *rows = state.get
+            at = 0
+            for name, now, deadline, size in zip(keys, status, deadlines, held):
+                groups[name] = Group(now, *(column[at:at + size] for column in rows), deadline)
+                at += size
+        for rows in () if state.hasTimedOut else batches:
+            given, numbers = Given(), {}
+            for n, name in enumerate(rows["_key"].tolist()):
+                numbers.setdefault(name, []).append(n)
+            columns = [rows[c].tolist() for c in ("_payload", "_reward", "_place", "_deadline")]
+            for name, own in numbers.items():
+                group = groups.setdefault(name, Group())
+                if name not in touched:
+                    touched.add(name)
+                    group.deadline = watermark + 1
+                payload, reward, place, deadline = ([column[n] for n in own] for column in columns)
+                group.deadline = max(group.deadline, int(max(deadline)))
+                group.take(payload, reward, place, group_size, given)
+            yield from given.frames()
+        given = Given()
+        for name, group in list(groups.items()):
+            if name in touched:
+                if early and len(group.payload) == group_size:
+                    group.leave(group_size, k, eps, given)
+            elif group.deadline < watermark:
+                group.leave(group_size, k, eps, given)
+                del groups[name]
+        yield from given.frames()
+        if groups:
+            every = groups.values()
+            state.update((
+                list(groups), [g.status for g in every], [g.deadline for g in every], [len(g.payload) for g in every],
+                *([value for g in every for value in getattr(g, c)] for c in ("payload", "reward", "place"))))
+            state.setTimeoutTimestamp(min(g.deadline for g in every))
+        elif state.exists:
+            state.remove()
+
+    return run
+
+
 def mark_stream(
     stream: DataFrame,
     group_size: int,
@@ -106,10 +195,13 @@ def mark_stream(
     event_time: str = "ts",
     on_ragged: str = "keep",
     emit: str = "closed",
+    buckets: int = 1024,
 ) -> DataFrame:
     """STM-2. Every row, all columns, with ``advantage``, ``whole`` and ``kept`` (replaced if there).
 
-    State is kept per ``(run_id, group_id)``, of ``group_size`` rows at most. With ``emit="complete"`` a group leaves
+    State is kept per ``(run_id, group_id)``, of ``group_size`` rows at most, and stored by ``buckets`` of groups: a
+    micro-batch costs a call of Python per bucket that it touches, and rewrites what these hold.
+    Set it for the open groups you expect, a few hundred to a bucket; a checkpoint is bound to its number. With ``emit="complete"`` a group leaves
     in the micro-batch that brings its last completion; what comes for it later is
     surplus, and ragged. With ``"closed"`` it waits until none of its rows has come for ``delay``
     of event time, so that surplus rows make all of it ragged. Either way a group that has
@@ -133,12 +225,13 @@ def mark_stream(
         marked = marked.select(*[F.col(f"`{c}`") for c in stream.columns], "advantage", "whole", "kept")
         return marked.where("whole") if on_ragged == "drop" else marked
     packed = rows.select(
-        F.col("run_id").alias("_run"), F.col("group_id").alias("_group"),
+        F.pmod(F.xxhash64("run_id", "group_id"), F.lit(buckets)).alias("_bucket"),
+        F.to_json(F.struct("run_id", "group_id"), _EXACT).alias("_key"),
         F.col("reward").cast("double").alias("_reward"), F.col("sample_idx").cast("long").alias("_place"),
         F.unix_millis(F.col(event_time) + F.expr(f"interval {delay}")).alias("_deadline"), F.col(event_time).alias("_time"),
         F.to_json(F.struct(*[F.col(f"`{c}`") for c in stream.columns]), _EXACT).alias("_payload"))
-    marked = packed.groupBy("_run", "_group").applyInPandasWithState(
-        _group_machine(group_size, k, eps, emit == "complete"), _MARKED, _STATE, "append", "EventTimeTimeout")
+    marked = packed.groupBy("_bucket").applyInPandasWithState(
+        _bucket_machine(group_size, k, eps, emit == "complete"), _MARKED, _STATE, "append", "EventTimeTimeout")
     if on_ragged == "drop":
         marked = marked.where("whole")
     row = F.from_json("_payload", stream.schema, _EXACT)
