@@ -158,3 +158,43 @@ def test_the_tagger_gives_the_best_paths():
             tags = field.viterbi(secrets._features(second, before, word, after, secrets._file(text)))
             assert got.pop(start, [0] * len(tags)) == tags
         assert not got
+
+
+def _trained():
+    rng, rows = random.Random(3), []
+    for k in range(200):
+        word = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        access = "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+        rows.append(f'some words token = "{word}" and {access} then mail bob{k}@site{k % 9}.org on 2024-05-{k % 28 + 1:02d} or http://a.b/{k}1234567/index.html')
+    return secrets.train(rows), rows
+
+
+def test_few_words_are_decoded_one_by_one(monkeypatch):
+    """Distinct words cost a bound each; all scores are summed for those alone that may hold a secret."""
+    field, _ = _trained()
+    rng, asked, real = random.Random(6), [], secrets.Tagger._facts
+    monkeypatch.setattr(secrets.Tagger, "_facts", lambda self, word: asked.append(word) or real(self, word))
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 9))) + rng.choice(["", "", ",", "."]) for _ in range(20_000)]
+    words[9_000] = "AKXA7Q2M5N8P3R6T9V2W"
+    text = " ".join(words)
+    assert [text[a:b] for _, a, b in secrets.find(text, field)] == ["AKXA7Q2M5N8P3R6T9V2W"]
+    assert len(asked) < 2_000
+
+
+def test_pieces_of_a_text_give_the_best_paths(monkeypatch):
+    field, rows = _trained()
+    rng = random.Random(8)
+    parts = [w for row in rows[:40] for w in row.split()] + ["x", "é,", "AKXA7Q2M5N8P3R6T9V2W", "aB3" * 40, "a-b", "--"]
+    monkeypatch.setattr(secrets, "_REMEMBERED", 20)
+    monkeypatch.setattr(secrets, "_DECODED", 5)
+    for size in (1, 7, 40, 1 << 18):
+        monkeypatch.setattr(secrets, "_PIECE", size)
+        tagger = secrets.Tagger(field)
+        for _ in range(100):
+            text = rng.choice(["", " ", "\n\t "]) + "".join(rng.choice(parts) + rng.choice([" ", "  ", "\n", " "]) for _ in range(rng.randint(0, 8)))
+            got = {r[2]: r for r in tagger.tagged(text)}
+            for second, before, start, word, after in secrets._in_context(text):
+                tags = field.viterbi(secrets._features(second, before, word, after, secrets._file(text)))
+                found = got.pop(start, None)
+                assert found == (second, before, start, word, after, tags) if found else not any(tags)
+            assert not got
