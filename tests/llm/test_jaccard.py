@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -117,3 +118,25 @@ def test_shingle_sets_are_sorted_and_distinct():
     found, edges = jaccard.shingle_sets(pa.array(["a b c d e " * 4, None, "one two", "A b C d E f"]))
     assert np.diff(edges).tolist() == [5, 0, 1, 2]
     assert set(found[edges[3]:edges[4]]) & set(found[:5]) and np.all(np.diff(found[:5].astype(object)) > 0)
+
+
+def test_prefixes_of_a_block_take_little_memory(monkeypatch):
+    """What a block holds at once is a few numbers a shingle, and slices of texts give the same rows."""
+    rng = np.random.default_rng(2)
+    words = np.array([f"w{k}" for k in range(5000)])
+    texts = [" ".join(words[rng.integers(0, 5000, 600)]) for _ in range(800)]
+    texts += [t + " more" for t in texts[:200]] + ["", "one"]
+    table = pa.table({"id": pa.array([b"%05d" % k for k in range(len(texts))], pa.binary()), "text": pa.array(texts)})
+    _, found, _ = jaccard._sets(table)
+    keys, counts = np.unique(found, return_counts=True)
+    replies = pa.Table.from_pylist([{"block": 0, "kind": jaccard.TOKEN, "part": 0, "totals": exchange.pack_counts(
+        counts[None, :].astype(np.uint64)), "stats": None}], exchange._REPLY_ARROW)
+    tracemalloc.start()
+    rows = jaccard._prefixes(table, replies, 24)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 65 * len(found), peak / len(found)
+    order = [("id", "ascending"), ("token", "ascending")]
+    for size in (1, 10_000):
+        monkeypatch.setattr(jaccard, "SLICE", size)
+        assert jaccard._prefixes(table, replies, 24).sort_by(order) == rows.sort_by(order)

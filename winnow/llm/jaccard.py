@@ -25,7 +25,9 @@ SHINGLE, PERCENT = 5, 80
 #: Requirements that a text picks from, and what comparing a shingle costs in joined rows.
 LEVELS, VERIFY = (1, 2, 3, 4, 6, 8), 1 / 16
 TOKEN, TOKEN_BITS = 1, 40
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Shingles whose prefixes are made at once, unless one text has more.
+SLICE = 1 << 17
 _STEPS = mixed(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 _PREFIX = pa.schema([("token", pa.int64()), ("id", pa.binary()), ("size", pa.int64()), ("room", pa.int64()), ("least", pa.int32()),
                      *[(b, pa.int64()) for b in linking.BITS]])
@@ -101,10 +103,21 @@ def _sets(table: pa.Table):
 def _prefixes(table: pa.Table, replies: pa.Table, bits: int) -> pa.Table:
     """The prefix of each text of a block, a row a shingle, and one without for the text itself."""
     ids, found, edges = _sets(table)
-    sizes, owner = np.diff(edges), np.repeat(np.arange(len(ids)), np.diff(edges))
-    _, place = np.unique(exchange.narrowed(found, bits, TOKEN_BITS), return_inverse=True)
     totals = exchange.answers(replies, TOKEN)
-    held = totals[0].astype(np.int64)[place] if totals is not None else np.zeros(0, np.int64)
+    totals = totals[0].astype(np.int32) if totals is not None else np.zeros(0, np.int32)
+    keys = np.unique(exchange.narrowed(found, bits, TOKEN_BITS))
+    parts = []
+    # Only shingles, keys and totals are held for the whole block; all else some texts at a time.
+    for first, stop in chunks(edges[:-1], edges[1:], SLICE):
+        own = found[edges[first]:edges[stop]]
+        held = totals[np.searchsorted(keys, exchange.narrowed(own, bits, TOKEN_BITS))].astype(np.int64)
+        parts.append(_sent(ids.slice(first, stop - first), own, edges[first:stop + 1] - edges[first], held))
+    return pa.concat_tables([_PREFIX.empty_table(), *parts])
+
+
+def _sent(ids: pa.Array, found: np.ndarray, edges: np.ndarray, held: np.ndarray) -> pa.Table:
+    """Prefixes of some texts; ``held`` tells of each shingle how many texts hold it."""
+    sizes, owner = np.diff(edges), np.repeat(np.arange(len(ids)), np.diff(edges))
     order = np.lexsort((found, held, owner))
     room = np.bincount(owner, weights=held > 1, minlength=len(ids)).astype(np.int64)
     full = np.flatnonzero(sizes > 0)
