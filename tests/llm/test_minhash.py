@@ -1,5 +1,6 @@
 import collections
 import itertools
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -142,3 +143,16 @@ def test_components(spark):
     rows = minhash.components(spark.createDataFrame(links, "a binary, b binary")).collect()
     assert {(bytes(r.id), bytes(r.root)) for r in rows} == {(f"{k:02d}".encode(), b"01") for k in range(2, 31)} | {
         (b"41", b"40"), (b"42", b"40")}
+
+
+def test_texts_that_share_a_long_passage_are_ruled_out_by_their_bits(spark):
+    """600 items in common of 720 are too few; pairs of such texts must not become rows of a join."""
+    rng = random.Random(12)
+    passage = " ".join(f"p{k}" for k in range(604))
+    docs = spark.createDataFrame([(bytes([k]) * 16, passage + " " + " ".join(f"w{rng.random()}" for _ in range(120))) for k in range(40)],
+                                 "id binary, text string")
+    rows = minhash._sketched(docs).collect()
+    bits = [[v for name, v in r.asDict().items() if name.startswith("bits")] for r in rows]
+    passed = sum(180 * sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b)) <= 20 * 1440
+                 for k, a in enumerate(bits) for b in bits[:k])
+    assert {r["size"] for r in rows} == {720} and passed == 0
