@@ -132,3 +132,38 @@ def test_vocabulary_beyond_63_bits_of_signature():
     assert len(index.vocabulary) > 2_097_151
     codes = index.items[7]
     assert (7, 0) in {tuple(row) for row in index.candidates(np.concatenate([codes, codes[:9]])).tolist()}
+
+
+@pytest.mark.parametrize("share", [0, 0.1, 0.2, 0.5, 1])
+def test_walks_near_shared_runs_lose_no_match(monkeypatch, share):
+    rng = np.random.default_rng(4)
+    items = [[f"w{w}" for w in rng.integers(0, 40, size)] for size in (1, 2, 4, 5, 6, 9, 10, 14, 15, 24, 25, 60)]
+    index = decontam.Index.build(list(range(len(items))), [" ".join(i) for i in items])
+    docs = [None, "", "w1"]
+    for item in items * 6:
+        words = list(item)
+        for _ in range(rng.integers(0, int(share * len(item)) + 2)):
+            at, kind = rng.integers(len(words) + 1), rng.integers(3)
+            words[at:at + (kind != 1)] = [] if kind == 2 else [f"w{rng.integers(0, 50)}"]
+        docs.append(" ".join([f"w{w}" for w in rng.integers(0, 60, rng.integers(0, 30))] + words))
+    got = list(decontam._matches(index, pa.array(docs), share))
+    everywhere = decontam.Index.candidates
+    monkeypatch.setattr(decontam.Index, "candidates", lambda self, codes, near=None: everywhere(self, codes))
+    assert got and got == list(decontam._matches(index, pa.array(docs), share))
+
+
+def test_only_windows_near_a_shared_run_are_walked(monkeypatch):
+    rng = np.random.default_rng(5)
+    items = [" ".join(f"w{w}" for w in rng.integers(0, 3000, 40)) for _ in range(50)]
+    index = decontam.Index.build(list(range(50)), items)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 3000, 2000)) for _ in range(10)]
+    texts[3] += " " + items[7]
+    walked, search = [], decontam.Index.candidates
+
+    def spied(self, codes, *near):
+        walked.append(len(near[0]) if near else len(codes))
+        return search(self, codes, *near)
+
+    monkeypatch.setattr(decontam.Index, "candidates", spied)
+    assert [(text, number) for text, number, *_ in decontam._matches(index, pa.array(texts), 0.2)] == [(3, 7)]
+    assert 40 <= sum(walked) < 400
