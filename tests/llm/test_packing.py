@@ -79,3 +79,28 @@ def test_cuts_cost_the_least(steps):
     every = [[0, *c, places[-1]] for n in range(len(inner) + 1) for c in itertools.combinations(inner, n)]
     best = min(cost(c) for c in every if all(b - a <= size for a, b in zip(c, c[1:])))
     assert cost(packing.best_cuts(places, penalties, size)) == best
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.text(st.sampled_from([*map(chr, range(33, 127)), *"ÀÖßàöÿ×÷éEl |<>'***\x1c½́"]), max_size=24))
+def test_signs_after_letters_give_the_tokens_of_the_text(text):
+    words = packing.WordTokenizer.of(tokenizer_path())
+    for run in (text, f"don{text}", f"Élan{text} it's_{text}"):
+        assert words.encode(run).tolist() == words.tokenizer.encode(run, add_special_tokens=False).ids
+
+
+def test_signs_after_letters_are_tokenized_once(monkeypatch):
+    words, whole, calls = packing.WordTokenizer(tokenizer_path()), packing._Words._whole, []
+    monkeypatch.setattr(packing._Words, "_whole", lambda self, run: calls.append(run) or whole(self, run))
+    runs = [f"{a}b{b}{sign}" for a in "cdefgh" for b in "ijklmn" for sign in ("***", "###", "%.", "")]
+    assert words.encode(" ".join(runs)).tolist() == words.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids
+    assert len(calls) == 3
+
+
+def test_what_is_remembered_stays_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "_CACHE_WORDS", 50)
+    words = packing.WordTokenizer(tokenizer_path())
+    for k in range(1, 120):
+        text = f"word{'.' * k} w{'*' * k} {'a' * k}"
+        assert words.encode(text).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert max(map(len, (words.words, words.words.letters, words.words.tails))) <= 53
