@@ -1,8 +1,10 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from winnow.llm import collocations, exchange, queries
@@ -87,3 +89,30 @@ def test_paths_hold_all_edges():
         assert found == {tuple(e): c for e, c in zip(edges.tolist(), counts)} and at == len(words)
         assert 33 in sizes.tolist()
     assert all(len(x) == 0 for x in collocations.compacted(np.zeros((0, 5), np.int64), np.zeros(0, np.int64)))
+
+
+def test_a_block_takes_little_memory():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in row) for row in rng.integers(0, 30_000, (100, 4000))]
+    docs = pa.table({"block": pa.array([0] * len(texts), pa.int32()), "lang": ["en"] * len(texts), "text": texts})
+    places = 400_000
+
+    def asked():
+        return [row for size, _, keys in collocations._hashed(*collocations.words_of(docs), 3)
+                for keys, counts in [np.unique(keys, return_counts=True)]
+                for row in exchange.requests(0, size, keys, counts[None, :].astype(np.uint64), 3, collocations.HASH_BITS)]
+
+    def peak(run):
+        tracemalloc.start()
+        try:
+            run()
+            return tracemalloc.get_traced_memory()[1] / places
+        finally:
+            tracemalloc.stop()
+
+    answer = [{"block": 0, "kind": r["kind"], "part": r["part"], "totals": exchange.pack_counts(exchange.unpack_counts(r["counts"])),
+               "stats": None} for r in asked()]
+    replies = pa.Table.from_pylist(answer, exchange._REPLY_ARROW)
+    asking, counting = peak(asked), peak(lambda: collocations._paths(docs, replies, 3))
+    print("bytes a place", asking, counting)
+    assert asking < 90 and counting < 100

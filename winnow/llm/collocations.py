@@ -30,6 +30,8 @@ SCALE = 2_000_000
 #: Hashes of phrases, beside the bits that choose their part: about one in a hundred meets another by chance.
 HASH_BITS = 28
 BLOCK_BYTES = 6 << 20
+#: Places that are hashed at once, so that only what outlives a step takes memory for each of a block's places.
+STEP = 1 << 16
 _BREAKS = np.isin(np.arange(256), list(b".,;:!?\n\v\f\r"))
 _APART = _BREAKS | np.isin(np.arange(256), list(b" \t"))
 _LEFT, _RIGHT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -40,13 +42,13 @@ def words_of(table: pa.Table) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarra
     """Distinct words and each place's word, languages and each place's language, and where a piece goes on."""
     langs = table.column("lang").combine_chunks().dictionary_encode()
     data, starts, ends = text_buffers(table.column("text"))
-    parts, lang, more = [], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    parts, lang, more = [], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
     for first, stop in chunks(starts, ends):
         base = starts[first]
         own = LOWER[data[base:ends[stop - 1]]]
         begin, end, sizes = word_spans(own, starts[first:stop] - base, ends[first:stop] - base, _APART)
         text = np.repeat(np.arange(stop - first), sizes)
-        breaks = np.concatenate([[0], np.cumsum(_BREAKS[own])])
+        breaks = np.cumsum(_BREAKS[own], dtype=np.int32)
         follows = np.zeros(len(begin), bool)
         follows[:-1] = (breaks[begin[1:]] == breaks[begin[:-1]]) & (text[1:] == text[:-1])
         offsets = np.concatenate([[0], np.cumsum(end - begin)])
@@ -54,38 +56,58 @@ def words_of(table: pa.Table) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarra
             len(begin), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(own[~_APART[own]]))))
         lang.append(np.asarray(langs.indices)[first:stop][text])
         more.append(follows)
-    coded = pa.chunked_array(parts, pa.large_string()).combine_chunks().dictionary_encode()
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.combine_chunks() if coded.num_chunks else pa.array([], pa.large_string()).dictionary_encode()
-    return (coded.dictionary, np.asarray(coded.indices).astype(np.int64), langs.dictionary,
-            np.concatenate(lang).astype(np.int64), np.concatenate(more))
+    parts = parts or [pa.array([], pa.large_string())]
+    coded = pa.chunked_array(parts, pa.large_string()).dictionary_encode().unify_dictionaries()
+    at = np.concatenate([np.asarray(chunk.indices) for chunk in coded.chunks])
+    return coded.chunk(coded.num_chunks - 1).dictionary, at, langs.dictionary, np.concatenate(lang), np.concatenate(more)
 
 
 def _hashes(strings: pa.Array) -> np.ndarray:
     data, starts, ends = text_buffers(strings)
-    return mixed(Rolling(data).spans(starts, ends)) if len(starts) else np.zeros(0, np.uint64)
+    found = [np.zeros(0, np.uint64)]
+    for first, stop in chunks(starts, ends, 4 * STEP):
+        base = starts[first]
+        found.append(mixed(Rolling(data[base:ends[stop - 1]]).spans(starts[first:stop] - base, ends[first:stop] - base)))
+    return np.concatenate(found)
 
 
 def _hashed(words: pa.Array, at: np.ndarray, langs: pa.Array, lang: np.ndarray, more: np.ndarray, bits: int):
     """For each size from two words on, the places whose piece goes on so far, and the hashes of these phrases."""
-    own, size = _hashes(words)[at], len(at)
-    total = _hashes(langs)[lang]
-    reach = np.ones(size, bool)
+    of_word, of_lang, size = _hashes(words), _hashes(langs), len(at)
+    total, reach = np.empty(size, np.uint64), np.ones(size, bool)
     with np.errstate(over="ignore"):
-        total = mixed(total + own * _LEFT)
+        for a in range(0, size, STEP):
+            total[a:a + STEP] = mixed(of_lang[lang[a:a + STEP]] + of_word[at[a:a + STEP]] * _LEFT)
         for k in range(1, LONGEST):
-            reach = reach & np.append(more[k - 1:], np.zeros(k - 1, bool))
-            first = np.flatnonzero(reach)
-            total[first] = mixed(total[first] * _RIGHT + own[first + k] * _LEFT)
-            yield k + 1, first, exchange.narrowed(total[first], bits, HASH_BITS)
+            inside = max(size - k + 1, 0)
+            reach[:inside] &= more[k - 1:]
+            reach[inside:] = False
+            first = np.flatnonzero(reach).astype(np.int32)
+            keys = np.empty(len(first), np.uint64)
+            for a in range(0, len(first), STEP):
+                own = first[a:a + STEP]
+                keys[a:a + STEP] = total[own] = mixed(total[own] * _RIGHT + of_word[at[own + k]] * _LEFT)
+            yield k + 1, first, exchange.narrowed(keys, bits, HASH_BITS)
+
+
+def _numbered(*columns: np.ndarray) -> np.ndarray:
+    """A number for each row, equal for rows that are equal in all columns, by rising rows."""
+    place, most = np.zeros(len(columns[0]), np.int64), 1
+    for column in columns:
+        width = int(column.max(initial=0)) + 2
+        if most * width > 1 << 62:
+            found, place = np.unique(place, return_inverse=True)
+            most = len(found)
+        place *= width
+        place += column
+        place += 1
+        most *= width
+    return place
 
 
 def _coded(*columns: np.ndarray) -> np.ndarray:
-    """A number for each row, equal for rows that are equal in all columns."""
-    place = np.zeros(len(columns[0]), np.int64)
-    for column in columns:
-        _, place = np.unique(place * (int(column.max(initial=0)) + 2) + column + 1, return_inverse=True)
-    return place
+    """Such a number, from 0 on without gaps."""
+    return np.unique(_numbered(*columns), return_inverse=True)[1]
 
 
 def compacted(edges: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,17 +151,21 @@ def _paths(table: pa.Table, replies: pa.Table, bits: int) -> pa.Table:
     # The next words of each place, -1 from where its edge ends.
     rows, reach = [lang, at], np.ones(len(at), bool)
     for size, first, keys in _hashed(words, at, langs, lang, more, bits):
-        _, place = np.unique(keys, return_inverse=True)
         totals, often = exchange.answers(replies, size), np.zeros(len(at), bool)
         if totals is not None:
-            often[first] = (totals[0] >= LEAST)[place]
-        reach = reach & often
+            frequent = np.sort(keys)  # quicker than a search for distinct keys
+            frequent = frequent[np.append(True, frequent[1:] != frequent[:-1])][totals[0] >= LEAST]
+            for a in range(0, len(keys) if len(frequent) else 0, STEP):
+                own = keys[a:a + STEP]
+                found = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+                often[first[a:a + STEP]] = frequent[found] == own
+        reach &= often
         own = np.flatnonzero(reach)
-        following = np.full(len(at), -1)
+        following = np.full(len(at), -1, np.int32)
         following[own] = at[own + size - 1]
         rows.append(following)
-    _, sample, counts = np.unique(_coded(*rows), return_index=True, return_counts=True)
-    found = np.stack(rows, axis=1)[sample]
+    _, sample, counts = np.unique(_numbered(*rows), return_index=True, return_counts=True)
+    found = np.stack([row[sample] for row in rows], axis=1).astype(np.int64)
     whole = found[:, -1] >= 0
     own, flat, sizes, n = compacted(found[whole], counts[whole])
     rest = found[~whole]
