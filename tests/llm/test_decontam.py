@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -167,3 +169,18 @@ def test_only_windows_near_a_shared_run_are_walked(monkeypatch):
     monkeypatch.setattr(decontam.Index, "candidates", spied)
     assert [(text, number) for text, number, *_ in decontam._matches(index, pa.array(texts), 0.2)] == [(3, 7)]
     assert 40 <= sum(walked) < 400
+
+
+def test_a_batch_takes_little_memory():
+    index = decontam.Index.build([1], ["one two three four five six seven eight"])
+    texts = pa.array(["a b c d " * 500] * 1000)  # two million words
+    few = pa.array(["a b c d " * 500, "now one two three four five six seven eight"])
+    assert [text for text, *_ in decontam._matches(index, few, 0.2)] == [1]
+    tracemalloc.start()
+    try:
+        assert not list(decontam._matches(index, texts, 0.2))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    print("MB", peak / 1e6)
+    assert peak < 60e6

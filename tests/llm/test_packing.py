@@ -1,8 +1,10 @@
 import collections
 import itertools
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -104,3 +106,15 @@ def test_what_is_remembered_stays_bounded(monkeypatch):
         text = f"word{'.' * k} w{'*' * k} {'a' * k}"
         assert words.encode(text).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
         assert max(map(len, (words.words, words.words.letters, words.words.tails))) <= 53
+
+def test_the_memory_of_words_ends_with_the_task(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"word{k}x{j}" for j in range(300))) for k in range(16)], "doc_id long, text string").repartition(4)
+    assert packing.pack(docs, tokenizer_path()).count() >= 16
+
+    def kept(batches):
+        for _ in batches:
+            pass
+        words = [w.words for w in vars(sys).get("_winnow_tokenizers", {}).values()]
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(w) + len(w.letters) + len(w.tails) for w in words)], pa.int64())], ["n"])
+
+    assert spark.range(64).repartition(16).mapInArrow(kept, "n long").agg({"n": "sum"}).first()[0] == 0
